@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-#: Entries kept between batches in each worker; beyond it the table begins anew. It bounds memory, not results.
-KEPT = 250_000
+#: Entries kept between batches in each worker; beyond it those of the last batch stay. It bounds memory, not results.
+KEPT = 500_000
 
 
 def pieces(text: str) -> list[str]:
@@ -29,9 +29,12 @@ class Memo(dict):
         self.fill, self.kept = fill, kept
 
     def of(self, lists: list[list[str]]) -> Iterator[list]:
+        seen = {x for xs in lists for x in xs}
         if len(self) > self.kept:
+            last = {x: self[x] for x in seen.intersection(self)}
             self.clear()
-        new = list({x for xs in lists for x in xs}.difference(self))
+            self.update(last)
+        new = list(seen.difference(self))
         self.update(zip(new, self.fill(new), strict=True))
         return (list(map(self.__getitem__, xs)) for xs in lists)
 
