@@ -40,14 +40,17 @@ def coder(path: str) -> Memo:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    size = np.array([len(tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())])  # a character a byte
 
     def fill(new: list[str]) -> Iterator[bytes]:
-        """A few hundred pieces are one input, split beforehand: that costs less than as many inputs."""
+        """A few hundred pieces are one input, split beforehand: that costs less than as many inputs. How many ids a
+        piece has follows from the bytes that each id stands for."""
         groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
         for group, got in zip(groups, tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.array(got.word_ids, int), minlength=len(group)))).tolist()
-            yield from map(ids.__getitem__, map(slice, [0, *ends], ends))
+            ids = np.array(got.ids, "<u4")
+            ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in group])
+            ends = (4 * np.searchsorted(np.cumsum(size[ids]), ends, side="left") + 4).tolist()
+            yield from map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))
 
     return Memo(fill)
 
