@@ -5,9 +5,10 @@ from __future__ import annotations
 from .bpe import op8_byte_bpe
 from .licenses import ORACLE_SQL as LICENCES_SQL
 from .licenses import op3_licences
+from .ngram_join import op4_ngram_join
 from .packing import op10_best_fit_packing
 from .pii import op9_pii
 from .secrets import op5_secrets
 
-QUERIES = {f.__name__: f for f in (op3_licences, op5_secrets, op8_byte_bpe, op9_pii, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_licences, op4_ngram_join, op5_secrets, op8_byte_bpe, op9_pii, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {**LICENCES_SQL}
