@@ -1,10 +1,63 @@
-"""Cleaning a corpus of documents in five stages."""
+"""Cleaning a corpus of documents in five stages, each written and read again as the next one's documents.
+
+1. quality: documents that the classifier rejects go.
+2. lines: near-repeated lines go; a document most of which stands in earlier documents is left whole for the next stage.
+3. near duplicates: of each component of documents whose 5-word shingle sets are 0.8 similar, the least doc_id stays.
+4. secrets: live-looking credentials are masked.
+5. packing: the documents are tokenised and packed into sequences; the last stage returns the pieces.
+
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from statrill.llm import line_dedup, ngram_join, packing, quality, secrets
+from statrill.llm.common import ready, shared_folder, table
+
+WORDS, PERCENT, WHOLE = 5, 80, 0.5
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.scored(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return line_dedup.deduplicated(docs, whole=WHOLE)
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
+    keep = ngram_join.jaccard_components(docs, WORDS, PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return secrets.redacted(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ready(spark)
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
+
+
+STAGES = [("quality", good_quality), ("lines", fresh_lines), ("near duplicates", no_near_duplicates), ("secrets", no_live_secrets), ("packing", packed_sequences)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from the documents of a folder of tables; every stage's rows are written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
