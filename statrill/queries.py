@@ -2,5 +2,286 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.columns import CONSTANTS, LIMITS
+from .operators.rules import RULES, rule_catalogue
+from .operators.series import with_changepoint, with_points
+from .plans import charts, explain, status
+from .plans.options import Options
+from .sources import extract as sources
+from .sources import targets
+from .sources.roles import Roles
+
+#: Doubles are compared to six places. The nudge keeps halves, which means of readings with two places often are, from
+#: falling to either side by the order of a sum.
+PLACES, NUDGE = 6, 1.7e-8
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(*names: str) -> list[Column]:
+    """Doubles to six places, without negative zero."""
+    return [(F.round(F.col(n) + NUDGE, PLACES) + F.lit(0.0)).alias(n) for n in names]
+
+
+def sql_rounded(*names: str) -> str:
+    return ", ".join(f"round({n} + {NUDGE}, {PLACES}) + 0.0 as {n}" for n in names)
+
+
+# Series: the events of each user in order of time, blank where an event is an error.
+EVENTS = Roles(axis=("ts",), measure="value", keys=("user_id",), ordinal="event_id")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df.select("event_id", "ts", "user_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+
+
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.extract(events(spark, sf_dir), EVENTS)
+
+
+# Subgroups: lines of each supplier's parts by month of shipment.
+LINES = Roles(axis=("month",), measure="measure", sample_size="size", spread="spread", target="target", keys=("supplier",))
+
+
+def months(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    """By supplier group and month: returned lines of all lines, or mean and spread of quantities of five."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("supplier"), F.trunc("l_shipdate", "month").alias("month"), "l_returnflag", "l_quantity")
+    size = F.count(F.lit(1)).cast("double")
+    each = {
+        "returns": (F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("double"), size, F.lit(None).cast("double")),
+        "range": (F.avg("l_quantity"), F.lit(5.0), F.max("l_quantity") - F.min("l_quantity")),
+        "deviation": (F.avg("l_quantity"), F.lit(5.0), F.stddev_samp("l_quantity")),
+    }[what]
+    out = df.groupBy("supplier", "month").agg(each[0].alias("measure"), each[1].alias("size"), each[2].alias("spread"))
+    return out.withColumn("target", F.lit(None).cast("double"))
+
+
+def month_points(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    return sources.extract(months(spark, sf_dir, what), LINES)
+
+
+EVENT_SQL = """
+raw as (select user_id, event_id, ts, case when event_type <> 'error' then value end as value from events),
+slots as (select user_id, value, cast(row_number() over (partition by user_id order by event_id) - 1 as bigint) as category_index, strftime(ts, '%Y-%m-%d') as label, ts,
+  cast(null as double) as target, cast(null as double) as sample_size, cast(null as double) as spread from raw),
+numbered as (select *, row_number() over (partition by user_id order by coalesce(epoch_us(ts), 0), category_index) as idx from slots),
+points as (select *, count(*) over k as n, abs(value - lag(value) over w) as moving_range, case when value is not null then lag(value) over w end as prev_value, cast(sign(value - lag(value) over w) as int) as direction
+  from numbered window k as (partition by user_id), w as (partition by user_id order by idx))"""
+
+
+def month_sql(what: str) -> str:
+    measure, size, spread = {
+        "returns": ("cast(sum(case when l_returnflag = 'R' then 1 else 0 end) as double)", "cast(count(*) as double)", "cast(null as double)"),
+        "range": ("avg(l_quantity)", "5.0::double", "max(l_quantity) - min(l_quantity)"),
+        "deviation": ("avg(l_quantity)", "5.0::double", "stddev_samp(l_quantity)"),
+    }[what]
+    return f"""
+months as (select l_suppkey % 5 as supplier, date_trunc('month', l_shipdate)::date as month, {measure} as value, {size} as sample_size, {spread} as spread from lineitem group by 1, 2),
+points as (select *, row_number() over w as idx, count(*) over k as n, strftime(month, '%Y-%m-%d') as label, abs(value - lag(value) over w) as moving_range, cast(sign(value - lag(value) over w) as int) as direction
+  from months window k as (partition by supplier), w as (partition by supplier order by month))"""
+
+
+CHANGE_SQL = """
+sides as (select *, count(value) over b as nb, avg(value) over b as mb, var_samp(value) over b as vb, count(value) over a as na, avg(value) over a as ma, var_samp(value) over a as va from points
+  window b as (partition by user_id order by idx rows between unbounded preceding and 1 preceding), a as (partition by user_id order by idx rows between current row and unbounded following)),
+tested as (select *, case when value is not null and nb >= 10 and na >= 10 then abs(ma - mb) / case when sqrt(vb / nb + va / na) = 0 then 1e-4 else sqrt(vb / nb + va / na) end end as t from sides),
+best as (select user_id, max(t) as best_statistic, arg_max(idx, struct_pack(a := t, b := -idx)) filter (t is not null) as best_split from tested group by user_id),
+changed as (select p.*, cast(best_split as int) as best_split, coalesce(best_statistic, 0) as best_statistic, coalesce(best_statistic >= 3, false) as significant, cast(case when best_statistic >= 3 then best_split else n + 1 end as int) as change_at
+  from points p join best using (user_id))"""
+
+
+def limits_sql(center: str, mr_bar: str, sigma: str, floor: bool, sigmas: float = 3.0) -> str:
+    low = "greatest({}, 0.0)" if floor else "{}"
+    return f"{center} as center, {mr_bar} as mr_bar, {sigma} as sigma, {center} + {sigmas} * {sigma} as ucl, {low.format(f'{center} - {sigmas} * {sigma}')} as lcl, {center} + {2 * sigmas / 3} * {sigma} as zone_a_upper, {low.format(f'{center} - {2 * sigmas / 3} * {sigma}')} as zone_a_lower, {center} + {sigmas / 3} * {sigma} as zone_b_upper, {low.format(f'{center} - {sigmas / 3} * {sigma}')} as zone_b_lower"
+
+
+def rules_sql(source: str, key: str, which: tuple[int, ...]) -> str:
+    """A CTE `ruled` over a CTE with limits."""
+    over = lambda n: f"over (partition by {key} order by idx rows between {n - 1} preceding and current row)"
+    n_of = lambda cond, n: f"sum(case when {cond} then 1 else 0 end) {over(n)}"
+    full = lambda n: f"count(value) {over(n)} = {n}"
+    zone = lambda z, of, n: f"sigma <> 0 and {full(n)} and ((value >= zone_{z}_upper and {n_of(f'value >= zone_{z}_upper', n)} >= {of}) or (value <= zone_{z}_lower and {n_of(f'value <= zone_{z}_lower', n)} >= {of}))"
+    inside = "value >= zone_b_lower and value <= zone_b_upper"
+    checks = {
+        1: "value > ucl or value < lcl", 2: zone("a", 2, 3), 3: zone("b", 4, 5), 4: f"sigma <> 0 and {full(7)} and {n_of('value >= center', 7)} in (0, 7)",
+        5: f"{n_of('direction = 1', 6)} = 6 or {n_of('direction = -1', 6)} = 6", 6: f"{full(8)} and {n_of(inside, 8)} = 0", 7: f"sigma <> 0 and {full(15)} and {n_of(inside, 15)} = 15",
+        8: f"{n_of('direction <> 0', 13)} = 13 and {n_of('turned', 12)} = 12",
+    }
+    flags = ", ".join(f"coalesce(value is not null and ({checks[i]}), false) as rule{i}" if i in which else f"false as rule{i}" for i in RULES)
+    fired = " || ".join(f"case when rule{i} then '{i} ' else '' end" for i in RULES)
+    return f"turning as (select *, direction = -lag(direction) over (partition by {key} order by idx) as turned from {source}), flagged as (select *, {flags} from turning), ruled as (select *, trim({fired}) as fired from flagged)"
+
+
+INDIVIDUALS_SQL = f"""with {EVENT_SQL}, {CHANGE_SQL},
+phased as (select *, case when idx < change_at then 1 else 2 end as phase, coalesce(avg(value) over k, 0) as all_mean, coalesce(avg(moving_range) over k, 0) as all_mr from changed window k as (partition by user_id)),
+own as (select *, case when count(value) over p >= 10 then avg(value) over p else all_mean end as c, case when count(case when idx <> change_at then moving_range end) over p >= 10 then avg(case when idx <> change_at then moving_range end) over p else all_mr end as m
+  from phased window p as (partition by user_id, phase)),
+limited as (select *, {limits_sql('c', 'm', '(m / 1.128)', True)} from own), {rules_sql('limited', 'user_id', tuple(RULES))}"""
+
+
+def _chart_columns(*keys: str) -> list:
+    fired = F.array_join(F.col("fired_rules").cast("array<string>"), " ").alias("fired")
+    return [*keys, "idx", *rounded("value", *LIMITS), fired]
+
+
+@query(f"with {EVENT_SQL} select user_id, idx, category_index, label, {sql_rounded('value', 'moving_range', 'prev_value')}, direction from points")
+def spc_points(spark, sf_dir):
+    return with_points(event_points(spark, sf_dir), ["user_id"]).select("user_id", "idx", "category_index", "label", *rounded("value", "moving_range", "prev_value"), "direction")
+
+
+@query(f"with {EVENT_SQL}, {CHANGE_SQL} select distinct user_id, n, change_at, best_split, significant, {sql_rounded('best_statistic')} from changed")
+def spc_changepoint(spark, sf_dir):
+    df = with_changepoint(with_points(event_points(spark, sf_dir), ["user_id"]), ["user_id"])
+    return df.groupBy("user_id").agg(*[F.max(c).alias(c) for c in ("n", "change_at", "best_split", "significant", "best_statistic")]).select("user_id", "n", "change_at", "best_split", "significant", *rounded("best_statistic"))
+
+
+@query(f"{INDIVIDUALS_SQL} select user_id, idx, phase, {sql_rounded('value', *LIMITS)}, fired, coalesce(moving_range > 3.267 * mr_bar or moving_range < 0, false) as comp_violation from ruled")
+def spc_individuals(spark, sf_dir):
+    return charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]).select("phase", *_chart_columns("user_id"), "comp_violation")
+
+
+@query(f"{INDIVIDUALS_SQL} select user_id, phase as segment, min(idx) as start_index, max(idx) as end_index, {', '.join(f'round(arg_max({c}, case when value is not null then idx else -idx end) + {NUDGE}, 6) + 0.0 as {c}' for c in LIMITS)} from ruled group by 1, 2")
+def spc_segments(spark, sf_dir):
+    return charts.segments(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"]).select("user_id", "segment", "start_index", "end_index", *rounded(*LIMITS))
+
+
+_NAMES = " ".join(f"when {i} then '{x[0]}'" for i, x in RULES.items())
+
+
+@query(f"{INDIVIDUALS_SQL} select case rule_id {_NAMES} end as name, rule_id, count(*) as n from (select unnest([cast(x as int) for x in string_split(fired, ' ')]) as rule_id from ruled where fired <> '') group by 1, 2")
+def spc_rule_counts(spark, sf_dir):
+    built = charts.labelled(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), "violations")
+    fired = built.select(F.explode("fired_rules").alias("rule_id"))
+    return fired.groupBy("rule_id").agg(F.count("*").alias("n")).join(F.broadcast(rule_catalogue(spark)), "rule_id").select("name", "rule_id", "n")
+
+
+@query(f"{INDIVIDUALS_SQL}, shown as (select user_id, min(least(lcl, ucl, coalesce(value, lcl))) as lo, max(greatest(lcl, ucl, coalesce(value, ucl))) as hi from ruled group by 1) select user_id, round(lo - pad + {NUDGE}, 6) + 0.0 as low, round(hi + pad + {NUDGE}, 6) + 0.0 as high from (select *, case when hi > lo then (hi - lo) * 0.05 when hi = 0 then 1.0 else abs(hi) * 0.1 end as pad from shown)")
+def spc_extent(spark, sf_dir):
+    return charts.extent(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"]).select("user_id", *rounded("low", "high"))
+
+
+@query(f"{INDIVIDUALS_SQL} select user_id, idx, label, (idx - 1) % greatest(1, cast(ceil(n / 8) as int)) = 0 as is_tick from ruled")
+def spc_ticks(spark, sf_dir):
+    return charts.ticks(with_points(event_points(spark, sf_dir), ["user_id"])).select("user_id", "idx", "label", "is_tick")
+
+
+def _attribute_sql(center: str, sigma: str, ratio: bool) -> str:
+    value = "case when value is not null and sample_size > 0 then value / sample_size end" if ratio else "value"
+    return f"""with {month_sql('returns')}, base as (select * exclude (value, direction), value as cnt, cast(null as int) as direction, {value} as value from points),
+centered as (select *, coalesce({center}, 0.0) as c, first_value(sample_size) over (partition by supplier order by idx rows between unbounded preceding and unbounded following) as size from base window k as (partition by supplier)),
+limited as (select * exclude (c), {limits_sql('c', '0.0', 's', True)} from (select *, case when value is null then 0.0 else coalesce({sigma}, 0.0) end as s from centered)),
+{rules_sql('limited', 'supplier', (1, 4))} select supplier, idx, {sql_rounded('value', *LIMITS)}, fired from ruled"""
+
+
+def _months(kind: str, what: str):
+    return lambda spark, sf_dir: charts.build(month_points(spark, sf_dir, what), kind, ["supplier"]).select(*_chart_columns("supplier"))
+
+
+def _named(name: str, f, sql: str | None = None) -> None:
+    f.__name__ = name
+    query(sql)(f)
+
+
+_named("spc_p", _months("p", "returns"), _attribute_sql("sum(cnt) over k / sum(sample_size) over k", "case when c > 0 and c < 1 then sqrt(c * (1 - c) / sample_size) end", True))
+_named("spc_u", _months("u", "returns"), _attribute_sql("sum(cnt) over k / sum(sample_size) over k", "case when c > 0 then sqrt(c / sample_size) end", True))
+_named("spc_np", _months("np", "returns"), _attribute_sql("avg(value) over k", "sqrt(greatest(0.0, c * (1 - c / size)))", False))
+_named("spc_c", _months("c", "returns"), _attribute_sql("avg(value) over k", "sqrt(greatest(0.0, c))", False))
+
+
+def _subgroup_sql(what: str, a: float, low: float, high: float) -> str:
+    return f"""with {month_sql(what)}, centered as (select *, avg(value) over k as c, avg(spread) over k as sp from points window k as (partition by supplier)),
+limited as (select *, {limits_sql('c', '0.0', f'({a} * sp / 3)', True)} from centered), {rules_sql('limited', 'supplier', tuple(RULES))}
+select supplier, idx, {sql_rounded('value', *LIMITS)}, fired, round(sp + {NUDGE}, 6) + 0.0 as comp_center, coalesce(spread > {high} * sp or spread < {low} * sp, false) as comp_violation from ruled"""
+
+
+def _subgroups(kind: str, what: str):
+    return lambda spark, sf_dir: charts.build(month_points(spark, sf_dir, what), kind, ["supplier"]).select(*_chart_columns("supplier"), *rounded("comp_center"), "comp_violation")
+
+
+_A2, _A3, _D3, _D4, _B3, _B4 = CONSTANTS[5]
+_named("spc_xbar_r", _subgroups("xbar-r", "range"), _subgroup_sql("range", _A2, _D3, _D4))
+_named("spc_xbar_s", _subgroups("xbar-s", "deviation"), _subgroup_sql("deviation", _A3, _B3, _B4))
+
+_BASE_SQL = f"{EVENT_SQL}, base as (select * exclude (value, direction), value as raw, cast(null as int) as direction, coalesce(avg(value) over k, 0) as x, coalesce(avg(moving_range) over k, 0) / 1.128 as s from points window k as (partition by user_id))"
+_TIME_SQL = f"select user_id, idx, {sql_rounded('value', *LIMITS)}, fired from ruled"
+
+
+def _timed(kind: str):
+    return lambda spark, sf_dir: charts.build(event_points(spark, sf_dir), kind, ["user_id"]).select(*_chart_columns("user_id"))
+
+
+_named("spc_ma", _timed("ma"), f"""with {_BASE_SQL}, averaged as (select *, case when raw is not null then avg(raw) over w end as value, greatest(1, count(raw) over w) as k from base window w as (partition by user_id order by idx rows between 4 preceding and current row)),
+limited as (select *, {limits_sql('x', '0.0', '(s / sqrt(k))', True)} from averaged), {rules_sql('limited', 'user_id', (1,))} {_TIME_SQL}""")
+_named("spc_ewma", _timed("ewma"), f"""with recursive {_BASE_SQL}, fold as (
+  select user_id, idx, case when raw is null then x else 0.2 * raw + 0.8 * x end as z, case when raw is null then 0 else 1 end as k from base where idx = 1
+  union all select b.user_id, b.idx, case when raw is null then z else 0.2 * raw + 0.8 * z end, k + case when raw is null then 0 else 1 end from fold f join base b on b.user_id = f.user_id and b.idx = f.idx + 1),
+averaged as (select b.*, case when raw is not null then z end as value, s * sqrt(0.2 / 1.8 * (1 - pow(0.8, 2 * greatest(1, k)))) as sz from base b join fold using (user_id, idx)),
+limited as (select *, {limits_sql('x', '0.0', 'sz', True)} from averaged), {rules_sql('limited', 'user_id', (1,))} {_TIME_SQL}""")
+
+
+@query(f"""with recursive {_BASE_SQL}, fold as (
+  select user_id, idx, greatest(0, coalesce(raw - (x + 0.5 * s), 0)) as up, greatest(0, coalesce(x - 0.5 * s - raw, 0)) as down from base where idx = 1
+  union all select b.user_id, b.idx, case when raw is null then up else greatest(0, raw - (x + 0.5 * s) + up) end, case when raw is null then down else greatest(0, x - 0.5 * s - raw + down) end from fold f join base b on b.user_id = f.user_id and b.idx = f.idx + 1)
+select user_id, idx, round(case when raw is not null then up end + {NUDGE}, 6) + 0.0 as value, round(case when raw is not null then 0 - down end + {NUDGE}, 6) + 0.0 as c_minus_neg, round(5 * s + {NUDGE}, 6) + 0.0 as ucl, coalesce(raw is not null and up > 5 * s, false) as signal_upper, coalesce(raw is not null and down > 5 * s, false) as signal_lower from base join fold using (user_id, idx)""")
+def spc_cusum(spark, sf_dir):
+    return charts.build(event_points(spark, sf_dir), "cusum", ["user_id"]).select("user_id", "idx", *rounded("value", "c_minus_neg", "ucl"), "signal_upper", "signal_lower")
+
+
+@query("""with days as (select o_orderstatus as status, cast(o_orderdate as date) as day, sum(o_totalprice) as total from orders group by 1, 2),
+every as (select status, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from days group by 1)
+select status, cast(row_number() over (partition by status order by day) as int) as idx, strftime(day, '%Y-%m-%d') as label, round(total, 2) + 0.0 as value from every left join days using (status, day)""")
+def spc_complete_axis(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("total"))
+    roles = Roles(axis=("day",), measure="total", keys=("status",))
+    points = sources.extract(sources.completed(sources.aggregated(orders, roles), roles), roles)
+    return points.select("status", "idx", "label", (F.round("value", 2) + F.lit(0.0)).alias("value"))
+
+
+@query("""with d as (select o_orderkey, cast(o_orderdate as date) as day, year(o_orderdate) as y, year(o_orderdate) + case when month(o_orderdate) >= 10 then 1 else 0 end as fy from orders)
+select o_orderkey, fy, case y when 1995 then 100.0::double when 1996 then 110.0::double end as inline_target, case y when 1996 then 12.5::double when 1997 then 15.0::double end as year_target,
+  greatest(case when day between date '1995-01-01' and date '1996-06-30' then 1.0::double end, case when day between date '1996-03-01' and date '1997-12-31' then 2.0::double end) as range_target from d""")
+def spc_targets(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", day.alias("day"), F.year("o_orderdate").alias("y"))
+    df = df.withColumns({"fy": targets.fiscal_year("day"), "inline_target": targets.inline_target(F.col("y"), {1995: 100.0, 1996: 110.0})})
+    years = spark.createDataFrame([(1996, 12.5), (1997, 15.0)], "y int, v double")
+    ranges = spark.createDataFrame([("1995-01-01", "1996-06-30", 1.0), ("1996-03-01", "1997-12-31", 2.0)], "a string, b string, v double")
+    df = targets.lookup_target(df, years, "y", "v").withColumnRenamed("target", "year_target")
+    return targets.range_target(df, ranges, "day", "a", "b", "v").withColumnRenamed("target", "range_target").select("o_orderkey", "fy", "inline_target", "year_target", "range_target")
+
+
+@query(f"with {EVENT_SQL} select user_id, count(*) as n, count(value) as n_real, case when count(value) = 0 then 'No valid data points' end as status from points group by 1")
+def spc_status(spark, sf_dir):
+    return status.series_status(event_points(spark, sf_dir), "individuals", ["user_id"])
+
+
+@query(f"""{INDIVIDUALS_SQL}, items as (select user_id, idx, [x for x in [
+  {{'name': 'Axis', 'text': label}}, {{'name': 'Value', 'text': printf('%.2f', value)}}, case when change_at <= n then {{'name': 'Phase', 'text': cast(phase as varchar)}} end,
+  {{'name': 'Center (x̄)', 'text': printf('%.2f', center)}}, {{'name': 'UCL', 'text': printf('%.2f', ucl)}}, {{'name': 'LCL', 'text': printf('%.2f', lcl)}},
+  {', '.join(f"case when rule{i} then {{'name': '{x[0]}', 'text': '{x[1]}'}} end" for i, x in RULES.items())}] if x is not null] as xs from ruled where value is not null),
+  each as (select user_id, idx, unnest(xs) as item, generate_subscripts(xs, 1) - 1 as position from items)
+select user_id, idx, cast(position as int) as position, item.name as name, case when item.name in ('Value', 'Center (x̄)', 'UCL', 'LCL') then '' else item.text end as text from each""")
+def spc_explanations(spark, sf_dir):
+    """Numbers of two places are left out here: halves print differently in other engines."""
+    out = explain.explanations(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"])
+    return out.withColumn("text", F.when(F.col("name").isin("Value", "Center (x̄)", "UCL", "LCL"), "").otherwise(F.col("text")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.chart(event_points(spark, sf_dir), "individuals", ["user_id"], Options())
