@@ -23,7 +23,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, texts
@@ -140,28 +140,51 @@ def band_keys(tokens: np.ndarray, band: int, top: int, percent: int, documents:
         return mixed(mixed(out) + place.astype(U) * _BASE + mixed(np.full(1, band, U)))
 
 
-def signatures(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, low, high (128 bits of the set), own, next: keys in the set's band and in the one after it."""
+def sets(docs: DataFrame, n: int = N) -> DataFrame:
+    """doc_id, n_shingles, low, high (128 bits of the set; 0 for an empty one)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts = np.array(bands(percent, 1 << 12))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                x = shingles(text, n)
+                rows.append((doc_id, len(x), *(_sums(x) if len(x) else (0, 0))))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "low", "high"])
+
+    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, low long, high long")
+
+
+def _sums(x: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return tuple(int(np.add.reduce(mixed(x ^ s)).view(np.int64)) for s in (U(11), U(0xA5A5A5A5A5A5A5A5)))
+
+
+def node(low: str) -> Column:
+    """62 bits of a set's hash: what stands for the set while candidates are sought."""
+    return F.shiftrightunsigned(low, 2)
+
+
+def keys(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """key, value: node * 2 + 1 for the keys of a set's own band, node * 2 for those with which it probes the next band."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts = np.array(bands(percent, 1 << 12))
+        for batch in batches:
+            found, value = [], []
+            for text in batch["text"]:
                 x = shingles(text, n)
                 if len(x) >= starts[-2]:
                     starts = np.array(bands(percent, 2 * len(x)))
-                if not len(x):
-                    rows.append((doc_id, 0, None, None, [], []))
-                    continue
-                band = int(np.searchsorted(starts, len(x), side="right")) - 1
-                with np.errstate(over="ignore"):
-                    low, high = (int(np.add.reduce(mixed(x ^ s)).view(np.int64)) for s in (U(11), U(0xA5A5A5A5A5A5A5A5)))
-                own, after = (band_keys(x, b, int(starts[b + 1]) - 1, percent, documents).view(np.int64) for b in (band, band + 1))
-                rows.append((doc_id, len(x), low, high, own, after))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "low", "high", "own", "next"])
+                if len(x):
+                    band, at = int(np.searchsorted(starts, len(x), side="right")) - 1, ((_sums(x)[0] & (1 << 64) - 1) >> 2) * 2
+                    for b, own in ((band, 1), (band + 1, 0)):
+                        got = band_keys(x, b, int(starts[b + 1]) - 1, percent, documents).view(np.int64)
+                        found.append(got)
+                        value.append(np.full(len(got), at + own))
+            if found:
+                yield pd.DataFrame({"key": np.concatenate(found), "value": np.concatenate(value)})
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, low long, high long, own array<long>, next array<long>")
+    return texts(docs).select("text").mapInPandas(run, "key long, value long")
 
 
 def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -205,7 +228,7 @@ def link_forest(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> Da
     few = ids.count() <= BROADCAST_ROWS
     text = texts(docs).withColumnRenamed("doc_id", "id").join(F.broadcast(ids) if few else ids, "id")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "group_": batch["group_"], "tokens": [shingles(t, n).tobytes() for t in batch["text"]]})
 
@@ -218,21 +241,20 @@ def link_forest(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> Da
         pairs = forest(len(ids), zip(*(x.tolist() for x in np.nonzero(np.triu(yes, 1))), strict=True))
         return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
-    held = text.select("id", "group_", "text").mapInPandas(sets, "id long, group_ long, tokens binary")
+    held = text.select("id", "group_", "text").mapInPandas(held_sets, "id long, group_ long, tokens binary")
     return cells(stored(held), "group_").groupBy("group_", "cell_").applyInPandas(within, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of every row."""
-    signed = stored(signatures(docs, max(1, docs.count()), n, percent))
+    signed = stored(sets(docs, n))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = stored(full.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    keyed = signed.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    index = keyed.select(F.explode("own").alias("key"), F.col("doc_id").alias("id"))
-    probe = index.union(keyed.select(F.explode("next").alias("key"), F.col("doc_id").alias("id")))
-    least = index.groupBy("key").agg(F.min("id").alias("m"))
-    ties = probe.join(least, "key").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
-    maybe = components(ties).withColumnRenamed("component", "group_")
+    found = keys(docs.where("doc_id is not null"), max(1, first.count()), n, percent)
+    least = F.min(F.when(F.col("value") % 2 == 1, F.shiftright("value", 1))).over(Window.partitionBy("key"))
+    ties = found.select(F.shiftright("value", 1).alias("a"), least.alias("b")).where("a <> b").distinct()
+    maybe = components(ties).toDF("node", "group_")
+    maybe = first.select(node("low").alias("node"), "id").join(maybe, "node").select("id", "group_")
     found = link_forest(docs, maybe, n, percent)
     copies = full.select("doc_id", "low", "high", "n_shingles").join(first.where("copies > 1").drop("copies"), ["low", "high", "n_shingles"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     ends = components(found.union(copies))
