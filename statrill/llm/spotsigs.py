@@ -107,7 +107,7 @@ def followed(docs: DataFrame, work, schema: str) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, min(RANGES, docs.count() // RANGE_ROWS))
     rows = texts(docs).withColumn("key_", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
-    bounds = sorted(set(rows.approxQuantile("key_", [i / parts for i in range(1, parts)], 0.25 / parts)))
+    bounds = sorted(set(rows.approxQuantile("key_", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     if bounds:
         rows = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="key_", outputCol="range_").transform(rows)
         rows = rows.withColumn("range_", F.col("range_").cast("int"))
