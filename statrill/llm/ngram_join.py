@@ -1,15 +1,18 @@
 """Exact Jaccard join on word n-grams by partitioning the universe of tokens.
 
-Sets are cut into bands of size, so that two sets that link lie in one band or in neighbouring ones. In a band whose
-largest size allows a Hamming distance of at most H, a hash deals the tokens into segments. Each segment is indexed
-either whole, which forgives 0 differences, or whole and with each one of its tokens left out, which forgives 1. If the
-forgiven differences, plus one for each segment, exceed H, two linked sets agree in a key of some segment. How many segments of
-either kind a band gets is the cheapest choice, by the number of keys and the number of pairs that keys such as those of
-empty segments are expected to bring together among so many documents.
-
-A set joins the index with the keys of its own band and probes the next band's. Members of a key are tied to the least
-one of the index; components of these ties hold all links. Within a component, block by block, intersections are
-counted exactly, as products of incidence matrices, and each block pair keeps a spanning forest of its links.
+Sets are cut into bands of size, so that two sets that link lie in one band or in neighbouring ones. In a band a hash
+deals the tokens into segments of two kinds. Those of the first kind are indexed whole and with each one of their tokens
+left out, which forgives 1 difference. Of the second kind a subset is indexed, whole: the fullest segments of the set.
+Linked sets differ in at most H tokens. If D segments of the first kind all differ in 2 tokens or more, H - 2 D
+differences are left for the W of the second kind, so W - (H - 2 D) of these are equal; two sets of W keys that have so
+many in common agree in one of their H - 2 D + 1 first keys under any order of keys, here the fullest segments first.
+Thus empty and nearly empty segments, which bring unrelated documents together, are left out without losing a link. D and W are
+the cheapest choice for each band, by the number of keys and of pairs that keys of few tokens are expected to bring together.
+
+A set has the keys of its own band and of the next. Nodes of a key are tied to its least one, first within the chunk of
+documents at hand, so that a key is shuffled once for a chunk, then over all; components of these ties hold all links.
+Within a component, block by block, intersections are counted exactly, as products of incidence matrices, and each block
+pair keeps a spanning forest of its links.
 
 Only one document of each set is compared. Nulls and texts without words have an empty set, which links with nothing: such a
 document is its own component. Repeated rows of a doc_id are one document of several texts: links of either count. Null
@@ -18,6 +21,7 @@ doc_ids are kept, without a component. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,8 +35,10 @@ from .links import BROADCAST_ROWS, cells, components
 
 #: Links: 100 * intersection >= PERCENT * union of sets of N-word shingles.
 N, PERCENT = 3, 90
-#: Cost of a pair that is compared in vain, in keys.
-PAIR_COST = 5
+#: Cost of a pair that is compared in vain, in keys, and the share of documents expected to hold a given token.
+PAIR_COST, SHARED = 5, 1e-3
+#: Keys that are tied at once within a task.
+CHUNK = 1 << 21
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 
@@ -104,30 +110,41 @@ def bands(percent: int, largest: int) -> list[int]:
     return [*out, max(out[-1] + 1, -(-out[-1] * 100 // percent))]
 
 
+def differences(a: int, b: int, percent: int) -> int:
+    """The most tokens in which linked sets of these sizes differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
 @cache
 def allocation(top: int, percent: int, documents: int) -> tuple[int, int]:
-    """Segments indexed with deletions, and segments indexed whole, for a band of sizes up to top."""
-    most = 2 * top * (100 - percent) // (100 + percent)
+    """Segments indexed with deletions, and segments of which the fullest are indexed, for a band of sizes up to top."""
+    most = differences(top, top, percent)
     best = None
-    for deleting in range((most + 1) // 2 + 1):
-        whole = most + 1 - 2 * deleting
-        if (most + 1) % 2 and whole < 0:
-            continue
-        m = deleting + max(whole, 0)
-        if not m:
-            continue
-        tokens = top / m
-        lone = documents * np.exp(-2 * tokens)
-        cost = whole + deleting * (1 + tokens) + PAIR_COST * lone * (whole + deleting * (1 + tokens) ** 2)
-        if best is None or cost < best[0]:
-            best = (cost, deleting, whole)
+    for deleting in sorted({*range(min(17, (most + 3) // 2)), *((most + 1) * i // 64 for i in range(33))}):
+        kept = max(0, most - 2 * deleting + 1)
+        for whole in sorted({min(kept * i // 20, max(kept, top)) for i in range(20, 41)}):
+            m = deleting + whole
+            if not m:
+                continue
+            tokens, cost, at_most = top / m, 0.0, 0.0
+            alike = math.exp(-tokens)
+            if deleting:
+                cost += deleting * (1 + tokens) * (1 + PAIR_COST * documents * (1 + tokens) * math.exp(-tokens * (1 - SHARED)))
+            if kept:
+                cost += kept
+                for k in range(4):
+                    at_most += alike
+                    cost += PAIR_COST * documents * SHARED**k * whole * min(alike, max(0.0, at_most - (1 - kept / whole)))
+                    alike *= tokens / (k + 1)
+            if best is None or cost < best[0]:
+                best = (cost, deleting, whole)
     return best[1], best[2]
 
 
 def band_keys(tokens: np.ndarray, band: int, top: int, percent: int, documents: int) -> np.ndarray:
-    """Keys of a set in a band."""
+    """Keys of a set in a band of sizes up to top."""
     deleting, whole = allocation(top, percent, documents)
-    m = deleting + whole
+    kept, m = max(0, differences(len(tokens), top, percent) - 2 * deleting + 1), deleting + whole
     with np.errstate(over="ignore"):
         segment = (mixed(tokens + U(band) * _BASE) >> U(33)).astype(np.int64) % m
         order = np.argsort(segment, kind="stable")
@@ -136,8 +153,13 @@ def band_keys(tokens: np.ndarray, band: int, top: int, percent: int, documents:
         bounds = np.searchsorted(segment, np.arange(m + 1))
         sums = total[bounds[1:]] - total[bounds[:-1]]
         some = segment < deleting
-        place, out = np.concatenate([np.arange(m), segment[some]]), np.concatenate([sums, sums[segment[some]] - value[some]])
-        return mixed(mixed(out) + place.astype(U) * _BASE + mixed(np.full(1, band, U)))
+        place = np.concatenate([np.arange(m), segment[some]])
+        out = np.concatenate([sums, sums[segment[some]] - value[some]])
+        out = mixed(mixed(out) + place.astype(U) * _BASE + mixed(np.full(1, band, U)))
+        if kept < whole:
+            fullest = np.lexsort((out[deleting:m], -np.diff(bounds)[deleting:]))[:kept]
+            out = np.concatenate([out[:deleting], out[deleting:m][fullest], out[m:]])
+        return out
 
 
 def sets(docs: DataFrame, n: int = N) -> DataFrame:
@@ -164,25 +186,46 @@ def node(low: str) -> Column:
     return F.shiftrightunsigned(low, 2)
 
 
+def tied(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer keys that tie the same nodes: each key keeps its least node, and the rest share a key made of that node."""
+    order = np.lexsort((value, key))
+    k, v = key[order], value[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    least = np.repeat(v[starts], np.diff(np.concatenate([starts, [len(k)]])))
+    pairs = np.unique(np.stack([least, v], 1)[least != v], axis=0)
+    kept = np.sort(order[starts])
+    own = np.unique(pairs[:, 0])
+    made = mixed(np.concatenate([own, pairs[:, 0]]).view(U) ^ U(0x5851F42D4C957F2D)).view(np.int64)
+    return np.concatenate([key[kept], made]), np.concatenate([value[kept], own, pairs[:, 1]])
+
+
 def keys(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """key, value: node * 2 + 1 for the keys of a set's own band, node * 2 for those with which it probes the next band."""
+    """key, value: the nodes to be tied; tied nodes of a chunk have one row for each key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts = np.array(bands(percent, 1 << 12))
+        starts, found, value, held, seen = np.array(bands(percent, 1 << 12)), [], [], 0, set()
         for batch in batches:
-            found, value = [], []
             for text in batch["text"]:
                 x = shingles(text, n)
                 if len(x) >= starts[-2]:
                     starts = np.array(bands(percent, 2 * len(x)))
-                if len(x):
-                    band, at = int(np.searchsorted(starts, len(x), side="right")) - 1, ((_sums(x)[0] & (1 << 64) - 1) >> 2) * 2
-                    for b, own in ((band, 1), (band + 1, 0)):
-                        got = band_keys(x, b, int(starts[b + 1]) - 1, percent, documents).view(np.int64)
-                        found.append(got)
-                        value.append(np.full(len(got), at + own))
-            if found:
-                yield pd.DataFrame({"key": np.concatenate(found), "value": np.concatenate(value)})
+                if not len(x):
+                    continue
+                node = (_sums(x)[0] & (1 << 64) - 1) >> 2
+                if node in seen:
+                    continue
+                seen.add(node)
+                band = int(np.searchsorted(starts, len(x), side="right")) - 1
+                for b in (band, band + 1):
+                    got = band_keys(x, b, int(starts[b + 1]) - 1, percent, documents).view(np.int64)
+                    found.append(got)
+                    value.append(np.full(len(got), node))
+                    held += len(got)
+                if held >= CHUNK:
+                    yield pd.DataFrame(dict(zip(("key", "value"), tied(np.concatenate(found), np.concatenate(value)), strict=True)))
+                    found, value, held, seen = [], [], 0, set()
+        if held:
+            yield pd.DataFrame(dict(zip(("key", "value"), tied(np.concatenate(found), np.concatenate(value)), strict=True)))
 
     return texts(docs).select("text").mapInPandas(run, "key long, value long")
 
@@ -224,13 +267,13 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 8192) -> np.ndar
 
 def link_forest(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFrame:
     """Links a, b that join what links within each group (id, group_): a spanning forest for every two blocks."""
-    ids = stored(grouped)
-    few = ids.count() <= BROADCAST_ROWS
-    text = texts(docs).withColumnRenamed("doc_id", "id").join(F.broadcast(ids) if few else ids, "id")
+    dealt = stored(cells(stored(grouped), "group_").groupBy("id", "group_").agg(F.collect_list("cell_").alias("cells_")))
+    few = dealt.count() <= BROADCAST_ROWS
+    text = texts(docs).withColumnRenamed("doc_id", "id").join(F.broadcast(dealt) if few else dealt, "id")
 
     def held_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "group_": batch["group_"], "tokens": [shingles(t, n).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "group_": batch["group_"], "cells_": batch["cells_"], "tokens": [shingles(t, n).tobytes() for t in batch["text"]]})
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -241,8 +284,9 @@ def link_forest(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> Da
         pairs = forest(len(ids), zip(*(x.tolist() for x in np.nonzero(np.triu(yes, 1))), strict=True))
         return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
-    held = text.select("id", "group_", "text").mapInPandas(held_sets, "id long, group_ long, tokens binary")
-    return cells(stored(held), "group_").groupBy("group_", "cell_").applyInPandas(within, "a long, b long")
+    cell = dealt.schema["cells_"].dataType
+    held = text.select("id", "group_", "cells_", "text").mapInPandas(held_sets, f"id long, group_ long, cells_ {cell.simpleString()}, tokens binary")
+    return held.select("id", "group_", F.explode("cells_").alias("cell_"), "tokens").groupBy("group_", "cell_").applyInPandas(within, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -251,8 +295,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = stored(full.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     found = keys(docs.where("doc_id is not null"), max(1, first.count()), n, percent)
-    least = F.min(F.when(F.col("value") % 2 == 1, F.shiftright("value", 1))).over(Window.partitionBy("key"))
-    ties = found.select(F.shiftright("value", 1).alias("a"), least.alias("b")).where("a <> b").distinct()
+    ties = found.select(F.col("value").alias("a"), F.min("value").over(Window.partitionBy("key")).alias("b")).where("a <> b").distinct()
     maybe = components(ties).toDF("node", "group_")
     maybe = first.select(node("low").alias("node"), "id").join(maybe, "node").select("id", "group_")
     found = link_forest(docs, maybe, n, percent)

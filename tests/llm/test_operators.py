@@ -170,6 +170,41 @@ def test_deletion_keys_keep_links():
         assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize(("percent", "documents"), [(80, 1), (80, 20_000), (80, 10**12), (90, 20_000), (90, 10**12), (50, 20_000)])
+def test_linked_sets_share_a_key(percent, documents):
+    """Leaving out the emptiest segments loses no link, at sizes of neighbouring bands and with every kind of segment."""
+    rng, linked = np.random.default_rng(5), 0
+    starts = ngram_join.bands(percent, 1000)
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 250))).astype(np.uint64))
+        gone = int(rng.integers(0, len(x) // 4 + 1))
+        y = np.union1d(rng.permutation(x)[gone:], rng.integers(0, 1 << 62, int(rng.integers(0, gone + 2))).astype(np.uint64))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        linked += 1
+        found = []
+        for z in (x, y):
+            own = max(i for i, s in enumerate(starts) if s <= len(z))
+            found.append({int(k) for b in (own, own + 1) for k in ngram_join.band_keys(z, b, starts[b + 1] - 1, percent, documents)})
+        assert found[0] & found[1]
+    assert linked > 50
+
+
+def test_tied_keys_keep_components():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        key, value = rng.integers(0, 20, 60), rng.integers(0, 30, 60)
+        want, got = Union(), Union()
+        k, v = ngram_join.tied(key, value)
+        for union, ks, vs in ((want, key, value), (got, k, v)):
+            for a, b in zip(ks.tolist(), vs.tolist(), strict=True):
+                union.join(b, 10**6 + a if a in range(20) else a)
+        groups = [{frozenset(y for y in value.tolist() if u.root(y) == u.root(x)) for x in value.tolist()} for u in (want, got)]
+        assert groups[0] == groups[1]
+        assert len(np.unique(np.stack([k, v], 1), axis=0)) == len(k)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
