@@ -37,7 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large)
         least = small(stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")))
         now = stored(large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).distinct())
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+    return now.union(now.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
 
 
 def cells(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:

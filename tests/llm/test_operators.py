@@ -127,6 +127,8 @@ def test_components(spark):
         want.join(a, b)
     got = {r.id: r.component for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: want.root(x) for p in pairs for x in p}
+    flat = spark.createDataFrame([(5, 4), (7, 2), (8, 2)], "a long, b long")  # nothing is left to do, and the least ids have no link of their own
+    assert {r.id: r.component for r in links.components(flat).collect()} == {4: 4, 5: 4, 2: 2, 7: 2, 8: 2}
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
