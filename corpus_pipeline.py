@@ -1,7 +1,7 @@
 """Cleaning a corpus of documents in five stages, each written and read again as the next one's documents.
 
 1. quality: documents that the classifier rejects go.
-2. lines: near-repeated lines go; a document most of which stands in earlier documents is left whole for the next stage.
+2. lines: near-repeated lines go; only a verified copy of one earlier document (0.8 as in stage 3) is left whole, and stage 3 drops it.
 3. near duplicates: of each component of documents whose 5-word shingle sets are 0.8 similar, the least doc_id stays.
 4. secrets: live-looking credentials are masked.
 5. packing: the documents are tokenised and packed into sequences; the last stage returns the pieces.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from statrill.llm import line_dedup, ngram_join, packing, quality, secrets
 from statrill.llm.common import ready, shared_folder, table
 
-WORDS, PERCENT, WHOLE = 5, 80, 0.5
+WORDS, PERCENT = 5, 80
 ORACLE_SQL = None
 
 
@@ -29,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    return line_dedup.deduplicated(docs, whole=WHOLE)
+    return line_dedup.deduplicated(docs, whole=PERCENT / 100, words=WORDS)
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

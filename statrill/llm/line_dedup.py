@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .links import BROADCAST_ROWS, cells, components, small
-from .ngram_join import forest
+from .ngram_join import forest, shingles
 
 EDITS, LEAST, HOT = 1, 20, 64
 
@@ -145,8 +145,8 @@ def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """row_, removed (places of the lines that go), abroad (characters of those whose class began in another document)
-    for documents that lose a line; a stored table."""
+    """row_, removed (places of the lines that go), source (row_ of the document of a smaller doc_id in which most
+    characters of these lines began; null if there is none) for documents that lose a line; a stored table."""
     long = F.length("line") >= least
     distinct = stored(lines(docs).where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line"))
     classes = small(stored(components(near_lines(distinct, edits))))
@@ -155,18 +155,51 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     seen = stored(seen.join(classes, "id", "left").select("row_", "place", "n", "at", F.coalesce("component", "id").alias("class")))
     many = small(stored(seen.groupBy("class").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")))
     gone = seen.join(many, "class").where("at <> first")
-    abroad = F.sum(F.when(F.col("first.row_") != F.col("row_"), F.col("n")).otherwise(0)).alias("abroad")
-    return stored(gone.groupBy("row_").agg(F.array_sort(F.collect_set("place")).alias("removed"), abroad))
-
-
-def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST, whole: float = 1.0) -> DataFrame:
-    """The documents without repeated lines; n_chars, if there, follows. A document of which `whole` or more stands in
-    earlier documents is a copy as a whole: only the lines that it repeats itself would mislead, so it is left as it is."""
-    size = F.length(F.coalesce("text", F.lit("")))
-    out = docs.withColumn("row_", row_key()).join(repeated_lines(docs, edits, least), "row_", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
-    cut = F.col("removed").isNotNull() & (F.col("abroad") < F.lit(whole) * size)
-    out = out.withColumn("text", F.when(cut, kept).otherwise(F.col("text"))).select(*docs.columns)
+    earlier = F.when(F.col("first.doc_id") < F.col("at.doc_id"), F.col("first.row_")).alias("source")
+    parts = gone.groupBy("row_", earlier).agg(F.collect_set("place").alias("places"), F.sum("n").alias("n"))
+    most = F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source")))["source"].alias("source")
+    return stored(parts.groupBy("row_").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"), most))
+
+
+def _without(text: str, removed: str) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n")
+
+
+def copies(docs: DataFrame, repeated: DataFrame, whole: float, words: int) -> DataFrame:
+    """row_ of the documents whose sets of so many words in a row are `whole` similar to their source's, both as the
+    source is and without its own repeated lines, so whichever of the two stays; a stored table."""
+    percent = round(100 * whole)
+    held = docs.select(row_key().alias("row_"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["row_"])
+    cut = repeated.select(F.col("row_").alias("source"), F.col("removed").alias("gone"))
+    first = held.select(F.col("row_").alias("source"), F.col("text").alias("first")).join(cut, "source", "left")
+    pairs = repeated.where("source is not null").select("row_", "source").join(held, "row_").join(first, "source")
+    pairs = pairs.select("row_", "text", "first", F.when(F.col("gone").isNotNull(), _without("first", "gone")).alias("rest"))
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hit = []
+            for row, text, first, rest in batch.itertuples(index=False):
+                x = shingles(text, words)
+                if alike(x, shingles(first, words)) and (rest is None or alike(x, shingles(rest, words))):
+                    hit.append(row)
+            yield pd.DataFrame({"row_": np.array(hit, np.int64)})
+
+    return stored(pairs.mapInPandas(verify, "row_ long"))
+
+
+def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST, whole: float = 2.0, words: int = 5) -> DataFrame:
+    """The documents without repeated lines; n_chars, if there, follows. Verified copies of one earlier document (the
+    Jaccard similarity of their words in a row is `whole` or more, see `copies`) are left as they are, for a later stage
+    that drops them; above 1 there are none."""
+    repeated = repeated_lines(docs, edits, least)
+    if whole <= 1:
+        repeated = repeated.join(small(copies(docs, repeated, whole, words)), "row_", "left_anti")
+    out = docs.withColumn("row_", row_key()).join(repeated.select("row_", "removed"), "row_", "left")
+    out = out.withColumn("text", F.when(F.col("removed").isNotNull(), _without("text", "removed")).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

@@ -250,6 +250,19 @@ def test_line_dedup(spark, monkeypatch, edits, hot):
     assert out == {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(values)}
 
 
+def test_pipeline_cuts_all_but_verified_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    line = lambda: " ".join("".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(12))
+    a, b, own = [line() for _ in range(4)], [line() for _ in range(4)], [line() for _ in range(4)]
+    values = ["\n".join(a), "\n".join(b), "\n".join([*a[:3], own[0]]), "\n".join([*a[:2], *b[:2]]), "\n".join([*a[:2], *b[:2], own[1]]), "\n".join(a) + " end", "\n".join([own[2], own[2], own[2], own[3]])]
+    out = {r.doc_id: r.text for r in corpus_pipeline.fresh_lines(spark, docs(spark, values), "").collect()}
+    assert out == {0: values[0], 1: values[1], 2: own[0], 3: "", 4: own[1], 5: values[5], 6: "\n".join(own[2:])}
+    left = corpus_pipeline.no_near_duplicates(spark, docs(spark, [out[i] for i in range(7)]), "")
+    assert {r.doc_id for r in left.collect()} == {0, 1, 2, 3, 4, 6}
+
+
 def test_spot_signatures(spark):
     values = [f"the fox that jumped over lazy dog {i} with a green hat" for i in range(5)] + ["", None, "zz", "zz", "that red fox is very quick for brown dogs"]
     rows = {r.doc_id: r for r in spotsigs.followed(docs(spark, values), lambda d, t, n: (d, t, n), "doc_id long, text string, after string").collect()}
