@@ -6,9 +6,10 @@ lengths confine. So each distinct line is indexed by its segments and probes the
 `edits` up to its own with the substrings at those places. Lines that meet in a key are verified with a banded edit
 distance that keeps the band of each error count in the bits of a byte, for many pairs side by side. Keys of more than
 HOT indexed lines are not paired: their lines are dealt out in blocks, compared block by block after a bound by
-character counts, and give a spanning forest of their links.
+character counts, and give a spanning forest of their links and the number of links of each line. A pair that shares
+several hot keys is counted in the cell of the least of them, once, and not as a pair of a cold key.
 
-Components of near lines are classes. Of each class the first line stays, by doc_id and then by place; the others go.
+Components of near lines are classes, named by the least hash of a line in them. Of each class the first line stays, by doc_id and then by place; the others go.
 Lines shorter than `least` characters are not compared and stay. Null texts count as empty: one short line. Rows equal in
 doc_id and text are one document. Other columns are kept as they are.
 
@@ -107,7 +108,8 @@ def near(first: list[str], second: list[str], edits: int) -> np.ndarray:
 
 
 def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links a, b of ids in a stored table (id, line) of distinct lines: all of cold keys, a forest for hot ones."""
+    """Links a, b of ids in a stored table (id, line) of distinct lines: all of cold keys, with n = 1, and a forest for hot
+    ones, with n = 0; rows with a = b have the n links that a line has in hot cells. A stored table."""
     by_index, by_probe = keys(F.col("line"), edits)
     index = distinct.select("id", F.explode(by_index).alias("key"))
     probe = distinct.select("id", F.explode(by_probe).alias("key"))
@@ -116,12 +118,14 @@ def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs = index.join(warm, "key", "left_anti").withColumnRenamed("id", "b").join(probe, "key").where("id <> b")
     pairs = stored(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
     members = stored(index.union(probe).join(warm, "key", "left_semi").distinct())
+    of_line = members.groupBy("id").agg(F.collect_set("key").alias("hot"))
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
-    held = stored(distinct.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi"))
+    held = distinct.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+    held = stored(held.join(of_line, "id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>"))))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[near(batch["first"].tolist(), batch["second"].tolist(), edits)][["a", "b"]]
+            yield batch[near(batch["first"].tolist(), batch["second"].tolist(), edits)][["a", "b"]].assign(n=1)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
@@ -135,26 +139,40 @@ def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
             rows += [i] * len(hit)
             cols += hit.tolist()
         yes = near([text[i] for i in rows], [text[j] for j in cols], edits)
-        found = forest(len(text), (x for x, y in zip(zip(rows, cols, strict=True), yes, strict=True) if y))
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"], dtype="int64")
-
-    sides = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("first")), "a").join(held.select(F.col("id").alias("b"), F.col("line").alias("second")), "b")
-    cold = sides.select("a", "b", "first", "second").mapInPandas(verify, "a long, b long")
-    dealt = cells(members.select("id", "key"), "key").join(held, "id")
-    return cold.union(dealt.groupBy("key", "cell_").applyInPandas(within, "a long, b long"))
-
-
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """row_, removed (places of the lines that go), source (row_ of the document of a smaller doc_id in which most
-    characters of these lines began; null if there is none) for documents that lose a line; a stored table."""
+        found = [x for x, y in zip(zip(rows, cols, strict=True), yes, strict=True) if y]
+        key, cell, own, hot = pdf["key"].iloc[0], pdf["cell_"].iloc[0], pdf["own_"].tolist(), [set(x) for x in pdf["hot"]]
+        here = [x for x in found if (own[x[0]] != own[x[1]] or cell["i"] == cell["j"]) and min(hot[x[0]] & hot[x[1]]) == key]
+        links = np.bincount(np.array(here, int).ravel(), minlength=len(text))
+        out = [(ids[i], ids[j], 0) for i, j in forest(len(text), found)] + [(ids[i], ids[i], links[i]) for i in np.flatnonzero(links)]
+        return pd.DataFrame(out, columns=["a", "b", "n"], dtype="int64")
+
+    sides = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("first"), F.col("hot").alias("hot_a")), "a")
+    sides = sides.join(held.select(F.col("id").alias("b"), F.col("line").alias("second"), F.col("hot").alias("hot_b")), "b").where(~F.arrays_overlap("hot_a", "hot_b"))
+    cold = sides.select("a", "b", "first", "second").mapInPandas(verify, "a long, b long, n long")
+    dealt = cells(members.select("id", "key"), "key", own=True).join(held, "id")
+    return stored(cold.union(dealt.groupBy("key", "cell_").applyInPandas(within, "a long, b long, n long")))
+
+
+def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """row_, place, n (characters), at (order), class, first (its least at), links (distinct lines near this one) of every
+    line whose class has more than one line, equal ones counted; a stored table."""
     long = F.length("line") >= least
     distinct = stored(lines(docs).where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line"))
-    classes = small(stored(components(near_lines(distinct, edits))))
+    found = near_lines(distinct, edits)
+    ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("id")
+    links = found.where("n > 0").select(ends, "n").groupBy("id").agg(F.sum("n").alias("links"))
+    classes = small(stored(components(found.select("a", "b")).join(links, "id", "left").select("id", "component", F.coalesce("links", F.lit(0)).alias("links"))))
     at = F.struct("doc_id", "row_", "place").alias("at")
     seen = lines(docs, "doc_id").where(long).select("row_", "place", F.length("line").alias("n"), F.xxhash64("line").alias("id"), at)
-    seen = stored(seen.join(classes, "id", "left").select("row_", "place", "n", "at", F.coalesce("component", "id").alias("class")))
+    seen = stored(seen.join(classes, "id", "left").select("row_", "place", "n", "at", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
     many = small(stored(seen.groupBy("class").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")))
-    gone = seen.join(many, "class").where("at <> first")
+    return stored(seen.join(many, "class"))
+
+
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """row_, removed (places of the lines that go), source (row_ of the document of a smaller doc_id in which most
+    characters of these lines began; null if there is none) for documents that lose a line; a stored table."""
+    gone = placed_lines(docs, edits, least).where("at <> first")
     earlier = F.when(F.col("first.doc_id") < F.col("at.doc_id"), F.col("first.row_")).alias("source")
     parts = gone.groupBy("row_", earlier).agg(F.collect_set("place").alias("places"), F.sum("n").alias("n"))
     most = F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source")))["source"].alias("source")
@@ -203,9 +221,19 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST, whole:
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
-def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how many lines it has, how many go, and which (places from 0, comma-joined)."""
-    docs = table(spark, sf_dir, "documents")
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (places of the lines that go), classes (place:class of the lines whose class has
+    more than one), links (place:number of distinct other lines near it), each comma-joined by place."""
     counts = docs.select("doc_id", row_key().alias("row_"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return counts.join(repeated_lines(docs), "row_", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+    each = F.array_sort(F.collect_set(F.struct("place", "class", "links", (F.col("at") != F.col("first")).alias("goes")))).alias("each")
+    each = placed_lines(docs, edits, least).groupBy("row_").agg(each)
+    removed = F.filter("each", lambda x: x["goes"])
+    joined = lambda rows, *names: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", *[x[k].cast("string") for k in names])), ",")
+    shown = [joined(removed, "place").alias("removed"), joined("each", "place", "class").alias("classes"), joined("each", "place", "links").alias("links")]
+    found = each.select("row_", F.size(removed).cast("long").alias("n_removed"), *shown)
+    return counts.join(found, "row_", "left").drop("row_").fillna({"n_removed": 0, "removed": "", "classes": "", "links": ""})
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many lines it has, how many go and which, and the classes and links of its lines."""
+    return line_classes(table(spark, sf_dir, "documents"))

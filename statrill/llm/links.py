@@ -40,8 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     return now.union(now.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
 
 
-def cells(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """Rows of `group` (not null) dealt out so that each two of a group meet in a task: adds cell_ and side_.
+def cells(members: DataFrame, group: str, block: int = BLOCK, own: bool = False) -> DataFrame:
+    """Rows of `group` (not null) dealt out so that each two of a group meet in a task: adds cell_ and, if asked for, own_ (the row's block).
 
     Groups of up to `block` rows are one cell; larger ones are cut into blocks by id, and a cell holds two blocks.
     """
@@ -49,4 +49,4 @@ def cells(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
     dealt = members.join(sizes, group, "left").withColumn("blocks_", F.coalesce("blocks_", F.lit(1))).withColumn("own_", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks_")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks_") - 1)
     met = F.explode(F.transform(others, lambda x: F.struct(F.least("own_", x).alias("i"), F.greatest("own_", x).alias("j"))))
-    return dealt.select(*members.columns, met.alias("cell_"))
+    return dealt.select(*members.columns, *(["own_"] if own else []), met.alias("cell_"))

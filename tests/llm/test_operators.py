@@ -263,6 +263,35 @@ def test_pipeline_cuts_all_but_verified_copies(spark):
     assert {r.doc_id for r in left.collect()} == {0, 1, 2, 3, 4, 6}
 
 
+@pytest.mark.parametrize("hot", [64, 3])
+def test_line_classes_and_exact_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(links.cells, "__defaults__", (4, False))
+    rng = random.Random(hot)
+    base = ["".join(rng.choice("abc") for _ in range(6)) for _ in range(5)]
+    values = [None, ""]
+    for _ in range(40):
+        some = [list(rng.choice(base)) for _ in range(3)]
+        for x in some:
+            x[rng.randrange(6)] = rng.choice("abcd")
+        values.append("\n".join(map("".join, some)))
+    seen = [(i, k, x) for i, t in enumerate(values) for k, x in enumerate((t or "").split("\n")) if len(x) >= 4]
+    distinct, near, degree = sorted({x for *_, x in seen}), Union(), Counter()
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            if distance(x, y) <= 1:
+                near.join(x, y)
+                degree.update([x, y])
+    often = Counter(near.root(x) for *_, x in seen)
+    rows = {r.doc_id: r for r in line_dedup.line_classes(docs(spark, values), 1, 4).collect()}
+    parts = lambda text: {int(x.split(":")[0]): int(x.split(":")[1]) for x in text.split(",") if x}
+    want = {(i, k): x for i, k, x in seen if often[near.root(x)] > 1}
+    assert {(i, k): n for i, r in rows.items() for k, n in parts(r.links).items()} == {at: degree[x] for at, x in want.items()}
+    got = {(i, k): c for i, r in rows.items() for k, c in parts(r.classes).items()}
+    assert got.keys() == want.keys() and len({(got[at], near.root(x)) for at, x in want.items()}) == len(set(got.values())) == len({near.root(x) for x in want.values()})
+    assert all(r.n_removed == len(r.removed.split(",")) - (r.removed == "") for r in rows.values())
+
+
 def test_spot_signatures(spark):
     values = [f"the fox that jumped over lazy dog {i} with a green hat" for i in range(5)] + ["", None, "zz", "zz", "that red fox is very quick for brown dogs"]
     rows = {r.doc_id: r for r in spotsigs.followed(docs(spark, values), lambda d, t, n: (d, t, n), "doc_id long, text string, after string").collect()}
