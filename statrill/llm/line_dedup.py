@@ -10,7 +10,8 @@ character counts, and give a spanning forest of their links and the number of li
 several hot keys is counted in the cell of the least of them, once, and not as a pair of a cold key.
 
 Components of near lines are classes, named by the least hash of a line in them. Of each class the first line stays, by doc_id and then by place; the others go.
-Lines shorter than `least` characters are not compared and stay. Null texts count as empty: one short line. Rows equal in
+Lines shorter than `least` characters are near only if they are equal; blank ones are not compared and stay. Null texts
+count as empty: one blank line. Rows equal in
 doc_id and text are one document. Other columns are kept as they are.
 
 Lines are known by a 64-bit hash; two lines with one hash would be one line.
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .links import BROADCAST_ROWS, cells, components, small
-from .ngram_join import forest, shingles
+from .ngram_join import forest, mixed, powers, shingles
 
-EDITS, LEAST, HOT = 1, 20, 64
+EDITS, LEAST, HOT = 3, 20, 64
+_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def row_key() -> Column:
@@ -41,26 +43,43 @@ def lines(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(row_key().alias("row_"), *more, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Place (from 0) and length of segment i of a line so long: the last ones are a character longer if need be."""
-    each, longer = F.floor(length / (edits + 1)), length % (edits + 1)
-    short = edits + 1 - longer
-    return each * i + F.greatest(F.lit(0), i - short), F.when(F.lit(i) >= short, each + 1).otherwise(each)
-
-
-def keys(line: Column, edits: int) -> tuple[Column, Column]:
-    """Keys that index a line, and those with which it probes the index of lines at most as long."""
-    length = F.length(line)
-    index, probe = [], []
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits)
-        index.append(F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size)))
+    each, short = length // (edits + 1), edits + 1 - length % (edits + 1)
+    return each * i + np.maximum(0, i - short), each + (i >= short)
+
+
+def keys(lines: list[str], edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows, keys, indexed: those that index a line, and the others with which it probes the index of lines at most as long
+    (besides its own). Substrings are hashed as differences of the running sums of a polynomial."""
+    length = np.array([len(x) for x in lines], np.int64)
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = powers().of(len(chars) + 1)
+    first = np.cumsum(length) - length
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(chars + _KEY) * up[: len(chars)], dtype=np.uint64)])
         for shorter in range(edits + 1):
-            start, size = _segment(length - shorter, i, edits)
-            for shift in range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1):
-                inside = (start + shift >= 0) & (start + shift + size <= length)
-                probe.append(F.when(inside, F.xxhash64(F.lit(i), length - shorter, F.substring(line, start + shift + 1, size))))
-    return F.array(*index), F.array_compact(F.array(*probe))
+            for i in range(edits + 1):
+                start, size = _segment(length - shorter, i, edits)
+                about = mixed((length - shorter).astype(np.uint64) * _KEY + np.uint64(i))
+                for shift in range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1):
+                    at = np.flatnonzero((length >= shorter) & (start + shift >= 0) & (start + shift + size <= length))
+                    begin = first[at] + start[at] + shift
+                    value = (sums[begin + size[at]] - sums[begin]) * down[begin]
+                    yield at, mixed(value + about[at]).view(np.int64), shorter == shift == 0
+
+
+def keyed(distinct: DataFrame, edits: int, probes: bool) -> DataFrame:
+    """id, key, indexed of distinct lines (id, line): the keys that index them, and the others if `probes`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for at, key, indexed in keys(batch["line"].tolist(), edits):
+                if indexed or probes:
+                    yield pd.DataFrame({"id": ids[at], "key": key, "indexed": indexed})
+
+    return distinct.select("id", "line").mapInPandas(run, "id long, key long, indexed boolean")
 
 
 def near(first: list[str], second: list[str], edits: int) -> np.ndarray:
@@ -110,14 +129,13 @@ def near(first: list[str], second: list[str], edits: int) -> np.ndarray:
 def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     """Links a, b of ids in a stored table (id, line) of distinct lines: all of cold keys, with n = 1, and a forest for hot
     ones, with n = 0; rows with a = b have the n links that a line has in hot cells. A stored table."""
-    by_index, by_probe = keys(F.col("line"), edits)
-    index = distinct.select("id", F.explode(by_index).alias("key"))
-    probe = distinct.select("id", F.explode(by_probe).alias("key"))
-    hot = stored(index.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    hot = stored(keyed(distinct, edits, False).groupBy("key").count().where(F.col("count") > HOT).select("key"))
     warm = small(hot)
-    pairs = index.join(warm, "key", "left_anti").withColumnRenamed("id", "b").join(probe, "key").where("id <> b")
+    every = keyed(distinct, edits, True)
+    index = keyed(distinct, edits, False).join(warm, "key", "left_anti").select("key", F.col("id").alias("b"))
+    pairs = index.join(every.select("id", "key"), "key").where("id <> b")
     pairs = stored(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
-    members = stored(index.union(probe).join(warm, "key", "left_semi").distinct())
+    members = stored(every.select("id", "key").join(warm, "key", "left_semi").distinct())
     of_line = members.groupBy("id").agg(F.collect_set("key").alias("hot"))
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
     held = distinct.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
@@ -163,7 +181,7 @@ def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     links = found.where("n > 0").select(ends, "n").groupBy("id").agg(F.sum("n").alias("links"))
     classes = small(stored(components(found.select("a", "b")).join(links, "id", "left").select("id", "component", F.coalesce("links", F.lit(0)).alias("links"))))
     at = F.struct("doc_id", "row_", "place").alias("at")
-    seen = lines(docs, "doc_id").where(long).select("row_", "place", F.length("line").alias("n"), F.xxhash64("line").alias("id"), at)
+    seen = lines(docs, "doc_id").where(long | F.col("line").rlike(r"\S")).select("row_", "place", F.length("line").alias("n"), F.xxhash64("line").alias("id"), at)
     seen = stored(seen.join(classes, "id", "left").select("row_", "place", "n", "at", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
     many = small(stored(seen.groupBy("class").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")))
     return stored(seen.join(many, "class"))

@@ -292,6 +292,32 @@ def test_line_classes_and_exact_links(spark, monkeypatch, hot):
     assert all(r.n_removed == len(r.removed.split(",")) - (r.removed == "") for r in rows.values())
 
 
+def test_production_finds_changed_words_and_equal_short_lines(spark):
+    a = "the quick brown fox jumps over the lazy dog and runs into the wood"
+    values = [a, a.replace("fox", "cat"), a.replace("fox", "hens") + ".", "short\n\n----\n ", "x\nshort\n\n----\n "]
+    rows = {r.doc_id: r for r in line_dedup.line_classes(docs(spark, values)).collect()}
+    assert {i: r.removed for i, r in rows.items()} == {0: "", 1: "0", 2: "", 3: "", 4: "1,3"}
+    assert rows[0].links == rows[1].links == "0:1" and rows[0].classes == rows[1].classes and rows[3].links == "0:0,2:0"
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_lines_share_a_key(edits):
+    rng = random.Random(edits)
+    for _ in range(300):
+        a = "".join(rng.choice("abé😀") for _ in range(rng.randint(4, 40)))
+        b = list(a)
+        for _ in range(edits):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        b = "".join(b) or "a"
+        long, short = sorted((a, b), key=len, reverse=True)
+        found = defaultdict(set)
+        for at, key, indexed in line_dedup.keys([long, short], edits):
+            for i, k in zip(at.tolist(), key.tolist(), strict=True):
+                found[i, indexed].add(k)
+        assert distance(a, b) > edits or len(short) <= edits or (found[0, True] | found[0, False]) & found[1, True]
+
+
 def test_spot_signatures(spark):
     values = [f"the fox that jumped over lazy dog {i} with a green hat" for i in range(5)] + ["", None, "zz", "zz", "that red fox is very quick for brown dogs"]
     rows = {r.doc_id: r for r in spotsigs.followed(docs(spark, values), lambda d, t, n: (d, t, n), "doc_id long, text string, after string").collect()}
