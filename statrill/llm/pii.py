@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 Proposals of the base kinds (email, ip, card, phone) that hold are reported whatever their score. The kinds that the
-method adds (iban: mod-97; ssn and a card of 13 to 15 digits: words nearby) need a score of ADDED or more and must not
+method adds (iban: mod-97 at the length of its country; ssn, and short_card, a card of 13 to 15 digits: words nearby) need a score of ADDED or more and must not
 touch a base span. Spans are code points, end exclusive. Null texts count as empty; an empty text has no spans; repeated
 rows give repeated results; other columns are not read.
 """
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts
 
-BASE, KINDS = ("email", "ip", "card", "phone"), ("email", "ip", "card", "phone", "iban", "ssn")
+BASE, KINDS = ("email", "ip", "card", "phone"), ("email", "ip", "card", "phone", "iban", "ssn", "short_card")
 #: Least score of an added span; characters on either side in which context words count.
 ADDED, AROUND = 0.7, 48
 #: Score of a proposal, and what a context word adds.
-SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
+SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "short_card": 0.4}
 WORD = 0.3
 CONTEXT = {
     "email": re.compile(r"e-?mail|contact|kontakt|correo|courriel", re.I),
@@ -31,6 +31,7 @@ CONTEXT = {
     "phone": re.compile(r"phone|call|tel\b|mobile|telefon|tel.fono|t.l.phone", re.I),
     "iban": re.compile(r"iban|account|konto|cuenta|compte|bank", re.I),
     "ssn": re.compile(r"\bssn\b|social security", re.I),
+    "short_card": re.compile(r"card|visa|credit|karte|tarjeta|carte|amex|american express|diners", re.I),
 }
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +39,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+#: Characters of the IBANs of a country.
+_IBAN_SIZE = {c: n for n, some in {15: "NO", 16: "BE", 18: "DK FO FI GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in some.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _TWICE = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -70,6 +75,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             past = m.end()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """At each place the pattern's longest end, or one at a blank before it, that has the length of the country (any, if
+    it is none of the known ones) and the right remainder."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        a, at = m.start(), m.start() + 2
+        for b in [m.end(), *(a + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]:
+            x = text[a:b].replace(" ", "")
+            if 15 <= len(x) <= 34 and len(x) == _IBAN_SIZE.get(x[:2], len(x)) and mod97(x):
+                yield a, b
+                at = b
+                break
+
+
 def _digits(text: str) -> str:
     return _NOT_DIGIT.sub("", text)
 
@@ -81,8 +100,9 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     yield from (("card", *m.span()) for m in _CARD.finditer(text) if 16 <= len(x := _digits(m[0])) <= 19 and luhn(x))
     if "+" in text:
         yield from (("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15)
-    yield from (("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x))
+    yield from (("iban", a, b) for a, b in _ibans(text))
     yield from (("ssn", *m.span()) for m in _SSN.finditer(text))
+    yield from (("short_card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(x := _digits(m[0])) <= 15 and luhn(x))
 
 
 def find(text: str) -> list[Span]:

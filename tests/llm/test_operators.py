@@ -101,6 +101,14 @@ def test_pii(spark):
     assert {r.doc_id: len(r.spans) for r in pii.pii_spans(docs(spark, [text, None, ""])).collect()} == {0: 6, 1: 0, 2: 0}
 
 
+def test_short_cards_and_ibans_before_capitals():
+    found = lambda text: [(s.kind, text[s.start : s.end]) for s in pii.find(text)]
+    assert found("Amex card 3782 822463 10005.") == [("short_card", "3782 822463 10005")] and found("order 3782 822463 10005") == found("card 3782 822463 10006") == []
+    assert found("ES91 2100 0418 4502 0005 1332 EUR") == [("iban", "ES91 2100 0418 4502 0005 1332")] and found("AT61 1904 3002 3457 3201 BIC") == [("iban", "AT61 1904 3002 3457 3201")]
+    assert found("AT611904300234573201 ES9121000418450200051332 TO") == [("iban", "AT611904300234573201"), ("iban", "ES9121000418450200051332")]
+    assert found("ES91 2100 0418 4502 0005 1333 EUR") == [] and {k: n for k, n in pii._IBAN_SIZE.items() if k in ("DE", "MT", "NO")} == {"DE": 22, "MT": 31, "NO": 15}
+
+
 def test_secrets_are_judged_by_their_owners(spark):
     shared, own, bare = "Zx9" * 8, "deadbeef" * 5, "aB3" * 9
     values = [f'token = "{shared}"', f"API_key:{shared} é", f"secret={shared}", f"token = '{own}'", bare, f"pwd {bare} AKIA{'A1' * 8}", None, "token=abc", f"secret:token:{own}"]
