@@ -5,8 +5,10 @@ rows (word, position, token); a recursive query joins neighbouring rows with the
 word's leftmost pair of least rank until no pair is left. Decoding joins ids with the vocabulary and aggregates
 their bytes in order.
 
-Nulls count as empty texts. Empty texts have no tokens; their digests are those of the empty string. Repeated rows
-give repeated results; rows of a null doc_id keep it. Columns other than doc_id and text are not read.
+Nulls count as empty texts. Empty texts have no tokens; their digests are those of the empty string. Very long texts are
+worked on in parts that their own words bound; a single word of more than LONG bytes is merged outside DuckDB. Repeated rows
+give repeated results; rows of a null doc_id keep it; an empty table gives an empty one. Columns other than doc_id and text
+are not read, and ids never leave the JVM.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, texts
 from .pretokens import Memo, pieces, runs
 
-#: Words at a time in one recursive query, and the bytes of a word from which the merge loop works on a list instead:
-#: the rows of a recursion grow with the square of a word's length.
-WORDS, LONG = 20_000, 200
+#: Words at a time in one recursive query, and rows of its recursion, about. Rows grow with the square of a word's length,
+#: so a word of more than LONG bytes is merged on a list instead.
+WORDS, ROWS, LONG = 20_000, 2_000_000, 1000
 
 ENCODE = """
 with recursive state(k, token, step) as (
@@ -99,8 +102,12 @@ class Merges:
         raw = [x.encode("utf-8", "surrogatepass") for x in words]
         out: list = [[self.ranks[x]] if x in self.ranks else self.looped(x) if len(x) > LONG else None for x in raw]
         rest = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(rest), WORDS):
-            some = rest[at : at + WORDS]
+        squares = np.cumsum([len(raw[i]) ** 2 // 2 for i in rest])
+        at = 0
+        while at < len(rest):
+            most = int(np.searchsorted(squares, ROWS + (squares[at - 1] if at else 0), side="right"))
+            some = rest[at : max(at + 1, min(at + WORDS, most))]
+            at += len(some)
             n = np.array([len(raw[i]) for i in some])
             k = np.repeat(np.arange(len(some), dtype=np.int64) * 1024 - np.cumsum(n) + n, n) + np.arange(n.sum())
             self.load("start", pd.DataFrame({"k": k, "token": np.array(self.byte, np.int32)[np.frombuffer(b"".join(raw[i] for i in some), np.uint8)]}))
@@ -143,42 +150,42 @@ def coder(path: str, pattern: str) -> tuple[Merges, Memo]:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int>: the ids of each whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = coder(path, pattern)[1]
         for batch in batches:
-            for part in runs(batch["text"].tolist()):
-                some = batch.iloc[part]
-                yield pd.DataFrame({"doc_id": some["doc_id"].array, "ids": [[int(i) for a, _ in x for i in a.split()] for x in memo.of([pieces(t) for t in some["text"]])]})
+            yield pd.Series([[int(i) for a, _ in x for i in a.split()] for part in runs(batch.tolist()) for x in memo.of([pieces(t) for t in part])], dtype=object)
 
-    return texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return texts(docs).select("doc_id", ids("text").alias("ids"))
 
 
 def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, bytes binary of tables with doc_id, ids array<int>; null ids count as none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         merges = coder(path, pattern)[0]
         for batch in batches:
-            lists = [[] if x is None else [int(i) for i in x] for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "bytes": merges.decode(lists)})
+            yield pd.Series(merges.decode([[] if x is None else [int(i) for i in x] for x in batch]), dtype=object)
 
-    return ids.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return ids.select("doc_id", decoded("ids").alias("bytes"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, sha256 of the ids and of the bytes they decode to, without keeping a text's ids as a list."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = coder(path, pattern)[1]
         for batch in batches:
-            for part in runs(batch["text"].tolist()):
-                some, rows = batch.iloc[part], []
-                for x in memo.of([pieces(t) for t in some["text"]]):
+            rows = []
+            for part in runs(batch.tolist()):
+                for x in memo.of([pieces(t) for t in part]):
                     ids = " ".join([a for a, _ in x])
                     rows.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([b for _, b in x])).hexdigest()))
-                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=some["doc_id"].array)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).select("doc_id", digest("text").alias("digest")).select("doc_id", "digest.*")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of a batch that goes to a Python worker, so that long texts come a few at a time.
+BATCH = "8m"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started, and return the session."""
+    """Let Python workers import this package wherever the driver was started, bound their batches, and return the session."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [env.get("PYTHONPATH")])])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark
 
 
@@ -26,20 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (as in tests on one machine), a new folder."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a new folder if all runs in this process; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="statrill-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """The path of a written table, which goes when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/statrill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(kept_until_exit(spark, path))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A name like the one given that no column of the table has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

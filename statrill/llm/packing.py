@@ -7,8 +7,10 @@ sequence, are matched greedily, longest first, each with the longest partner tha
 longest first, go where the least room that holds them is left. The plan says, for each length, which pieces by their
 number among those of that length go to which sequences; the pieces are numbered and placed by Spark.
 
-Null texts count as empty; an empty text is a document of the end id alone. Repeated rows are packed each. An empty
-table gives an empty one. Ties between pieces of one length fall as they were stored. Other columns are not read.
+Null texts count as empty; an empty text is a document of the end id alone. A special token's string in a text is that
+token, as the library has it. Repeated rows are packed each. An empty table gives an empty one. Very long texts are many
+pieces, tokenised whole. Ties between pieces of one length fall as they were stored. Other columns are not read, and ids of
+documents never leave the JVM.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ def coder(path: str) -> Memo:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     size = np.array([len(tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())])  # a character a byte
 
     def fill(new: list[str]) -> Iterator[bytes]:
@@ -55,26 +56,27 @@ def coder(path: str) -> Memo:
     return Memo(fill)
 
 
-def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Pieces: doc_id, piece, start, length, ids_crc32, ids (binary, little-endian unsigned 32-bit)."""
+def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
+    """Pieces: doc_id, piece, start, length, ids_crc32, and ids (binary, little-endian unsigned 32-bit) if asked for."""
     last = np.array([end], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"array<struct<start: long, length: long, ids_crc32: long{', ids: binary' * keep_ids}>>")
+    def cuts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = coder(path)
         for batch in batches:
-            for part in runs(batch["text"].tolist()):
-                some, rows = batch.iloc[part], []
-                for doc_id, x in zip(some["doc_id"], memo.of([pieces(t) for t in some["text"]]), strict=True):
-                    ids = b"".join(x) + last
+            rows = []
+            for part in runs(batch.tolist()):
+                for x in memo.of([pieces(t) for t in part]):
+                    ids, row = b"".join(x) + last, []
                     n = len(ids) // 4
-                    ends = range((n - 1) % capacity + 1, n + 1, capacity)
-                    for i, stop in enumerate(ends):
+                    for stop in range((n - 1) % capacity + 1, n + 1, capacity):
                         start = max(0, stop - capacity)
                         piece = ids[4 * start : 4 * stop]
-                        rows.append((doc_id, i, start, stop - start, zlib.crc32(piece), piece))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                        row.append({"start": start, "length": stop - start, "ids_crc32": zlib.crc32(piece)} | ({"ids": piece} if keep_ids else {}))
+                    rows.append(row)
+            yield pd.Series(rows, dtype=object)
 
-    return texts(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return texts(docs).select("doc_id", F.posexplode(cuts("text")).alias("piece", "cut")).select("doc_id", "piece", "cut.*")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -141,23 +143,22 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = short.groupBy("length", "share_").count().select("length", "share_", (F.sum("count").over(Window.partitionBy("length").orderBy("share_")) - F.col("count")).alias("before_"))
     numbered = short.withColumn("n_", F.row_number().over(Window.partitionBy("length", "share_").orderBy("row_"))).join(before, ["length", "share_"]).withColumn("number_", F.col("before_") + F.col("n_") - 1)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            length, number = batch["length"].to_numpy(), batch["number_"].to_numpy()
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for lengths, numbers in batches:
+            length, number = lengths.to_numpy(), numbers.to_numpy()
             at = np.searchsorted(key, length << 44 | number, side="right") - 1
             i = number - (key[at] & ((1 << 44) - 1))
-            yield batch.drop(columns="number_").assign(sequence_id=first[at] + i // each[at], offset=offset[at] + i % each[at] * length)
+            yield pd.DataFrame({"sequence_id": first[at] + i // each[at], "offset": offset[at] + i % each[at] * length})
 
     names = [c for c in cuts.columns if c != "row_"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cuts.select(*names).schema)
-    placed = numbered.select(*names, "number_").mapInPandas(place, schema + ", sequence_id long, offset long")
+    placed = numbered.select(*names, place("length", "number_").alias("at_")).select(*names, "at_.*")
     return placed.unionByName(cuts.where(F.col("length") == capacity).select(*names, (-1 - F.col("row_")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence_id and offset; with its ids, if asked for."""
-    cuts = cut(docs, path, capacity, end)
-    return pack(stored((cuts if keep_ids else cuts.drop("ids")).withColumn("row_", F.monotonically_increasing_id())), capacity)
+    return pack(stored(cut(docs, path, capacity, end, keep_ids).withColumn("row_", F.monotonically_increasing_id())), capacity)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

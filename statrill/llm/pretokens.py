@@ -1,16 +1,16 @@
 """Splitting whole texts for the byte-level tokenizers.
 
 Matches of the tokenizers' pattern never cross a single space that stands between two other visible characters:
-that space begins the match after it. So a text is split at its spaces, and what a piece gives is kept by piece.
-Texts with other runs of white space are not split; they are one piece.
+that space begins the match after it. So a text is split at such spaces, and what a short piece gives is kept by piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-#: Entries kept between batches in each worker; beyond it those of the last batch stay. It bounds memory, not results.
-KEPT = 500_000
+#: Entries kept between batches in each worker, beyond which those of the last batch stay, and the longest piece that is
+#: kept, in characters. Both bound memory (to about 100 MB), not results.
+KEPT, LONGEST = 100_000, 64
 
 
 def pieces(text: str) -> list[str]:
@@ -18,7 +18,14 @@ def pieces(text: str) -> list[str]:
     first, *rest = text.split(" ")
     if first and not first[-1].isspace() and all(rest) and not any(x[0].isspace() or x[-1].isspace() for x in rest):
         return [first, *[" " + x for x in rest]]
-    return [text] if text else []
+    out, held = [], [first]
+    for before, x in zip([first, *rest], rest, strict=False):
+        if before and x and not before[-1].isspace() and not x[0].isspace():
+            out.append(held)
+            held = ["", x]
+        else:
+            held.append(x)
+    return [x for x in map(" ".join, [*out, held]) if x]
 
 
 class Memo(dict):
@@ -28,7 +35,7 @@ class Memo(dict):
         super().__init__()
         self.fill, self.kept = fill, kept
 
-    def of(self, lists: list[list[str]]) -> Iterator[list]:
+    def of(self, lists: list[list[str]]) -> list[list]:
         seen = {x for xs in lists for x in xs}
         if len(self) > self.kept:
             last = {x: self[x] for x in seen.intersection(self)}
@@ -36,16 +43,20 @@ class Memo(dict):
             self.update(last)
         new = list(seen.difference(self))
         self.update(zip(new, self.fill(new), strict=True))
-        return (list(map(self.__getitem__, xs)) for xs in lists)
+        out = [list(map(self.__getitem__, xs)) for xs in lists]
+        for x in new:
+            if len(x) > LONGEST:
+                del self[x]
+        return out
 
 
-def runs(texts: list[str], most: int = 3_000_000) -> Iterator[slice]:
-    """Slices of a batch that hold about so many characters each."""
+def runs(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+    """Parts of a batch that hold about so many characters each."""
     start = size = 0
     for i, x in enumerate(texts):
         if size and size + len(x) > most:
-            yield slice(start, i)
+            yield texts[start:i]
             start, size = i, 0
         size += len(x)
     if texts:
-        yield slice(start, len(texts))
+        yield texts[start:]
