@@ -14,17 +14,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from statrill.llm import line_dedup, ngram_join, packing, quality, secrets
-from statrill.llm.common import ready, shared_folder, table
+from statrill.llm.common import kept_until_exit, ready, shared_folder, table
 
 WORDS, PERCENT = 5, 80
 ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.scored(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(kept_until_exit(spark, f"{folder}/{i}"))
     return docs
