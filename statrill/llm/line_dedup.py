@@ -1,18 +1,20 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines are near if at most `edits` insertions, deletions or replacements of a character turn one into the other. A
-line of each length is cut into edits + 1 segments; one of them survives in any near line, at a place that the two
-lengths confine. So each distinct line is indexed by its segments and probes the index of every length from its own less
-`edits` up to its own with the substrings at those places. Lines that meet in a key are verified with a banded edit
-distance that keeps the band of each error count in the bits of a byte, for many pairs side by side. Keys of more than
-HOT indexed lines are not paired: their lines are dealt out in blocks, compared block by block after a bound by
-character counts, and give a spanning forest of their links and the number of links of each line. A pair that shares
-several hot keys is counted in the cell of the least of them, once, and not as a pair of a cold key.
-
-Components of near lines are classes, named by the least hash of a line in them. Of each class the first line stays, by doc_id and then by place; the others go.
-Lines shorter than `least` characters are near only if they are equal; blank ones are not compared and stay. Null texts
-count as empty: one blank line. Rows equal in
-doc_id and text are one document. Other columns are kept as they are.
+Two lines are near if few insertions, deletions or replacements of a character turn one into the other: as many as the
+budget of the shorter one, which is 1, and 1 more for each `per` characters, up to `edits`. A line of budget e is cut into
+e + 1 segments; one of them survives in any near line that is as long or longer, at a place that the two lengths confine.
+So each distinct line is indexed by its segments and probes the index of every length from its own less `edits` up to its
+own with the substrings at those places. Lines that meet in a key are verified with a banded edit distance that keeps the
+band of each error count in the bits of a byte, for many pairs side by side. Keys of more than HOT lines are not paired:
+their lines are dealt out in blocks, compared block by block after a bound by character counts, and give a spanning forest
+of their links and the number of links of each line. A pair that shares several hot keys is counted in the cell of the
+least of them, once, and not as a pair of a cold key.
+
+Components of near lines are classes, named by the least hash of a line in them. Of each class the first line stays, by
+doc_id (a null first), then by document, then by place; the others go. Lines shorter than `least` characters are near only
+if they are equal; blank ones are not compared and stay. Null texts count as empty: one blank line. Rows equal in doc_id and
+text are one document. An empty table gives an empty one. Very long texts and lines are read whole; the work grows with
+their length. Other columns are kept as they are, whatever their names.
 
 Lines are known by a 64-bit hash; two lines with one hash would be one line.
 """
@@ -26,12 +28,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free, stored, table
 from .links import BROADCAST_ROWS, cells, components, small
+from .meeting import CHUNK, HOT, PACKED, buckets, met, packed, pairs_and_members
 from .ngram_join import forest, mixed, powers, shingles
 
-EDITS, LEAST, HOT = 3, 20, 64
+EDITS, PER, LEAST = 3, 25, 20
 _KEY = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of lines whose keys are made at once.
+AT_ONCE = 1 << 20
+
+
+def budget(length: np.ndarray, edits: int = EDITS, per: int = PER) -> np.ndarray:
+    """Edits that a line so long may be away from a longer one."""
+    return np.minimum(edits, 1 + length // per)
 
 
 def row_key() -> Column:
@@ -39,8 +49,9 @@ def row_key() -> Column:
 
 
 def lines(docs: DataFrame, *more: str) -> DataFrame:
-    """row_, more, place (from 0), line of every line."""
-    return docs.select(row_key().alias("row_"), *more, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
+    """row_, more, place (from 0), line of every line that is not blank."""
+    each = docs.select(row_key().alias("row_"), *more, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
+    return each.where(F.col("line").rlike(r"\S"))
 
 
 def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +60,7 @@ def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nda
     return each * i + np.maximum(0, i - short), each + (i >= short)
 
 
-def keys(lines: list[str], edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def keys(lines: list[str], edits: int = EDITS, per: int = PER) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Rows, keys, indexed: those that index a line, and the others with which it probes the index of lines at most as long
     (besides its own). Substrings are hashed as differences of the running sums of a polynomial."""
     length = np.array([len(x) for x in lines], np.int64)
@@ -58,28 +69,57 @@ def keys(lines: list[str], edits: int) -> Iterator[tuple[np.ndarray, np.ndarray,
     first = np.cumsum(length) - length
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(chars + _KEY) * up[: len(chars)], dtype=np.uint64)])
-        for shorter in range(edits + 1):
-            for i in range(edits + 1):
-                start, size = _segment(length - shorter, i, edits)
-                about = mixed((length - shorter).astype(np.uint64) * _KEY + np.uint64(i))
-                for shift in range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1):
-                    at = np.flatnonzero((length >= shorter) & (start + shift >= 0) & (start + shift + size <= length))
-                    begin = first[at] + start[at] + shift
-                    value = (sums[begin + size[at]] - sums[begin]) * down[begin]
-                    yield at, mixed(value + about[at]).view(np.int64), shorter == shift == 0
+        for e in range(1, edits + 1):
+            for shorter in range(e + 1):
+                near = np.flatnonzero((length >= shorter) & (budget(length - shorter, edits, per) == e))
+                for i in range(e + 1) if len(near) else ():
+                    start, size = _segment(length[near] - shorter, i, e)
+                    about = mixed((length[near] - shorter).astype(np.uint64) * _KEY + np.uint64(i))
+                    for shift in range(max(-i, shorter - e + i), min(i, shorter + e - i) + 1):
+                        fits = np.flatnonzero((start + shift >= 0) & (start + shift + size <= length[near]))
+                        at = near[fits]
+                        begin = first[at] + start[fits] + shift
+                        value = (sums[begin + size[fits]] - sums[begin]) * down[begin]
+                        yield at, mixed(value + about[fits]), shorter == shift == 0
+
+
+def keyed(distinct: DataFrame, n: int, edits: int, per: int, hot: int) -> DataFrame:
+    """Packed keys of distinct lines (id, line), whose ids count up within a file."""
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Ids and lines of neighbouring ids, of about so many characters."""
+        for batch in batches:
+            ids, some = batch["id"].to_numpy(), batch["line"].tolist()
+            sums = np.cumsum([len(x) for x in some])
+            at = 0
+            while at < len(some):
+                to = max(at + 1, int(np.searchsorted(sums, AT_ONCE + (sums[at - 1] if at else 0), side="right")))
+                far = np.flatnonzero((ids[at:to] < ids[at]) | (ids[at:to] >= ids[at] + CHUNK))
+                to = at + int(far[0]) if len(far) else to
+                yield ids[at:to], some[at:to]
+                at = to
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        base, size = 0, 0
 
-def keyed(distinct: DataFrame, edits: int, probes: bool) -> DataFrame:
-    """id, key, indexed of distinct lines (id, line): the keys that index them, and the others if `probes`."""
+        def flush() -> Iterator[pd.DataFrame]:
+            if held:
+                yield packed(base, *(np.concatenate([x[i] for x in held]) for i in range(3)), n, hot)
+                held.clear()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            for at, key, indexed in keys(batch["line"].tolist(), edits):
-                if indexed or probes:
-                    yield pd.DataFrame({"id": ids[at], "key": key, "indexed": indexed})
+        for ids, some in chunks(batches):
+            if size >= 1 << 20 or held and not base <= ids[0] <= ids[-1] < base + CHUNK:
+                yield from flush()
+                size = 0
+            if not held:
+                base = int(ids[0])
+            for at, key, indexed in keys(some, edits, per):
+                held.append((ids[at] - base, key, np.full(len(at), indexed)))
+                size += len(at)
+        yield from flush()
 
-    return distinct.select("id", "line").mapInPandas(run, "id long, key long, indexed boolean")
+    return distinct.select("id", "line").mapInPandas(run, PACKED)
 
 
 def near(first: list[str], second: list[str], edits: int) -> np.ndarray:
@@ -126,24 +166,27 @@ def near(first: list[str], second: list[str], edits: int) -> np.ndarray:
     return out
 
 
-def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
+def near_lines(distinct: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """Links a, b of ids in a stored table (id, line) of distinct lines: all of cold keys, with n = 1, and a forest for hot
     ones, with n = 0; rows with a = b have the n links that a line has in hot cells. A stored table."""
-    hot = stored(keyed(distinct, edits, False).groupBy("key").count().where(F.col("count") > HOT).select("key"))
-    warm = small(hot)
-    every = keyed(distinct, edits, True)
-    index = keyed(distinct, edits, False).join(warm, "key", "left_anti").select("key", F.col("id").alias("b"))
-    pairs = index.join(every.select("id", "key"), "key").where("id <> b")
-    pairs = stored(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
-    members = stored(every.select("id", "key").join(warm, "key", "left_semi").distinct())
+    most = sum((e**2 - d**2) // 2 + e + 1 for e in (edits,) for d in range(e + 1))
+    pairs, members = pairs_and_members(met(keyed(distinct, buckets(most * distinct.count()), edits, per, HOT), HOT))
     of_line = members.groupBy("id").agg(F.collect_set("key").alias("hot"))
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
     held = distinct.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
     held = stored(held.join(of_line, "id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>"))))
 
+    def close(first: list[str], second: list[str]) -> np.ndarray:
+        allowed = budget(np.array([min(len(a), len(b)) for a, b in zip(first, second, strict=True)], int), edits, per)
+        out = np.zeros(len(first), bool)
+        for e in np.unique(allowed):
+            some = np.flatnonzero(allowed == e)
+            out[some] = near([first[i] for i in some], [second[i] for i in some], int(e))
+        return out
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[near(batch["first"].tolist(), batch["second"].tolist(), edits)][["a", "b"]].assign(n=1)
+            yield batch[close(batch["first"].tolist(), batch["second"].tolist())][["a", "b"]].assign(n=1)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
@@ -171,26 +214,28 @@ def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     return stored(cold.union(dealt.groupBy("key", "cell_").applyInPandas(within, "a long, b long, n long")))
 
 
-def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
     """row_, place, n (characters), at (order), class, first (its least at), links (distinct lines near this one) of every
     line whose class has more than one line, equal ones counted; a stored table."""
-    long = F.length("line") >= least
-    distinct = stored(lines(docs).where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line"))
-    found = near_lines(distinct, edits)
+    distinct = lines(docs).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), F.xxhash64("line").alias("hash"), "times", "line"))
+    found = near_lines(distinct.where(F.length("line") >= least).select("id", "line"), edits, per)
     ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("id")
     links = found.where("n > 0").select(ends, "n").groupBy("id").agg(F.sum("n").alias("links"))
-    classes = small(stored(components(found.select("a", "b")).join(links, "id", "left").select("id", "component", F.coalesce("links", F.lit(0)).alias("links"))))
+    near = stored(components(found.select("a", "b")).join(links, "id", "left"))
+    near = stored(distinct.select("id", "hash", "times").join(small(near), "id", "left").where("component is not null or times > 1").select("hash", F.coalesce("links", F.lit(0)).alias("links"), "component"))
+    names = near.where("component is not null").groupBy("component").agg(F.min("hash").alias("class"))
+    classes = small(stored(near.join(small(stored(names)), "component", "left").select("hash", "links", F.coalesce("class", "hash").alias("class"))))
     at = F.struct("doc_id", "row_", "place").alias("at")
-    seen = lines(docs, "doc_id").where(long | F.col("line").rlike(r"\S")).select("row_", "place", F.length("line").alias("n"), F.xxhash64("line").alias("id"), at)
-    seen = stored(seen.join(classes, "id", "left").select("row_", "place", "n", "at", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
-    many = small(stored(seen.groupBy("class").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")))
-    return stored(seen.join(many, "class"))
+    seen = lines(docs, "doc_id").select("row_", "place", F.length("line").alias("n"), F.xxhash64("line").alias("hash"), at)
+    seen = stored(seen.join(classes, "hash").drop("hash"))
+    return stored(seen.join(small(stored(seen.groupBy("class").agg(F.min("at").alias("first")))), "class"))
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
     """row_, removed (places of the lines that go), source (row_ of the document of a smaller doc_id in which most
     characters of these lines began; null if there is none) for documents that lose a line; a stored table."""
-    gone = placed_lines(docs, edits, least).where("at <> first")
+    gone = placed_lines(docs, edits, least, per).where("at <> first")
     earlier = F.when(F.col("first.doc_id") < F.col("at.doc_id"), F.col("first.row_")).alias("source")
     parts = gone.groupBy("row_", earlier).agg(F.collect_set("place").alias("places"), F.sum("n").alias("n"))
     most = F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source")))["source"].alias("source")
@@ -227,24 +272,25 @@ def copies(docs: DataFrame, repeated: DataFrame, whole: float, words: int) -> Da
     return stored(pairs.mapInPandas(verify, "row_ long"))
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST, whole: float = 2.0, words: int = 5) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER, whole: float = 2.0, words: int = 5) -> DataFrame:
     """The documents without repeated lines; n_chars, if there, follows. Verified copies of one earlier document (the
     Jaccard similarity of their words in a row is `whole` or more, see `copies`) are left as they are, for a later stage
     that drops them; above 1 there are none."""
-    repeated = repeated_lines(docs, edits, least)
+    repeated = repeated_lines(docs, edits, least, per)
     if whole <= 1:
         repeated = repeated.join(small(copies(docs, repeated, whole, words)), "row_", "left_anti")
-    out = docs.withColumn("row_", row_key()).join(repeated.select("row_", "removed"), "row_", "left")
-    out = out.withColumn("text", F.when(F.col("removed").isNotNull(), _without("text", "removed")).otherwise(F.col("text"))).select(*docs.columns)
+    row, gone = free(docs, "row_"), free(docs, "removed")
+    out = docs.withColumn(row, row_key()).join(repeated.select(F.col("row_").alias(row), F.col("removed").alias(gone)), row, "left")
+    out = out.withColumn("text", F.when(F.col(gone).isNotNull(), _without("text", gone)).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of the lines that go), classes (place:class of the lines whose class has
     more than one), links (place:number of distinct other lines near it), each comma-joined by place."""
     counts = docs.select("doc_id", row_key().alias("row_"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     each = F.array_sort(F.collect_set(F.struct("place", "class", "links", (F.col("at") != F.col("first")).alias("goes")))).alias("each")
-    each = placed_lines(docs, edits, least).groupBy("row_").agg(each)
+    each = placed_lines(docs, edits, least, per).groupBy("row_").agg(each)
     removed = F.filter("each", lambda x: x["goes"])
     joined = lambda rows, *names: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", *[x[k].cast("string") for k in names])), ",")
     shown = [joined(removed, "place").alias("removed"), joined("each", "place", "class").alias("classes"), joined("each", "place", "links").alias("links")]

@@ -236,6 +236,7 @@ def test_banded_distance(edits):
 @pytest.mark.parametrize(("edits", "hot"), [(1, 64), (2, 64), (2, 3)])
 def test_line_dedup(spark, monkeypatch, edits, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(links.cells, "__defaults__", (4, False))
     rng = random.Random(hot + edits)
     base = ["".join(rng.choice("abc") for _ in range(rng.randint(4, 9))) for _ in range(12)]
     values = [None, "", "\n\n"]
@@ -254,7 +255,7 @@ def test_line_dedup(spark, monkeypatch, edits, hot):
     for i, k, x in seen:
         if first.setdefault(near.root(x), (i, k)) != (i, k):
             gone[i].add(k)
-    out = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(spark, values), edits, 4, whole=1e9).collect()}
+    out = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(spark, values), edits, 4, 1).collect()}
     assert out == {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(values)}
 
 
@@ -291,7 +292,7 @@ def test_line_classes_and_exact_links(spark, monkeypatch, hot):
                 near.join(x, y)
                 degree.update([x, y])
     often = Counter(near.root(x) for *_, x in seen)
-    rows = {r.doc_id: r for r in line_dedup.line_classes(docs(spark, values), 1, 4).collect()}
+    rows = {r.doc_id: r for r in line_dedup.line_classes(docs(spark, values), 1, 4, 1).collect()}
     parts = lambda text: {int(x.split(":")[0]): int(x.split(":")[1]) for x in text.split(",") if x}
     want = {(i, k): x for i, k, x in seen if often[near.root(x)] > 1}
     assert {(i, k): n for i, r in rows.items() for k, n in parts(r.links).items()} == {at: degree[x] for at, x in want.items()}
@@ -320,7 +321,7 @@ def test_near_lines_share_a_key(edits):
         b = "".join(b) or "a"
         long, short = sorted((a, b), key=len, reverse=True)
         found = defaultdict(set)
-        for at, key, indexed in line_dedup.keys([long, short], edits):
+        for at, key, indexed in line_dedup.keys([long, short], edits, 1):
             for i, k in zip(at.tolist(), key.tolist(), strict=True):
                 found[i, indexed].add(k)
         assert distance(a, b) > edits or len(short) <= edits or (found[0, True] | found[0, False]) & found[1, True]
