@@ -4,11 +4,14 @@ A text's fingerprint is the sorted set of its signatures' 32-bit hashes, eight h
 any signature has one of its whole self instead, so equal texts have equal fingerprints and other texts do not meet by
 having none. The likeness of two fingerprints is the Jaccard similarity of their sets.
 
-near_duplicates() deals sets out by their number of signatures, so that sets as similar as asked for are in one part or
-in neighbouring ones, compares only sets that share one of the signatures by which such sets must meet, and checks.
+classes() deals sets out by their number of signatures, so that sets as similar as asked for are in one part or in
+neighbouring ones, and pairs only sets that share one of the signatures by which such sets must meet, the rarest ones
+first; rarity is counted over all sets by SIGNS buckets of signatures. Signatures that very many sets share are compared
+block by block. Every pair is verified exactly.
 
 Null texts count as empty. Repeated rows give repeated results; in the order of documents, rows of one doc_id are ordered
-by text, and null doc_ids come last. Columns other than doc_id and text are not read.
+by text, and null doc_ids come last. An empty table gives an empty one; very long texts are read whole. Columns other than
+doc_id and text are not read, and ids never leave the JVM.
 """
 
 from __future__ import annotations
@@ -19,18 +22,21 @@ import string
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, texts
-from .links import components, small
+from .links import cells, components, small
+from .meeting import CHUNK, PACKED, buckets, met, packed, pairs_and_members
+from .ngram_join import forest, linked, mixed
 
 #: Common words of English, French, German and Spanish at which signatures begin, and those passed over.
 ANCHORS = frozenset("is was are that with this for have it est que qui dans pour avec sur ist nicht mit auf sich für con para por una su se".split())
 COMMON = ANCHORS | frozenset("a an and as at be by from he his in not of on or the to you au aux ce de des du elle en et il la le les leur mais ne ou par pas plus un une y das dem den der des die du ein eine er es im in sie und von zu al como del el ha lo los las más no o pero si sus".split())
-CHAIN, SIMILAR = 2, 0.8
+CHAIN, SIMILAR, SIGNS = 2, 0.8, 1 << 16
 STRIP = string.punctuation + "«»“”„’‘–—…¿¡"
 
 
@@ -60,46 +66,105 @@ def likeness(a: frozenset[str], b: frozenset[str]) -> float:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, signatures (array of hashes, sorted)."""
+    """doc_id, fingerprint."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "signatures": [sorted(signatures(t)) for t in batch["text"]]})
+            yield pd.Series([fingerprint(signatures(t)) for t in batch], dtype=object)
 
-    return texts(docs).mapInPandas(run, "doc_id long, signatures array<string>")
+    return texts(docs).select("doc_id", of("text").alias("fingerprint"))
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id: the least doc_id that links of at least that similarity reach.
+def signs(fingerprints: pd.Series) -> list[np.ndarray]:
+    """The signatures of each fingerprint, as numbers."""
+    return [np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint64) for x in fingerprints]
+
+
+def set_keys(x: np.ndarray, often: np.ndarray, similar: float) -> tuple[int, np.ndarray]:
+    """The part of a set of signatures, and the signatures by which it meets sets as similar: all but the ceil(similar * n)
+    - 1 most frequent ones. Whatever the order, two such sets share one of these."""
+    n = len(x)
+    order = np.lexsort((x, often[(x % np.uint64(SIGNS)).astype(np.int64)]))
+    return math.floor(math.log(n) / -math.log(similar) + 1e-9), x[order[: n - math.ceil(similar * n - 1e-9) + 1]]
+
+
+def near_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links a, b of ids in a stored table (id, fingerprint), which join what is as similar: all of cold signatures, a
+    spanning forest of each two blocks for hot ones."""
+    sign = F.conv(F.substring("fingerprint", 8 * F.col("at") + 5, 4), 16, 10).cast("int")  # the last 16 of 32 bits
+    each = sets.select("fingerprint", F.explode(F.sequence(F.lit(0), (F.length("fingerprint") / 8).cast("int") - 1)).alias("at"))
+    counted = each.groupBy(sign.alias("sign")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # SIGNS rows at most
+    often = np.zeros(SIGNS, np.int64)
+    often[counted["sign"].to_numpy(int)] = counted["n"]
+    entries = 2 * sets.count() + int(2 * (1 - similar) * often.sum())
+    n = buckets(entries)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, found = batch["id"].to_numpy(), signs(batch["fingerprint"])
+            at = 0
+            while at < len(ids):
+                far = np.flatnonzero((ids[at:] < ids[at]) | (ids[at:] >= ids[at] + CHUNK))
+                to = at + int(far[0]) if len(far) else len(ids)
+                row, key, own = [], [], []
+                for i in range(at, to):
+                    part, few = set_keys(found[i], often, similar)
+                    for more in (0, 1):
+                        key.append(mixed(few * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part + more)))
+                    row.append(np.full(2 * len(few), ids[i] - ids[at]))
+                    own.append(np.repeat([True, False], len(few)))
+                with np.errstate(over="ignore"):
+                    yield packed(int(ids[at]), *map(np.concatenate, (row, key, own)), n)
+                at = to
+
+    pairs, members = pairs_and_members(met(sets.select("id", "fingerprint").mapInPandas(keys, PACKED)))
+    held = small(stored(sets.select("id", "fingerprint").join(small(stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())), "id", "left_semi")))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yes = [likeness(frozenset(x.tolist()), frozenset(y.tolist())) >= similar - 1e-9 for x, y in zip(signs(batch["x"]), signs(batch["y"]), strict=True)]
+            yield batch[np.array(yes, bool)][["a", "b"]]
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        yes = np.triu(linked(signs(pdf["fingerprint"]), round(100 * similar)), 1)
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in forest(len(ids), zip(*(x.tolist() for x in np.nonzero(yes)), strict=True))], columns=["a", "b"], dtype="int64")
 
-    A set of n signatures shares one of its first n - ceil(similar * n) + 1, in the order of their hashes, with every set
-    that is as similar: both index these few. Parts by length keep sets apart that differ too much in length.
-    """
-    sets = stored(fingerprints(docs).where("doc_id is not null").withColumn("set_", F.sha2(F.array_join("signatures", ""), 256)))
-    first = sets.groupBy("set_").agg(F.min("doc_id").alias("id"))
-    reps = stored(first.join(sets.withColumnRenamed("doc_id", "id"), ["set_", "id"]).dropDuplicates(["id"]).withColumn("n", F.size("signatures")))
-    part = F.floor(F.log("n") / -math.log(similar)).cast("int")
-    few = F.slice("signatures", F.lit(1), (F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1).cast("int"))
-    index = reps.select("id", "n", part.alias("part"), F.explode(few).alias("sign"))
-    probe = index.select(F.col("id").alias("other"), F.col("n").alias("m"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "sign")
-    close = (F.col("id") != F.col("other")) & (F.least("n", "m") >= F.lit(similar) * F.greatest("n", "m") - 1e-9)
-    pairs = stored(index.join(probe, ["part", "sign"]).where(close).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-    held = small(reps.select("id", "signatures"))
     sides = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    links = sides.where(both >= F.lit(similar) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
-    copies = sets.join(first, "set_").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    ends = components(links.union(copies)).toDF("doc_id", "class_id")
-    return sets.select("doc_id").join(ends, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    dealt = cells(members, "key").join(sets.select("id", "fingerprint"), "id")
+    return stored(sides.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long").union(dealt.groupBy("key", "cell_").applyInPandas(within, "a long, b long")))
+
+
+def classes(prints: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """print_ (hash of the fingerprint), class_id: the least doc_id that links of at least that similarity reach, of the
+    fingerprints of stored rows (doc_id, fingerprint) that more than one document reaches."""
+    sets = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()))
+    ends = small(stored(components(near_sets(sets, similar))))
+    many = stored(sets.join(ends, "id", "left").where("component is not null or times > 1").select(F.xxhash64("fingerprint").alias("print_"), F.coalesce("component", "id").alias("component"), "least"))
+    return stored(many.select("print_", "component").join(small(stored(many.groupBy("component").agg(F.min("least").alias("class_id")))), "component").select("print_", "class_id"))
+
+
+def with_class(prints: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Stored rows (doc_id, fingerprint, more) with their class_id; rows of a null doc_id have one only if another
+    document's fingerprint is the same."""
+    known = small(classes(prints, similar))
+    return prints.withColumn("print_", F.xxhash64("fingerprint")).join(known, "print_", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("print_")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id: the least doc_id that links of at least that similarity reach."""
+    return with_class(stored(fingerprints(docs)), similar).select("doc_id", "class_id")
 
 
 #: Documents of a range, about; and most ranges.
 RANGE_ROWS, RANGES = 2000, 16_384
 
 
-def followed(docs: DataFrame, work, schema: str) -> DataFrame:
-    """Rows of work(doc_id, text, next document's text), where documents are in descending doc_id and the first follows
-    the last.
+def followed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, after: the next document's text, where documents are in descending doc_id and the first follows the
+    last.
 
     Documents are dealt into ranges of doc_id and sorted within them; the highest of each range also goes to the range
     above, as what follows that range's lowest. Of the ranges, RANGES at most, bounds and highest pass through the driver.
@@ -122,21 +187,8 @@ def followed(docs: DataFrame, work, schema: str) -> DataFrame:
     own = F.struct(F.col("range_"), F.lit(0).alias("ghost"))
     ghost = F.struct(F.col("above_").alias("range_"), F.lit(1).alias("ghost"))
     dealt = marked.select("doc_id", "text", "key_", F.explode(F.when(is_top, F.array(own, ghost)).otherwise(F.array(own))).alias("at_"))
-    dealt = dealt.select("at_.range_", "at_.ghost", "key_", "doc_id", "text").repartition(len(tops) or 1, "range_").sortWithinPartitions("range_", "ghost", F.desc("key_"), F.desc("doc_id"), F.desc(F.xxhash64("text")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if last is not None and last.range_ == row.range_:
-                    if not last.ghost:
-                        out.append(work(last.doc_id, last.text, row.text))
-                last = row
-            yield pd.DataFrame(out, columns=names)
-
-    names = [x.split()[0] for x in schema.split(", ")]
-    return dealt.mapInPandas(run, schema)
+    within = Window.partitionBy("at_.range_").orderBy("at_.ghost", F.desc("key_"), F.desc("doc_id"), F.desc(F.xxhash64("text")))
+    return dealt.select("doc_id", "text", F.lead("text").over(within).alias("after"), F.col("at_.ghost").alias("ghost_")).where("ghost_ = 0").drop("ghost_")
 
 
 def edited(text: str, after: str) -> str:
@@ -145,10 +197,21 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def work(doc_id, text, after):
-        changed = edited(text, after)
-        own, other, later = signatures(text), signatures(changed), signatures(after)
-        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(own), fingerprint(other), likeness(own, other), likeness(own, later)
+def described(docs: DataFrame) -> DataFrame:
+    """The fingerprint of each text and of its edited text, and how like they and the next document's are."""
+
+    @F.pandas_udf("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def describe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, after in zip(*batch, strict=True):
+                changed = edited(text, after)
+                own, other, later = signatures(text), signatures(changed), signatures(after)
+                rows.append((len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(own), fingerprint(other), likeness(own, other), likeness(own, later)))
+            yield pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return followed(table(spark, sf_dir, "documents"), work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return followed(docs).select("doc_id", describe("text", "after").alias("of")).select("doc_id", "of.*")
+
+
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_class(stored(described(table(spark, sf_dir, "documents"))))

@@ -329,7 +329,7 @@ def test_near_lines_share_a_key(edits):
 
 def test_spot_signatures(spark):
     values = [f"the fox that jumped over lazy dog {i} with a green hat" for i in range(5)] + ["", None, "zz", "zz", "that red fox is very quick for brown dogs"]
-    rows = {r.doc_id: r for r in spotsigs.followed(docs(spark, values), lambda d, t, n: (d, t, n), "doc_id long, text string, after string").collect()}
+    rows = {r.doc_id: r for r in spotsigs.followed(docs(spark, values)).collect()}
     assert [rows[i].after for i in range(10)] == [values[i - 1] or "" for i in range(10)]
     signs = [spotsigs.signatures(t or "") for t in values]
     assert signs[7] == signs[8] and len({spotsigs.fingerprint(s) for s in signs}) == 9 - 1 - (signs[5] == signs[6]) + 1 - (len(set(signs[:5])) < 5) * (5 - len(set(signs[:5])))
