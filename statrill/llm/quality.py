@@ -35,6 +35,8 @@ FIT_ROWS, FOLDS, THRESHOLD, PRIOR = 6000, 5, 0.3, 0.8
 CUTS, STEPS, RATE, DECAY = 12, 250, 0.1, 1e-4
 #: Texts of each kind from which a prior is estimated, at least; with fewer it is PRIOR.
 SURE = 200
+#: Measures of a text.
+SHAPES = 18
 #: Buckets of hashed words, and their decay: content is to weigh less than shape.
 BUCKETS, WORD_DECAY = 1024, 5e-2
 _PUNCTUATION = str.maketrans("", "", string.punctuation)
@@ -46,7 +48,7 @@ def measures(text: str) -> list[float]:
     """Measures of a text's shape; all 0 for a text without words."""
     words, lines = text.split(), text.split("\n")
     if not words:
-        return [0.0] * 18
+        return [0.0] * SHAPES
     n, w = len(text), len(words)
     letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
     often, lower = Counter(words), text.lower()
@@ -71,7 +73,7 @@ class Texts:
     """Measures of texts, and the bitmaps of their words."""
 
     def __init__(self, x: list[list[float]], words: list[bytes]):
-        self.x = np.array(x, dtype=float).reshape(len(x), -1)
+        self.x = np.array(x, dtype=float).reshape(len(x), SHAPES)
         self.words = np.frombuffer(b"".join(words), np.uint8).reshape(len(x), BUCKETS // 8)
 
     def __len__(self) -> int:

@@ -2,12 +2,14 @@
 
 Patterns give candidates: `assign`, `access`, `hex`, and `opaque` (a run of 24 or more characters that mixes cases and
 digits and touches no other candidate). The hash of each candidate's value is counted over the whole corpus: in how many
-repositories (doc_id) and under how many owners (source) it stands. A value of EXAMPLE_OWNERS owners or more is a widely
-copied example; any other looks live. Candidates of the first three kinds are always reported, with that verdict; an
-opaque one is reported only if it looks live.
-
-Spans are code points, end exclusive. Null texts count as empty; a null source is one more owner; repeated rows give
-repeated results and count once as a repository; other columns are not read.
+repositories (different texts) and under how many owners (source; a text that several have is the least one's) it stands. A
+value of EXAMPLE_REPOSITORIES repositories and EXAMPLE_OWNERS owners or more is a widely copied example; any other looks
+live: one owner's however often, or of copies of one document. Candidates of the first three kinds are always reported,
+with that verdict and both counts; an opaque one is reported only if it looks live.
+
+Spans are code points, end exclusive. Null texts count as empty; a null source is one more owner; of spans that touch, each
+is reported, and what they cover is masked. Repeated rows give repeated results and count once as a repository. An empty
+table gives an empty one; a very long text is scanned whole. Columns other than doc_id, source and text are not read.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free, stored, table
 
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: A run of these is taken whole, so the least length may stand in the pattern.
 ACCESS, HEX, OPAQUE = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
-LEAST_VALUE, EXAMPLE_OWNERS = 6, 3
+LEAST_VALUE, EXAMPLE_REPOSITORIES, EXAMPLE_OWNERS = 6, 3, 3
 #: Rows of one value are dealt to so many places when they meet its verdict.
 SALT = 32
 SPAN = "array<struct<start: int, rank: int, kind: string, end: int, hash: string>>"
@@ -44,56 +46,63 @@ def _hits(text: Column, rank: int, pattern: str, value: int, holds) -> Column:
 
 
 def candidates(docs: DataFrame, *more: Column) -> DataFrame:
-    """row_ (a number of each row), doc_id, source, more, spans: all candidates by start, then kind."""
+    """row_ (a number of each row), copy_ (hash of its text), doc_id, source, more, spans: all candidates by start, then kind."""
     text = F.col("text")
     assign = F.when(text.contains("=") | text.contains(":"), _hits(text, 0, ASSIGN, 2, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= LEAST_VALUE))
     mixed = lambda h: h.rlike("[0-9]") & h.rlike("[a-z]") & h.rlike("[A-Z]")
     base = [F.coalesce(x, F.array().cast(SPAN)) for x in (assign, _hits(text, 1, ACCESS, 0, lambda h: F.lit(True)), _hits(text, 2, HEX, 0, lambda h: F.lit(True)))]
     opaque = F.coalesce(_hits(text, 3, OPAQUE, 0, mixed), F.array().cast(SPAN))
-    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("row_", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), *more).withColumns({"row_": F.monotonically_increasing_id(), "copy_": F.xxhash64("text")})
     kept = [c for c in rows.columns if c != "text"]
     rows = rows.select(*kept, F.concat(*base).alias("base"), opaque.alias("opaque"))
     apart = F.filter("opaque", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return rows.select(*kept, F.array_sort(F.concat("base", apart)).alias("spans"))
 
 
-def examples(spans: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """hash, repositories, owners of the values that so many owners or more have."""
-    each = spans.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash"))
-    return each.groupBy("hash").agg(F.count_distinct("doc_id").alias("repositories"), F.count_distinct("source").alias("owners")).where(F.col("owners") >= owners)
+def counted(spans: DataFrame) -> DataFrame:
+    """hash, repositories, owners, example of the values that stand in more than one text."""
+    each = spans.select("copy_", F.coalesce("source", F.lit("")).alias("source"), F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash"))
+    of_text = each.groupBy("hash", "copy_").agg(F.min("source").alias("owner"))
+    out = of_text.groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"), F.count_distinct("owner").alias("owners"))
+    return out.where("repositories > 1").withColumn("example", (F.col("repositories") >= EXAMPLE_REPOSITORIES) & (F.col("owners") >= EXAMPLE_OWNERS))
+
+
+VERDICT = "array<struct<start: int, rank: int, kind: string, end: int, live: boolean, repositories: bigint, owners: bigint>>"
 
 
-def judged(found: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """row_, spans: start, rank, kind, end, live of the reported spans of each row that has a candidate."""
+def judged(found: DataFrame) -> DataFrame:
+    """row_, spans: start, rank, kind, end, live, repositories, owners of the reported spans of each row that has a candidate."""
     salt = F.pmod(F.xxhash64("row_", "span.start"), F.lit(SALT)).cast("int")
     each = found.select("row_", F.explode("spans").alias("span")).select("row_", "span", F.col("span.hash").alias("hash"), salt.alias("salt"))
-    known = examples(found, owners).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(False).alias("live"))
-    marked = each.join(known, ["hash", "salt"], "left").withColumn("live", F.coalesce("live", F.lit(True)))
-    kept = marked.where((F.col("span.kind") != "opaque") | F.col("live"))
-    return kept.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "span.kind", "span.end", "live"))).alias("spans"))
+    known = counted(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    one = {"repositories": F.coalesce("repositories", F.lit(1)), "owners": F.coalesce("owners", F.lit(1)), "live": ~F.coalesce("example", F.lit(False))}
+    kept = each.join(known, ["hash", "salt"], "left").withColumns(one).where((F.col("span.kind") != "opaque") | F.col("live"))
+    return kept.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "span.kind", "span.end", "live", "repositories", "owners"))).alias("spans"))
 
 
-def secret_spans(docs: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """doc_id, spans (kind, start, end, live), one row for each of the documents."""
+def secret_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, spans (kind, start, end, live, repositories, owners), one row for each of the documents."""
     found = stored(candidates(docs))
-    spans = F.transform(F.coalesce("verdict", F.array().cast("array<struct<start: int, rank: int, kind: string, end: int, live: boolean>>")), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["live"].alias("live")))
-    return found.select("row_", "doc_id").join(judged(found.where(F.size("spans") > 0), owners).withColumnRenamed("spans", "verdict"), "row_", "left").select("doc_id", spans.alias("spans"))
+    names = ("kind", "start", "end", "live", "repositories", "owners")
+    spans = F.transform(F.coalesce("verdict", F.array().cast(VERDICT)), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    return found.select("row_", "doc_id").join(judged(found.where(F.size("spans") > 0)).withColumnRenamed("spans", "verdict"), "row_", "left").select("doc_id", spans.alias("spans"))
 
 
-def redacted(docs: DataFrame, owners: int = EXAMPLE_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every live-looking span of their text replaced; examples stay. n_chars, if there, follows."""
-    key = F.xxhash64("doc_id", "text", "source").alias("key_")
-    found = stored(candidates(docs, key).where(F.size("spans") > 0))
-    spans = judged(found, owners).select("row_", F.filter("spans", lambda x: x["live"]).alias("live_")).where(F.size("live_") > 0)
-    live = found.select("row_", "key_").join(spans, "row_").groupBy("key_").agg(F.any_value("live_").alias("live_"))
+    own, live = free(docs, "key_"), free(docs, "live_")
+    key = F.xxhash64("doc_id", "text", "source")
+    found = stored(candidates(docs, key.alias("key_")).where(F.size("spans") > 0))
+    spans = judged(found).select("row_", F.filter("spans", lambda x: x["live"]).alias("live_")).where(F.size("live_") > 0)
+    spans = found.select("row_", "key_").join(spans, "row_").groupBy(F.col("key_").alias(own)).agg(F.any_value("live_").alias(live))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         before = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate("live_", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = docs.select("*", key).join(live, "key_", "left").withColumn("text", F.when(F.col("live_").isNotNull(), masked).otherwise(F.col("text"))).drop("key_", "live_")
+    masked = F.aggregate(live, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    out = docs.withColumn(own, key).join(spans, own, "left").withColumn("text", F.when(F.col(live).isNotNull(), masked).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
@@ -105,4 +114,5 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda x: x["kind"] != "opaque")
     n = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), F.size(F.filter(spans, lambda x: ~x["live"])).cast("long").alias("n_examples"))
+    seen = lambda what: F.array_join(F.transform(spans, lambda x: x[what].cast("string")), ",").alias(what)
+    return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), F.size(F.filter(spans, lambda x: ~x["live"])).cast("long").alias("n_examples"), seen("repositories"), seen("owners"))

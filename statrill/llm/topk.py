@@ -6,13 +6,17 @@ their weights (complemented for negative ones), are summed with carry-save adder
 is read off from the most significant slice downward; every row whose sum is within the rounding errors' bound of it (by
 the Cauchy-Schwarz inequality) is a boundary row, and is resolved with its exact integer score.
 
+Queries meet rows in cells of a grid: a cell holds up to SIDE blocks of queries and as many blocks of rows, whose index it
+builds once. It gives the k best rows of each of its queries; the best of these over all cells are the result.
+
 Vectors that are null or empty, or hold a null or non-finite component, or have no id, take no part. Vectors of unequal
-length do not meet. Repeated rows count each; ties go to the smaller id. Other columns are not read.
+length do not meet. Repeated rows count each; ties go to the smaller id. An empty table gives an empty one. Very long vectors
+are indexed whole. Scores are 64-bit integers, which components beyond some 2**20 may exceed. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SCALE, LOW_BITS, WEIGHT = 256, 2, 4
-#: Rows of a block of the index, and of a block of queries.
-ROWS, QUERIES = 8192, 256
+#: Rows of a block of the index, and of a block of queries; cells that are sought, and blocks of a cell's side at most.
+ROWS, QUERIES, CELLS, SIDE = 8192, 256, 4096, 8
 
 
 def quantised(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -34,15 +38,15 @@ def quantised(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     return vectors.select(F.col(id_).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~bad).select("id", whole.alias("x"), F.size("x").alias("dim"))
 
 
-def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """One row for each block: dim, its number, ids and the integer matrix as bytes."""
+def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """One row for each block: dim, its number, ids and the integer matrix as bytes; and how many numbers there are."""
     n = max(1, -(-rows.count() // size))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], name: [pdf["block_"].iloc[0]], f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{name}_x": [np.stack(pdf["x"].to_numpy()).astype(np.int64).tobytes()]})
 
-    return stored(rows.withColumn("block_", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("dim", "block_").applyInPandas(pack, f"dim int, {name} int, {name}_ids binary, {name}_x binary"))
+    return stored(rows.withColumn("block_", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("dim", "block_").applyInPandas(pack, f"dim int, {name} int, {name}_ids binary, {name}_x binary")), n
 
 
 class BitSlices:
@@ -134,24 +138,29 @@ class BitSlices:
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id, score: the k rows of the largest score for each query, other than those of its own id."""
-    pairs = blocks(queries, QUERIES, "query").join(blocks(rows, ROWS, "row"), "dim")
-    pairs = pairs.repartition(max(1, pairs.count()), "query", "row", "dim")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pair in batch.itertuples(index=False):
-                ids, x = np.frombuffer(pair.row_ids, np.int64), np.frombuffer(pair.row_x, np.int64).reshape(-1, pair.dim)
-                index, out = BitSlices(x), []
-                for query, q in zip(np.frombuffer(pair.query_ids, np.int64), np.frombuffer(pair.query_x, np.int64).reshape(-1, pair.dim), strict=True):
-                    own = int((ids == query).sum())
-                    few = index.candidates(q, k + own)
+    (some, n), (every, m) = blocks(queries, QUERIES, "query"), blocks(rows, ROWS, "row")
+    side = min(SIDE, math.ceil(math.sqrt(n * m / CELLS)))
+    tile = lambda name: F.floor(F.col(name) / side).cast("int")
+    along = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // side)))
+    some = some.select("dim", tile("query").alias("i"), along(m).alias("j"), "query_ids", "query_x")
+    every = every.select("dim", along(n).alias("i"), tile("row").alias("j"), "row_ids", "row_x")
+
+    def run(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype="int64")]
+        for row in own.itertuples(index=False):
+            ids, x = np.frombuffer(row.row_ids, np.int64), np.frombuffer(row.row_x, np.int64).reshape(-1, row.dim)
+            index = BitSlices(x)
+            for block in others.itertuples(index=False):
+                for query, q in zip(np.frombuffer(block.query_ids, np.int64), np.frombuffer(block.query_x, np.int64).reshape(-1, block.dim), strict=True):
+                    few = index.candidates(q, k + int((ids == query).sum()))
                     few = few[ids[few] != query]
                     score = x[few] @ q
                     best = np.lexsort((ids[few], -score))[:k]
                     out.append(pd.DataFrame({"query_id": query, "id": ids[few][best], "score": score[best]}))
-                yield pd.concat(out)
+        return pd.concat(out)
 
-    best = pairs.mapInPandas(run, "query_id long, id long, score long")
+    cell = ("dim", "i", "j")
+    best = every.groupBy(*cell).cogroup(some.groupBy(*cell)).applyInPandas(run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

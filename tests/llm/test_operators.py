@@ -52,10 +52,11 @@ def test_packing_keeps_every_id(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng, capacity = random.Random(1), 64
-    values = ODD + [" ".join(rng.choice(["red", "greenish", "blue,", "x"]) for _ in range(rng.randint(1, 150))) for _ in range(120)]
+    special = ["<|endoftext|>", "hello <|endoftext|> x", "a<|endoftext|>b c  <|endoftext|>", "x <|endoftext|>y\n <|endoftext|><|endoftext|> z", "double  spaced  words  and   more " * 40]
+    values = ODD + special + [" ".join(rng.choice(["red", "greenish", "blue,", "x"]) for _ in range(rng.randint(1, 150))) for _ in range(120)]
     rows, of, held = packing.packed(docs(spark, values), P.path("byte_bpe_50k.json"), capacity, keep_ids=True).collect(), defaultdict(list), defaultdict(list)
+    assert tokenizer.encode(special[1], add_special_tokens=False).ids == [31373, 220, 50256, 2124]
     for r in rows:
         of[r.doc_id].append(r)
         held[r.sequence_id].append((r.offset, r.length))
@@ -112,7 +113,10 @@ def test_short_cards_and_ibans_before_capitals():
 def test_secrets_are_judged_by_their_owners(spark):
     shared, own, bare = "Zx9" * 8, "deadbeef" * 5, "aB3" * 9
     values = [f'token = "{shared}"', f"API_key:{shared} é", f"secret={shared}", f"token = '{own}'", bare, f"pwd {bare} AKIA{'A1' * 8}", None, "token=abc", f"secret:token:{own}"]
-    rows = {r.doc_id: [(s.kind, s.live, s.start, s.end) for s in r.spans] for r in secrets.secret_spans(docs(spark, values)).collect()}
+    values += [f"hash {'0a1b' * 7}"] * 3  # copies of one text are one repository, whoever has them
+    found = secrets.secret_spans(docs(spark, values)).collect()
+    rows = {r.doc_id: [(s.kind, s.live, s.start, s.end) for s in r.spans] for r in found}
+    assert [(s.repositories, s.owners) for i in (0, 3, 10) for r in found if r.doc_id == i for s in r.spans] == [(3, 3), (2, 1), (2, 1), (1, 1)] and [x[1] for i in (9, 10, 11) for x in rows[i]] == [True] * 3
     assert [x[:2] for x in rows[0]] == [("assign", False)] and [x[:2] for x in rows[3]] == [("assign", True), ("hex", True)]
     assert rows[4] == [("opaque", True, 0, 27)] and {x[0] for x in rows[5]} == {"opaque", "access"} and rows[6] == rows[7] == [] and [x[0] for x in rows[8]] == ["hex"]
     out = {r.doc_id: r for r in secrets.redacted(docs(spark, values)).collect()}
@@ -120,6 +124,39 @@ def test_secrets_are_judged_by_their_owners(spark):
     assert secrets.secret_spans(docs(spark, values).limit(0)).count() == 0
 
 
+def test_secrets_are_those_of_brute_force(spark):
+    """All spans, counts and verdicts against the patterns in another engine and plain counting, over texts put together from
+    pieces of every kind, some of them touching."""
+    rng = random.Random(11)
+    alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+    some = lambda k, n: "".join(rng.choice(alphabets[k]) for _ in range(n))
+    values = [some(0, 26), some(2, 30), some(2, 8), "AKIA" + some(1, 16), "AKIA" + some(1, 15), some(0, 23), "\U0001f600é", "word", "-" * 30]
+    piece = lambda: rng.choice([rng.choice(values), f"{rng.choice(['Password', 'api_key', 'APIKEY', 'to\u212aen', 'secret'])}{rng.choice(['=', ' : ', '\": \"', '\t='])}{rng.choice(values)}"])
+    texts = [None, ""] + [rng.choice([" ", "", "\n", ","]).join(piece() for _ in range(rng.randint(1, 6))) for _ in range(250)]
+    texts += texts[5:15]
+
+    def base(t):
+        spans = [(m.start(), 0, "assign", m.end(), m[2]) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, "access", m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        return spans + [(m.start(), 2, "hex", m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+
+    found = {}
+    for i, t in enumerate(texts):
+        first = base(t or "")
+        more = [(m.start(), 3, "opaque", m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]+", t or "") if len(m[0]) >= 24 and all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        found[i] = sorted(first + [x for x in more if not any(y[0] < x[3] and x[0] < y[3] for y in first)])
+    owner = {}
+    for i, spans in found.items():
+        for x in spans:
+            own = owner.setdefault(x[4], {})
+            own[texts[i]] = min(own.get(texts[i], "z"), f"s{i % 5}")
+    counts = {v: (len(o), len(set(o.values()))) for v, o in owner.items()}
+    live = {v: not (a >= 3 and b >= 3) for v, (a, b) in counts.items()}
+    want = {i: [(k, a, b, live[v], *counts[v]) for a, _, k, b, v in spans if k != "opaque" or live[v]] for i, spans in found.items()}
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.secret_spans(docs(spark, texts)).collect()} == want
+    assert {True, False} == set(live.values()) and {"assign", "access", "hex", "opaque"} == {x[0] for s in want.values() for x in s}
+
+
 def test_licences(spark):
     grant = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
     values = ["Released under the MIT License.", "x.\nLicensed under the Apache License, Version 2.0. And this work is licensed under the GNU General Public License, version 3.", grant, "a licensed thing", None, ""]
