@@ -11,6 +11,8 @@ from .common import stored
 BROADCAST_ROWS = 500_000
 #: Members of a block; two blocks at most meet in a task.
 BLOCK = 512
+#: What the rows of a block weigh together, about, where they have a weight: tokens.
+WEIGHT = 2_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -40,12 +42,14 @@ def components(links: DataFrame) -> DataFrame:
     return now.union(now.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
 
 
-def cells(members: DataFrame, group: str, block: int = BLOCK, own: bool = False) -> DataFrame:
+def cells(members: DataFrame, group: str, block: int = BLOCK, own: bool = False, weight: str | None = None) -> DataFrame:
     """Rows of `group` (not null) dealt out so that each two of a group meet in a task: adds cell_ and, if asked for, own_ (the row's block).
 
-    Groups of up to `block` rows are one cell; larger ones are cut into blocks by id, and a cell holds two blocks.
+    Groups of up to `block` rows, whose column `weight` (if named) adds up to WEIGHT at most, are one cell; larger ones are
+    cut into blocks by id, and a cell holds two blocks.
     """
-    sizes = small(stored(members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks_")).where("blocks_ > 1")))
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(weight) / WEIGHT if weight else F.lit(0.0))).cast("int")
+    sizes = small(stored(members.groupBy(group).agg(blocks.alias("blocks_")).where("blocks_ > 1")))
     dealt = members.join(sizes, group, "left").withColumn("blocks_", F.coalesce("blocks_", F.lit(1))).withColumn("own_", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks_")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks_") - 1)
     met = F.explode(F.transform(others, lambda x: F.struct(F.least("own_", x).alias("i"), F.greatest("own_", x).alias("j"))))

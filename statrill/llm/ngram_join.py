@@ -7,16 +7,18 @@ Linked sets differ in at most H tokens. If D segments of the first kind all diff
 differences are left for the W of the second kind, so W - (H - 2 D) of these are equal; two sets of W keys that have so
 many in common agree in one of their H - 2 D + 1 first keys under any order of keys, here the fullest segments first.
 Thus empty and nearly empty segments, which bring unrelated documents together, are left out without losing a link. D and W are
-the cheapest choice for each band, by the number of keys and of pairs that keys of few tokens are expected to bring together.
+the cheapest choice for each band, by the number of keys and of pairs that are expected to meet in vain.
 
 A set has the keys of its own band and of the next. Nodes of a key are tied to its least one, first within the chunk of
-documents at hand, so that a key is shuffled once for a chunk, then over all; components of these ties hold all links.
-Within a component, block by block, intersections are counted exactly, as products of incidence matrices, and each block
-pair keeps a spanning forest of its links.
+documents at hand, so that a key is shuffled once for a chunk, then over all; components of these ties hold all links. What
+chance ties bring into large groups, other segments part again: sets of such a group are keyed anew within it, up to ROUNDS
+times. Within a group, in blocks bounded by sets and by tokens, intersections are counted exactly, as products of incidence
+matrices, and each block pair keeps a spanning forest of its links.
 
 Only one document of each set is compared. Nulls and texts without words have an empty set, which links with nothing: such a
 document is its own component. Repeated rows of a doc_id are one document of several texts: links of either count. Null
-doc_ids are kept, without a component. Other columns are not read.
+doc_ids are kept, without a component. An empty table gives an empty one; very long texts are read whole. Of equal sets the
+least doc_id stands for all. Other columns are not read, and ids of documents never leave the JVM but within groups.
 """
 
 from __future__ import annotations
@@ -31,12 +33,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, texts
-from .links import BROADCAST_ROWS, cells, components
+from .links import BLOCK, cells, components, small
 
 #: Links: 100 * intersection >= PERCENT * union of sets of N-word shingles.
 N, PERCENT = 3, 90
-#: Cost of a pair that is compared in vain, in keys, and the share of documents expected to hold a given token.
-PAIR_COST, SHARED = 5, 1e-3
+#: Of the cost model: cost of a pair that meets in vain, in keys; the share of unrelated documents that hold a given token;
+#: related documents of each, and the share of tokens that they have in common.
+PAIR_COST, SHARED, RELATED, OVERLAP = 5, 1e-3, 30.0, 0.7
+#: Times that groups of more than BLOCK sets are dealt out anew by other segments.
+ROUNDS = 3
 #: Keys that are tied at once within a task.
 CHUNK = 1 << 21
 U = np.uint64
@@ -116,8 +121,11 @@ def differences(a: int, b: int, percent: int) -> int:
 
 
 @cache
-def allocation(top: int, percent: int, documents: int) -> tuple[int, int]:
-    """Segments indexed with deletions, and segments of which the fullest are indexed, for a band of sizes up to top."""
+def allocation(top: int, percent: int, documents: int, related: float = RELATED) -> tuple[int, int]:
+    """Segments indexed with deletions, and segments of which the fullest are indexed, for a band of sizes up to top: the
+    least number of keys and of pairs in vain, a pair counting as PAIR_COST keys. Unrelated documents meet in segments that
+    are nearly empty; related ones, which share OVERLAP of their tokens without linking, meet by sharing all of a segment,
+    or all but one token where that is forgiven. Full segments, of which deletions need fewer, keep them apart."""
     most = differences(top, top, percent)
     best = None
     for deleting in sorted({*range(min(17, (most + 3) // 2)), *((most + 1) * i // 64 for i in range(33))}):
@@ -126,27 +134,26 @@ def allocation(top: int, percent: int, documents: int) -> tuple[int, int]:
             m = deleting + whole
             if not m:
                 continue
-            tokens, cost, at_most = top / m, 0.0, 0.0
+            tokens, at_most = top / m, 0.0
             alike = math.exp(-tokens)
-            if deleting:
-                cost += deleting * (1 + tokens) * (1 + PAIR_COST * documents * (1 + tokens) * math.exp(-tokens * (1 - SHARED)))
-            if kept:
-                cost += kept
-                for k in range(4):
-                    at_most += alike
-                    cost += PAIR_COST * documents * SHARED**k * whole * min(alike, max(0.0, at_most - (1 - kept / whole)))
-                    alike *= tokens / (k + 1)
+            near = related * OVERLAP ** max(0.0, tokens - 1) * (OVERLAP + tokens * (1 - OVERLAP))
+            far = documents * (1 + tokens) * math.exp(-tokens * (1 - SHARED))
+            cost = deleting * (1 + tokens + PAIR_COST * (near + far)) + kept * (1 + PAIR_COST * related * OVERLAP**tokens)
+            for k in range(4 if kept else 0):
+                at_most += alike
+                cost += PAIR_COST * documents * SHARED**k * whole * min(alike, max(0.0, at_most - (1 - kept / whole)))
+                alike *= tokens / (k + 1)
             if best is None or cost < best[0]:
                 best = (cost, deleting, whole)
     return best[1], best[2]
 
 
-def band_keys(tokens: np.ndarray, band: int, top: int, percent: int, documents: int) -> np.ndarray:
-    """Keys of a set in a band of sizes up to top."""
+def band_keys(tokens: np.ndarray, band: int, top: int, percent: int, documents: int, seed: int = 0) -> np.ndarray:
+    """Keys of a set in a band of sizes up to top; the seed deals tokens to segments."""
     deleting, whole = allocation(top, percent, documents)
     kept, m = max(0, differences(len(tokens), top, percent) - 2 * deleting + 1), deleting + whole
     with np.errstate(over="ignore"):
-        segment = (mixed(tokens + U(band) * _BASE) >> U(33)).astype(np.int64) % m
+        segment = (mixed(tokens + U(band + (seed << 32)) * _BASE) >> U(33)).astype(np.int64) % m
         order = np.argsort(segment, kind="stable")
         segment, value = segment[order], mixed(tokens[order] ^ U(0xD6E8FEB86659FD93))
         total = np.concatenate([np.zeros(1, U), np.cumsum(value, dtype=U)])
@@ -165,15 +172,13 @@ def band_keys(tokens: np.ndarray, band: int, top: int, percent: int, documents:
 def sets(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_shingles, low, high (128 bits of the set; 0 for an empty one)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_shingles long, low long, high long")
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                x = shingles(text, n)
-                rows.append((doc_id, len(x), *(_sums(x) if len(x) else (0, 0))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "low", "high"])
+            rows = [(len(x), *(_sums(x) if len(x) else (0, 0))) for x in (shingles(text, n) for text in batch)]
+            yield pd.DataFrame(rows, columns=["n_shingles", "low", "high"], dtype="int64")
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, low long, high long")
+    return texts(docs).select("doc_id", signed("text").alias("set")).select("doc_id", "set.*")
 
 
 def _sums(x: np.ndarray) -> tuple[int, int]:
@@ -199,13 +204,14 @@ def tied(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([key[kept], made]), np.concatenate([value[kept], own, pairs[:, 1]])
 
 
-def keys(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """key, value: the nodes to be tied; tied nodes of a chunk have one row for each key."""
+def keys(held: DataFrame, documents: int, n: int = N, percent: int = PERCENT, seed: int = 0) -> DataFrame:
+    """key, value of texts (text, group_): the nodes to be tied, within their groups; tied nodes of a chunk have one row for
+    each key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts, found, value, held, seen = np.array(bands(percent, 1 << 12)), [], [], 0, set()
         for batch in batches:
-            for text in batch["text"]:
+            for text, group in zip(batch["text"], batch["group_"], strict=True):
                 x = shingles(text, n)
                 if len(x) >= starts[-2]:
                     starts = np.array(bands(percent, 2 * len(x)))
@@ -217,7 +223,7 @@ def keys(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) ->
                 seen.add(node)
                 band = int(np.searchsorted(starts, len(x), side="right")) - 1
                 for b in (band, band + 1):
-                    got = band_keys(x, b, int(starts[b + 1]) - 1, percent, documents).view(np.int64)
+                    got = band_keys(x, b, int(starts[b + 1]) - 1, percent, documents, seed).view(np.int64) ^ group
                     found.append(got)
                     value.append(np.full(len(got), node))
                     held += len(got)
@@ -227,7 +233,7 @@ def keys(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) ->
         if held:
             yield pd.DataFrame(dict(zip(("key", "value"), tied(np.concatenate(found), np.concatenate(value)), strict=True)))
 
-    return texts(docs).select("text").mapInPandas(run, "key long, value long")
+    return held.select("text", "group_").mapInPandas(run, "key long, value long")
 
 
 def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -265,15 +271,44 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 8192) -> np.ndar
     return 100 * both >= percent * (size[:, None] + size[None, :] - both)
 
 
+def tied_groups(held: DataFrame, documents: int, n: int, percent: int, seed: int) -> DataFrame:
+    """node, group_ of texts (text, group_): the components of the ties of their keys, of two nodes or more."""
+    found = keys(held, documents, n, percent, seed)
+    ties = found.select(F.col("value").alias("a"), F.min("value").over(Window.partitionBy("key")).alias("b")).where("a <> b").distinct()
+    return components(ties).toDF("node", "group_")
+
+
+def with_text(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows of a stored table of narrow rows, by id, with the text of their document."""
+    return texts(docs).withColumnRenamed("doc_id", "id").join(small(some), "id")
+
+
+def candidate_groups(docs: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n_shingles, group_ of the sets (id, n_shingles, low) that may link with another: links stay within a group."""
+    documents = max(1, first.count())
+    held = texts(docs).where("doc_id is not null").select("text", F.lit(0).cast("long").alias("group_"))
+    of_set = first.select("id", "n_shingles", node("low").alias("node"))
+    groups = stored(of_set.join(tied_groups(held, documents, n, percent, 0), "node"))
+    sets = None
+    for seed in range(1, ROUNDS):
+        large = stored(groups.groupBy("group_").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > BLOCK))
+        before, sets = sets, large.agg(F.sum("sets")).first()[0]
+        if sets in (None, before):
+            break
+        again = stored(groups.join(small(large.select("group_")), "group_"))
+        parted = tied_groups(with_text(docs, again.select("id", "group_")), documents, n, percent, seed)
+        groups = stored(groups.join(small(large.select("group_")), "group_", "left_anti").unionByName(again.drop("group_").join(parted, "node")))
+    return groups.select("id", "n_shingles", "group_")
+
+
 def link_forest(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links a, b that join what links within each group (id, group_): a spanning forest for every two blocks."""
-    dealt = stored(cells(stored(grouped), "group_").groupBy("id", "group_").agg(F.collect_list("cell_").alias("cells_")))
-    few = dealt.count() <= BROADCAST_ROWS
-    text = texts(docs).withColumnRenamed("doc_id", "id").join(F.broadcast(dealt) if few else dealt, "id")
+    """Links a, b that join what links within each group (id, n_shingles, group_): a spanning forest for every two blocks."""
+    dealt = stored(cells(grouped, "group_", weight="n_shingles").groupBy("id", "group_").agg(F.collect_list("cell_").alias("cells_")))
 
-    def held_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "group_": batch["group_"], "cells_": batch["cells_"], "tokens": [shingles(t, n).tobytes() for t in batch["text"]]})
+            yield pd.Series([shingles(t, n).tobytes() for t in batch], dtype=object)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -284,8 +319,7 @@ def link_forest(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> Da
         pairs = forest(len(ids), zip(*(x.tolist() for x in np.nonzero(np.triu(yes, 1))), strict=True))
         return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
-    cell = dealt.schema["cells_"].dataType
-    held = text.select("id", "group_", "cells_", "text").mapInPandas(held_sets, f"id long, group_ long, cells_ {cell.simpleString()}, tokens binary")
+    held = with_text(docs, dealt).select("id", "group_", "cells_", tokens("text").alias("tokens"))
     return held.select("id", "group_", F.explode("cells_").alias("cell_"), "tokens").groupBy("group_", "cell_").applyInPandas(within, "a long, b long")
 
 
@@ -294,14 +328,11 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     signed = stored(sets(docs, n))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = stored(full.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    found = keys(docs.where("doc_id is not null"), max(1, first.count()), n, percent)
-    ties = found.select(F.col("value").alias("a"), F.min("value").over(Window.partitionBy("key")).alias("b")).where("a <> b").distinct()
-    maybe = components(ties).toDF("node", "group_")
-    maybe = first.select(node("low").alias("node"), "id").join(maybe, "node").select("id", "group_")
-    found = link_forest(docs, maybe, n, percent)
-    copies = full.select("doc_id", "low", "high", "n_shingles").join(first.where("copies > 1").drop("copies"), ["low", "high", "n_shingles"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    ends = components(found.union(copies))
-    return signed.select("doc_id", "n_shingles").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = link_forest(docs, candidate_groups(docs, first, n, percent), n, percent)
+    many = small(stored(first.where("copies > 1").drop("copies")))
+    copies = full.select("doc_id", "low", "high", "n_shingles").join(many, ["low", "high", "n_shingles"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    ends = stored(components(found.union(copies)).withColumnRenamed("id", "doc_id"))
+    return signed.select("doc_id", "n_shingles").join(small(ends), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
