@@ -1,65 +1,165 @@
 """Licence recognition by sentences. DataFrame functions only.
 
-A text is cut into sentences (lines that a sentence runs over are joined first); each is normalised to lower-case
-words; known sentences become identifiers; the sequence of a text's identifiers is matched against ordered rules. A rule
-takes effect where an earlier one has not already used the same identifiers.
+A text is cut into sentences: indents, list numbers and comment marks go, wrapped lines are joined whatever their case, and
+a sentence ends at a full stop, at a blank line, or where a line begins with the opening words of a known sentence. Each is
+normalised to lower-case words; known sentences become identifiers, others a `?` (one for several in a row, none at either
+end); NEUTRAL ones are passed over. The sequence of a text's identifiers is matched against ordered rules. A rule takes
+effect where an earlier one has not already used the same identifiers, and not across a `?`.
 
 Null texts count as empty; a text without known sentences has no identifiers and no licence; identifiers that no rule
-takes give `unknown`. Repeated rows give repeated results; other columns are not read.
+takes give `unknown`. An empty table gives an empty one; a very long text is scanned whole if it holds one of ANCHORS.
+Repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, texts
 
-#: Normalised sentences of public licences and what they are called here.
+#: Sentences of public licences as published, and what they are called here.
 SENTENCES = {
-    "licensed under cc by nc 4 0": "CcByNc4",
-    "licensed under the apache license version 2 0": "Apache2",
-    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "Apache2Use",
-    "licensed under the mit license": "MitRef",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdGrant",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
-    "released under the mit license": "MitRef",
-    "spdx license identifier apache 2 0": "Apache2",
-    "spdx license identifier gpl 3 0 only": "Gpl3",
-    "spdx license identifier mit": "MitRef",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNotice",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitWarranty",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Later",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Later",
-    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdWarranty",
-    "this work is licensed under the gnu general public license version 3": "Gpl3",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2Basis",
+    "MitGrant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions:""",
+    "MitNotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MitWarranty": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "MitLiability": """IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BsdGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BsdSource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BsdBinary": """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution.""",
+    "BsdName": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission.""",
+    "BsdWarranty": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "BsdLiability": """IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+        CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "IscGrant": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies.""",
+    "IscWarranty": """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS.""",
+    "IscLiability": """IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "ApacheUse": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.""",
+    "ApacheBasis": """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "ApacheRef": "Licensed under the Apache License, Version 2.0.",
+    "MitRef": "Released under the MIT License.",
+    "MitUnder": "Licensed under the MIT License.",
+    "Gpl2Only": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as
+        published by the Free Software Foundation.""",
+    "Gpl2Later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "Gpl3Later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "Gpl3Ref": "This work is licensed under the GNU General Public License, version 3.",
+    "Lgpl21Later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "Lgpl3Later": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "Agpl3Later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "Mpl2Subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "UnlicenseFree": "This is free and unencumbered software released into the public domain.",
+    "CcBy4": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CcBySa4": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CcByNc4": "Licensed under CC BY-NC 4.0.",
+    "Cc0Waiver": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the
+        public domain worldwide.""",
 }
+#: Sentences that go with several licences and tell none apart.
+NEUTRAL = (
+    "All rights reserved.",
+    "You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "https://www.apache.org/licenses/LICENSE-2.0",
+    "See the License for the specific language governing permissions and limitations under the License.",
+    """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE.""",
+    """This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE.""",
+    "See the GNU General Public License for more details.",
+    "See the GNU Lesser General Public License for more details.",
+    "See the GNU Affero General Public License for more details.",
+    "2.0.",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+)
+#: Licence names of the short form `SPDX-License-Identifier: name`.
+SPDX = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
 #: Sequences of identifiers, in this order, and the licence that they mean.
 RULES = (
+    ("MitGrant,MitNotice,MitWarranty,MitLiability", "MIT"),
     ("MitGrant,MitNotice,MitWarranty", "MIT"),
+    ("BsdGrant,BsdSource,BsdBinary,BsdName,BsdWarranty,BsdLiability", "BSD-3-Clause"),
+    ("BsdGrant,BsdSource,BsdBinary,BsdName,BsdWarranty", "BSD-3-Clause"),
+    ("BsdGrant,BsdSource,BsdBinary,BsdWarranty,BsdLiability", "BSD-2-Clause"),
     ("BsdGrant,BsdSource,BsdBinary,BsdWarranty", "BSD-2-Clause"),
-    ("Apache2Use,Apache2Basis", "Apache-2.0"),
-    ("Apache2Use", "Apache-2.0"),
-    ("Apache2", "Apache-2.0"),
+    ("IscGrant,IscWarranty,IscLiability", "ISC"),
+    ("IscGrant,IscWarranty", "ISC"),
+    ("ApacheUse,ApacheBasis", "Apache-2.0"),
+    ("ApacheUse", "Apache-2.0"),
+    ("ApacheRef", "Apache-2.0"),
     ("MitRef", "MIT"),
-    ("Gpl3Later", "GPL-3.0-or-later"),
+    ("MitUnder", "MIT"),
+    ("Gpl2Only", "GPL-2.0-only"),
     ("Gpl2Later", "GPL-2.0-or-later"),
-    ("Gpl3", "GPL-3.0-only"),
+    ("Gpl3Later", "GPL-3.0-or-later"),
+    ("Gpl3Ref", "GPL-3.0-only"),
+    ("Lgpl21Later", "LGPL-2.1-or-later"),
+    ("Lgpl3Later", "LGPL-3.0-or-later"),
+    ("Agpl3Later", "AGPL-3.0-or-later"),
+    ("Mpl2Subject", "MPL-2.0"),
+    ("UnlicenseFree", "Unlicense"),
+    ("CcBy4", "CC-BY-4.0"),
+    ("CcBySa4", "CC-BY-SA-4.0"),
     ("CcByNc4", "CC-BY-NC-4.0"),
+    ("Cc0Waiver", "CC0-1.0"),
+    *((f"spdx:{x}", x) for x in SPDX),
 )
-#: Every known sentence holds one of these words, so a text with none of them need not be cut.
-ANCHORS = ("licens", "permission", "redistribut", "warrant")
+#: Every known sentence that begins an identifier holds one of these, so a text with none of them need not be cut.
+ANCHORS = ("licens", "permission", "redistribut", "warrant", "liable", "promote products", "public domain")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What divides sentences once a text is cut.
+CUT = "\x1e"
+
+
+def normalised(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+#: Normalised sentence -> identifier; neutral ones have none.
+KNOWN = {normalised(x): "" for x in NEUTRAL} | {normalised(x): k for k, x in SENTENCES.items()} | {normalised(f"SPDX-License-Identifier: {x}"): f"spdx:{x}" for x in SPDX}
+_OPENINGS = "|".join(dict.fromkeys("[ \t]+".join(x.split()[:3]) for x in sorted(map(normalised, SENTENCES.values()))))
+#: Patterns and what takes their place, one after the other; the same in Java and in RE2.
+STEPS = (
+    (r"\r\n?", "\n"),
+    (r"\n[ \t]*(?:///?!?|/\*+|\*+/|\*+|#+|;+|--+|%+|<!--|>+)?[ \t]*", "\n"),
+    (r"\n(?:\(?[0-9a-z][.)]|-)[ \t]+", "\n"),
+    (r"\n\n+", CUT),
+    (r"(?i)(spdx-license-identifier:[ \t]*[a-z0-9.+-]+(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+-]+)*)", rf"{CUT}\1{CUT}"),
+    (rf"(?i)\n({_OPENINGS})", rf"{CUT}\1"),
+    (r"\n", " "),
+    (r"([.!?])[ \t]+", rf"\1{CUT}"),
+)
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    flowing = F.regexp_replace(text, r"([^.!?\n])\r?\n([a-z])", "$1 $2")
-    cuts = F.split(F.regexp_replace(flowing, r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    return F.transform(cuts, lambda x: F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), "[^a-z0-9]+", " ")))
+    """Normalised sentences of a text, in order; without blank ones."""
+    out = F.concat(F.lit("\n"), text)
+    for pattern, to in STEPS:
+        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+    return F.filter(F.transform(F.split(out, CUT), lambda x: F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), "[^a-z0-9]+", " "))), lambda x: x != "")
 
 
 def licences(ids: Column) -> Column:
@@ -69,41 +169,53 @@ def licences(ids: Column) -> Column:
         taken = "," + sequence.replace(",", ",,") + ","
         names.append(F.when(F.instr(left, taken) > 0, F.lit(name)))
         left = F.replace(left, F.lit(taken), F.lit(""))
-    names.append(F.when(F.length(left) > 2, F.lit("unknown")))
+    names.append(F.when(F.length(F.replace(left, F.lit(",?,"), F.lit(""))) > 2, F.lit("unknown")))
     return F.array_compact(F.array_distinct(F.array(*names)))
 
 
+def sequence(text: Column) -> Column:
+    """Identifiers of a text, comma-joined, `?` for what is not known between them."""
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    each = F.filter(F.transform(sentences(text), lambda x: F.coalesce(F.element_at(known, x), F.lit("?"))), lambda x: x != "")
+    ids = F.regexp_replace(F.array_join(each, ","), r"\?(?:,\?)+", "?")
+    return F.regexp_replace(ids, r"^\?(?:,|$)|,\?$", "")
+
+
 def licence_scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids array<string> in order, licences array<string>."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    found = F.array_compact(F.transform(sentences(F.col("text")), lambda x: F.element_at(known, x)))
     anchored = F.rlike("text", F.lit("(?i)" + "|".join(ANCHORS)))
-    ids = F.when(anchored, found).otherwise(F.array().cast("array<string>"))
-    return texts(docs).select("doc_id", ids.alias("sentence_ids")).withColumn("licences", licences(F.array_join("sentence_ids", ",")))
+    found = texts(docs).select("doc_id", F.when(anchored, sequence(F.col("text"))).otherwise("").alias("ids"))
+    # licences of what is not empty only: most texts have none, and the rules are many
+    named = F.when(F.col("ids") != "", licences(F.col("ids"))).otherwise(F.array().cast("array<string>"))
+    return found.select("doc_id", F.filter(F.split("ids", ","), lambda x: x != "").alias("sentence_ids"), named.alias("licences"))
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licence_scan(table(spark, sf_dir, "documents")).select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+    n = F.size(F.filter("sentence_ids", lambda x: x != "?")).cast("long").alias("n_known")
+    return licence_scan(table(spark, sf_dir, "documents")).select("doc_id", n, F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
 
 
 def _sql() -> str:
-    known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
-    steps, names = "select doc_id, sentence_ids, n_known, ',' || replace(sentence_ids, ',', ',,') || ',' as left0 from ids", []
-    for i, (sequence, name) in enumerate(RULES):
-        taken = "," + sequence.replace(",", ",,") + ","
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in KNOWN.items())
+    cut = "chr(10) || text"
+    for pattern, to in STEPS:
+        pattern = pattern.replace("\n", "\\n").replace("\t", "\\t")
+        to = " || ".join({"\\1": "'\\1'", CUT: "chr(30)", "\n": "chr(10)"}.get(x, quoted(x)) for x in re.findall(r"\\1|.", to, re.S))
+        cut = f"regexp_replace({cut}, {quoted(pattern)}, {to}, 'g')"
+    steps, names = "select doc_id, sentence_ids, ',' || replace(sentence_ids, ',', ',,') || ',' as left0 from ids", []
+    for i, (some, name) in enumerate(RULES):
+        taken = "," + some.replace(",", ",,") + ","
         steps = f"select *, replace(left{i}, '{taken}', '') as left{i + 1} from ({steps})"
         names.append(f"case when contains(left{i}, '{taken}') then '{name}' end")
-    names.append(f"case when length(left{len(RULES)}) > 2 then 'unknown' end")
-    distinct = "".join(f"list_filter([x for x in [{', '.join(names)}] if x is not null], lambda x, i: list_position([y for y in [{', '.join(names)}] if y is not null], x) = i)")
+    names.append(f"case when length(replace(left{len(RULES)}, ',?,', '')) > 2 then 'unknown' end")
     return f"""
-    with cuts as (
-      select doc_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?\\n])\\r?\\n([a-z])', '\\1 \\2', 'g'), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) as line,
-             generate_subscripts(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?\\n])\\r?\\n([a-z])', '\\1 \\2', 'g'), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)), 1) as at_
-      from documents),
-    marked as (select doc_id, at_, map {{{known}}}[trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))] as id from cuts),
-    seen as (select doc_id, count(*) as n_known, string_agg(id, ',' order by at_) as sentence_ids from marked where id is not null group by doc_id),
-    ids as (select d.doc_id, coalesce(n_known, 0) as n_known, coalesce(sentence_ids, '') as sentence_ids from documents d left join seen using (doc_id))
-    select doc_id, n_known, sentence_ids, array_to_string({distinct}, ',') as licences from ({steps})"""
+    with cuts as (select doc_id, string_split({cut}, chr(30)) as parts from (select doc_id, coalesce(text, '') as text from documents)),
+    each as (select doc_id, [coalesce(map {{{known}}}[y], '?') for y in [trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) for x in parts] if y <> ''] as marks from cuts),
+    ids as (select doc_id, regexp_replace(regexp_replace(array_to_string([x for x in marks if x <> ''], ','), '\\?(?:,\\?)+', '?', 'g'), '^\\?(?:,|$)|,\\?$', '', 'g') as sentence_ids from each),
+    named as (select doc_id, sentence_ids, [x for x in [{', '.join(names)}] if x is not null] as names from ({steps})),
+    listed as (select doc_id, sentence_ids, case when sentence_ids = '' then [] else list_filter(names, lambda x, i: list_position(names, x) = i) end as names from named)
+    select doc_id, len([x for x in string_split(sentence_ids, ',') if x <> '' and x <> '?']) as n_known, sentence_ids, array_to_string(names, ',') as licences from listed"""
 
 
 ORACLE_SQL = {"op3_licences": _sql()}

@@ -157,12 +157,101 @@ def test_secrets_are_those_of_brute_force(spark):
     assert {True, False} == set(live.values()) and {"assign", "access", "hex", "opaque"} == {x[0] for s in want.values() for x in s}
 
 
-def test_licences(spark):
-    grant = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
-    values = ["Released under the MIT License.", "x.\nLicensed under the Apache License, Version 2.0. And this work is licensed under the GNU General Public License, version 3.", grant, "a licensed thing", None, ""]
-    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licenses.licence_scan(docs(spark, values)).collect()}
-    assert got[0] == (["MitRef"], ["MIT"]) and got[1][1] == ["Apache-2.0"] and got[2] == (["BsdGrant"], ["unknown"]) and got[3] == got[4] == got[5] == ([], [])
-    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES)
+def wrapped(mark, *names, width=72, numbered=()):
+    """Sentences of a licence as a file has them: wrapped, indented or behind comment marks, in paragraphs."""
+    import textwrap
+
+    out = []
+    for n in names:
+        text = " ".join(licenses.SENTENCES[n].split())
+        lines = textwrap.wrap(f"{numbered.index(n) + 1}. {text}" if n in numbered else text, width, subsequent_indent="   " * (n in numbered))
+        out += [*(mark + x for x in lines), mark.rstrip()]
+    return "\n".join(out)
+
+
+BSD = ("BsdGrant", "BsdSource", "BsdBinary", "BsdName", "BsdWarranty", "BsdLiability")
+APACHE_HEADER = """#!/bin/sh
+# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+echo done
+"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_HEADER = """/* frob.c
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main() { return 0; }
+"""
+MPL_HEADER = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at http://mozilla.org/MPL/2.0/.
+let x = 1;
+"""
+LICENCE_CASES = [
+    ("Released under the MIT License.", ["MIT"]), ("x.\nLicensed under the Apache License, Version 2.0. And so on.\nThis work is licensed under the GNU General Public License, version 3.", ["Apache-2.0", "GPL-3.0-only"]),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", ["unknown"]),
+    (MIT_FILE, ["MIT"]), (MIT_FILE.replace("\n", "\r\n"), ["MIT"]), (APACHE_HEADER, ["Apache-2.0"]), (GPL_HEADER, ["GPL-3.0-or-later"]), (MPL_HEADER, ["MPL-2.0"]),
+    (wrapped(" * ", *BSD, numbered=BSD[1:4]), ["BSD-3-Clause"]), (wrapped("", *(x for x in BSD if x != "BsdName"), numbered=BSD[1:3]), ["BSD-2-Clause"]),
+    (wrapped("", *BSD[:3]) + "Something that nobody knows must hold as well.\n\n" + wrapped("", *BSD[4:]), ["unknown"]),
+    (wrapped("-- ", "IscGrant", "IscWarranty", "IscLiability"), ["ISC"]), (wrapped("", "UnlicenseFree"), ["Unlicense"]), (wrapped("; ", "Cc0Waiver"), ["CC0-1.0"]),
+    *((wrapped("# ", k), [v]) for k, v in licenses.RULES if k in ("Gpl2Only", "Gpl2Later", "Lgpl21Later", "Lgpl3Later", "Agpl3Later", "CcBy4", "CcBySa4")),
+    *((f"// SPDX-License-Identifier: {x}\nimport this", [x]) for x in licenses.SPDX), ("SPDX-License-Identifier: Nobody-1.0", []), ("SPDX-License-Identifier: MIT OR Apache-2.0", []),
+    ("a licensed thing", []), (None, []), ("", []), ("\n\n", []),
+]
+
+
+def test_licences_as_published(spark):
+    import duckdb
+
+    df = docs(spark, [t for t, _ in LICENCE_CASES])
+    got = {r.doc_id: r.licences for r in licenses.licence_scan(df).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(LICENCE_CASES)}
+    assert all(any(a in s for a in licenses.ANCHORS) for s, name in licenses.KNOWN.items() if name)
+    with duckdb.connect() as db:
+        documents = df.select("doc_id", "text").toPandas()  # noqa: F841
+        twin = {i: x for i, *_, x in db.execute(licenses.ORACLE_SQL["op3_licences"]).fetchall()}
+    assert twin == {i: ",".join(x) for i, x in got.items()}
+    assert licenses.licence_scan(df.limit(0)).count() == 0
 
 
 def test_components(spark):
