@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from .series import Frames
 
-#: Rules by id with their name, short and full wording.
+#: Rules by id with their name and the wording that explains them.
 RULES = {
-    1: ("Beyond Limits", "One point beyond the control limits (±3σ).", "One point lies outside the control limits (beyond ±3σ). A large, improbable deviation."),
-    2: ("Zone A", "2 of 3 in Zone A or beyond, same side.", "2 of 3 points in a row in Zone A or beyond, on the same side. A moderate shift toward one limit."),
-    3: ("Zone B", "4 of 5 in Zone B or beyond, same side.", "4 of 5 points in a row in Zone B or beyond, on the same side. A smaller but more sustained shift off center."),
-    4: ("Run Above/Below", "7 in a row on one side of the center line.", "7 points in a row on the same side of the center line. The process mean has likely shifted."),
-    5: ("Trend", "7 in a row steadily rising or falling.", "7 points in a row steadily rising or falling. A sustained drift in one direction."),
-    6: ("Mixture", "8 in a row with none in Zone C.", "8 points in a row with none in Zone C (all beyond ±1σ). Points avoid the center, often two mixed processes."),
-    7: ("Stratification", "15 in a row all inside Zone C.", "15 points in a row all inside Zone C (within ±1σ). Points hug the center, often because limits are too wide."),
-    8: ("Over-Control", "14 in a row alternating up and down.", "14 points in a row alternating up and down. Systematic oscillation, often from over-adjustment."),
+    1: ("Beyond Limits", "One point beyond the control limits (±3σ)."),
+    2: ("Zone A", "2 of 3 in Zone A or beyond, same side."),
+    3: ("Zone B", "4 of 5 in Zone B or beyond, same side."),
+    4: ("Run Above/Below", "7 in a row on one side of the center line."),
+    5: ("Trend", "7 in a row steadily rising or falling."),
+    6: ("Mixture", "8 in a row with none in Zone C."),
+    7: ("Stratification", "15 in a row all inside Zone C."),
+    8: ("Over-Control", "14 in a row alternating up and down."),
 }
 ALL = frozenset(RULES)
 
@@ -54,4 +54,4 @@ def with_rules(df: DataFrame, keys: Sequence[str] = (), enabled: Iterable[int] =
 
 
 def rule_catalogue(spark) -> DataFrame:
-    return spark.createDataFrame([(i, *x) for i, x in RULES.items()], "rule_id int, name string, tooltip string, description string")
+    return spark.createDataFrame([(i, *x) for i, x in RULES.items()], "rule_id int, name string, tooltip string")

@@ -197,10 +197,17 @@ def chart_kind(name: str | None) -> str:
     return name if name in CHARTS else "individuals"
 
 
+def numbered(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The points; a series that is not numbered from 1 without a gap fails the job, as every window relies on it."""
+    over = Frames(keys).all  # of rows that are in order already, so nothing is sorted for it
+    right = (F.min("idx").over(over) == 1) & (F.max("idx").over(over) == F.count(F.lit(1)).over(over))
+    return points.withColumn("idx", F.when(right, F.col("idx")).otherwise(F.raise_error("points of a series must be numbered from 1 without a gap; extract() does so")))
+
+
 def build(points: DataFrame, kind: str = "individuals", keys: Sequence[str] = (), options: Options = Options()) -> DataFrame:  # noqa: B008
     """One row for each point of each series: plotted value, limits, zones, phase, companion, signals and fired rules."""
     chart = CHARTS[chart_kind(kind)]
-    df = with_rules(chart.build(points, keys, options), keys, options.rules & chart.rules)
+    df = numbered(with_rules(chart.build(points, keys, options), keys, options.rules & chart.rules), keys)
     outside = (F.col("comp_value") > F.col("comp_ucl")) | (F.col("comp_value") < F.col("comp_lcl"))
     return df.withColumn("comp_violation", F.coalesce(outside, F.lit(False))).withColumn("single_phase", F.col("change_at") > F.col("n"))
 
@@ -225,6 +232,13 @@ def extent(built: DataFrame, keys: Sequence[str] = (), raw: bool = False) -> Dat
     return out.select(*keys, (F.col("low_") - pad).alias("low"), (F.col("high_") + pad).alias("high"))
 
 
+def companion_extent(built: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """From 0 to the highest value or limit of the companion, padded by 5 %; by 1 where all is flat."""
+    out = built.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max("comp_ucl"), F.max("comp_value")).alias("top_"))
+    pad = F.when(F.col("top_") > 0, F.col("top_") * 0.05).otherwise(1.0)
+    return out.select(*keys, F.lit(0.0).alias("low"), (F.col("top_") + pad).alias("high"))
+
+
 def ticks(built: DataFrame, most: int = 8) -> DataFrame:
     """Marks the points whose label is shown on an axis."""
     step = F.greatest(F.lit(1), F.ceil(F.col("n") / most))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,21 +20,23 @@ def _rows(df: DataFrame, keys: Sequence[str], items: list[tuple[Column, Column,
     return df.select(*keys, "idx", F.posexplode(F.array_compact(F.array(*structs))).alias("position", "item")).select(*keys, "idx", "position", F.col("item.name").alias("name"), F.col("item.text").alias("text"))
 
 
-def explanations(built: DataFrame, keys: Sequence[str] = (), kind: str = "individuals", axis: str = "Axis", measure: str = "Value", target: str = "Target") -> DataFrame:
+def explanations(built: DataFrame, keys: Sequence[str] = (), kind: str = "individuals", axis: str = "Axis", measure: str = "Value", target: str = "Target", number: Callable[[Column], Column] = two_places) -> DataFrame:
+    """keys, idx, position, name, text of each real point; `number` writes numbers."""
     yes, real = F.lit(True), built.where("value is not null")
     head = [(yes, F.lit(axis), F.col("label"))]
     if kind == "cusum":
-        return _rows(real, keys, [*head, (yes, F.lit("CUSUM C⁺"), two_places(F.col("value"))), (F.col("c_minus_neg").isNotNull(), F.lit("CUSUM C⁻"), two_places(-F.col("c_minus_neg"))), (yes, F.lit("Decision interval (H)"), two_places(F.col("ucl")))])
-    items = [*head, (yes, F.lit(measure), two_places(F.col("value"))), (F.col("phase").isNotNull() & ~F.col("single_phase"), F.lit("Phase"), F.col("phase").cast("string"))]
-    items += [(yes, F.lit(name), two_places(F.col(c))) for name, c in (("Center (x̄)", "center"), ("UCL", "ucl"), ("LCL", "lcl"))]
-    items.append((F.col("target").isNotNull(), F.lit(target), two_places(F.col("target"))))
-    items += [(F.col(f"rule{i}"), F.lit(name), F.lit(short)) for i, (name, short, _) in RULES.items()]
+        return _rows(real, keys, [*head, (yes, F.lit("CUSUM C⁺"), number(F.col("value"))), (F.col("c_minus_neg").isNotNull(), F.lit("CUSUM C⁻"), number(-F.col("c_minus_neg"))), (yes, F.lit("Decision interval (H)"), number(F.col("ucl")))])
+    items = [*head, (yes, F.lit(measure), number(F.col("value"))), (F.col("phase").isNotNull() & ~F.col("single_phase"), F.lit("Phase"), F.col("phase").cast("string"))]
+    items += [(yes, F.lit(name), number(F.col(c))) for name, c in (("Center (x̄)", "center"), ("UCL", "ucl"), ("LCL", "lcl"))]
+    items.append((F.col("target").isNotNull(), F.lit(target), number(F.col("target"))))
+    items += [(F.col(f"rule{i}"), F.lit(name), F.lit(short)) for i, (name, short) in RULES.items()]
     return _rows(real, keys, items)
 
 
-def companion_explanations(built: DataFrame, keys: Sequence[str] = (), kind: str = "mr", axis: str = "Axis") -> DataFrame:
+def companion_explanations(built: DataFrame, keys: Sequence[str] = (), kind: str = "mr", axis: str = "Axis", number: Callable[[Column], Column] = two_places) -> DataFrame:
+    """The same of each point that has a companion value."""
     title = {"mr": "Moving range", "r": "Range", "s": "Std dev"}[kind]
     center, ucl = ("MR center (MR̄)", "MR UCL") if kind == "mr" else (f"{title} center", f"{title} UCL")
     yes = F.lit(True)
-    items = [(yes, F.lit(axis), F.col("label")), (yes, F.lit(title), two_places(F.col("comp_value"))), (yes, F.lit(center), two_places(F.col("comp_center"))), (yes, F.lit(ucl), two_places(F.col("comp_ucl"))), (F.col("comp_lcl") > 0, F.lit(f"{title} LCL"), two_places(F.col("comp_lcl")))]
+    items = [(yes, F.lit(axis), F.col("label")), (yes, F.lit(title), number(F.col("comp_value"))), (yes, F.lit(center), number(F.col("comp_center"))), (yes, F.lit(ucl), number(F.col("comp_ucl"))), (F.col("comp_lcl") > 0, F.lit(f"{title} LCL"), number(F.col("comp_lcl")))]
     return _rows(built.where("comp_value is not null"), keys, items)

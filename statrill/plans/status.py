@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..sources.extract import extract
 from ..sources.roles import BindingError, Roles
 from .charts import CHARTS, build, chart_kind
 from .options import Options
 
+#: What fields are called in messages, as are the messages below.
 ROLE_LABELS = {"sample_size": "Sample size", "spread": "Subgroup range or std dev"}
 
 
@@ -59,3 +61,10 @@ def chart(points: DataFrame, kind: str = "individuals", keys: Sequence[str] = ()
     status = series_status(points, kind, keys, options).select(*keys, "status")
     built = build(points, kind, keys, options)
     return built.join(status, list(keys), "left") if keys else built.crossJoin(F.broadcast(status))  # one row
+
+
+def chart_table(df: DataFrame, roles: Roles, kind: str = "individuals", options: Options = Options(), max_points: int | None = None) -> DataFrame:  # noqa: B008
+    """From a table to its chart: a role that the kind needs and that is not bound raises BindingError before any job runs."""
+    roles = roles.over(df)
+    check_roles(kind, roles)
+    return chart(extract(df, roles, max_points), kind, roles.keys, options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -271,17 +272,117 @@ def spc_status(spark, sf_dir):
     return status.series_status(event_points(spark, sf_dir), "individuals", ["user_id"])
 
 
-@query(f"""{INDIVIDUALS_SQL}, items as (select user_id, idx, [x for x in [
-  {{'name': 'Axis', 'text': label}}, {{'name': 'Value', 'text': printf('%.2f', value)}}, case when change_at <= n then {{'name': 'Phase', 'text': cast(phase as varchar)}} end,
-  {{'name': 'Center (x̄)', 'text': printf('%.2f', center)}}, {{'name': 'UCL', 'text': printf('%.2f', ucl)}}, {{'name': 'LCL', 'text': printf('%.2f', lcl)}},
-  {', '.join(f"case when rule{i} then {{'name': '{x[0]}', 'text': '{x[1]}'}} end" for i, x in RULES.items())}] if x is not null] as xs from ruled where value is not null),
-  each as (select user_id, idx, unnest(xs) as item, generate_subscripts(xs, 1) - 1 as position from items)
-select user_id, idx, cast(position as int) as position, item.name as name, case when item.name in ('Value', 'Center (x̄)', 'UCL', 'LCL') then '' else item.text end as text from each""")
+# Series with something amiss: months of each supplier group, spoilt in a way of its own.
+SPOILT = {"value": "case supplier when 0 then null when 4 then case when idx % 2 = 0 then value end else value end",
+    "sample_size": "case supplier when 1 then 0.0 when 2 then case when idx = 3 then 26.0 else 5.0 end when 3 then case when idx = 3 then 4.0 else 5.0 end else 5.4 end",
+    "spread": "case when supplier = 4 then null else spread end"}
+_FIT = "count(*) filter (value is not null and not coalesce(floor(sample_size + 0.5) between 2 and 25, false))"
+_SIZES = "count(distinct case when value is not null then floor(sample_size + 0.5) end)"
+_STATUS = {
+    "p": "case when count(value) = 0 then 'No valid data points' when count(*) filter (value is not null and sample_size > 0) = 0 then 'No valid sample sizes' end",
+    "c": "case when count(value) = 0 then 'No valid data points' end",
+    "xbar-r": f"case when count(value) = 0 then 'No valid data points' when {_FIT} > 0 then 'Subgroup size must be a whole number from 2 to 25' when {_SIZES} > 1 then 'Subgroup size must be constant across subgroups' when count(case when value is not null then spread end) = 0 then 'No valid subgroup ranges or std devs' end",
+    "ewma": "case when count(value) = 0 then 'No valid data points' else 'EWMA weight (λ) must be between 0 and 1' end",
+    "ma": "case when count(value) = 0 then 'No valid data points' else 'Moving-average window must be a whole number 2 or more' end",
+    "cusum": "case when count(value) = 0 then 'No valid data points' else 'CUSUM reference value k and decision interval h must be greater than 0' end",
+}
+
+
+@query(f"with {month_sql('range')}, spoilt as (select supplier, idx, {', '.join(f'{v} as {k}' for k, v in SPOILT.items())} from points) " + " union all ".join(f"select '{k}' as kind, supplier, count(*) as n, count(value) as n_real, {v} as status from spoilt group by 2" for k, v in _STATUS.items()))
+def spc_messages(spark, sf_dir):
+    points = month_points(spark, sf_dir, "range")
+    spoilt = points.withColumns({k: F.expr(v) for k, v in SPOILT.items()})
+    bad = Options(ewma_lambda=0.0, ma_window=1.4, cusum_k=0.0)
+    each = [status.series_status(spoilt, kind, ["supplier"], bad).select(F.lit(kind).alias("kind"), "supplier", "n", "n_real", "status") for kind in _STATUS]
+    return reduce(DataFrame.unionAll, each)
+
+
+def _manual_sql(at: float, sigmas: float) -> str:
+    """Individuals split by hand, with other limits that may go below zero."""
+    changed = CHANGE_SQL.replace("cast(case when best_statistic >= 3 then best_split else n + 1 end as int) as change_at", f"cast(least(n + 1, greatest(2, floor({at} + 0.5))) as int) as change_at")
+    return INDIVIDUALS_SQL.replace(CHANGE_SQL, changed).replace(limits_sql("c", "m", "(m / 1.128)", True), limits_sql("c", "m", "(m / 1.128)", False, sigmas))
+
+
+@query(f"{_manual_sql(20.5, 2.5)} select user_id, idx, phase, {sql_rounded('value', *LIMITS)}, fired from ruled")
+def spc_manual(spark, sf_dir):
+    options = Options(manual=20.5, sigmas=2.5, floor=False)
+    return charts.build(event_points(spark, sf_dir), "individuals", ["user_id"], options).select("phase", *_chart_columns("user_id"))
+
+
+#: A series on which every rule fires: by tens of points, alternating, near the middle, rising, apart from it, and far off.
+PLANTED = "cast(case floor(event_id / 20) % 8 when 0 then 4 * (event_id % 2) - 2 when 1 then 0.1 * (event_id % 3) when 2 then (event_id % 20) / 2.0 - 5.03 when 3 then case when event_id % 4 < 2 then 3 else -3 end when 4 then case when event_id % 20 = 7 then 40 else 0 end when 5 then case when event_id % 3 = 0 then 0 else 3.5 end when 6 then case when event_id % 5 = 0 then 0 else 2 end else 1 end as double)"
+_PLANTED_SQL = INDIVIDUALS_SQL.replace("case when event_type <> 'error' then value end as value from events", f"{PLANTED} as value from (select 0 as user_id, event_id, ts from events where event_id < 800)").replace("coalesce(epoch_us(ts), 0), category_index", "category_index")
+
+
+@query(f"{_PLANTED_SQL}, each as (select cast(unnest(string_split(fired, ' ')) as int) as rule_id, idx from ruled where fired <> '') select rule_id, count(*) as n, sum(idx)::bigint as places from each group by 1")
+def spc_planted_rules(spark, sf_dir):
+    """How often each rule fires on the planted series, and where."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 800").select("event_id", F.expr(PLANTED).alias("value"))
+    built = charts.build(sources.extract(df, Roles(axis=("event_id",))), "individuals")
+    return built.select(F.explode("fired_rules").alias("rule_id"), "idx").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").cast("long").alias("places"))
+
+
+_P_SQL = _attribute_sql("sum(cnt) over k / sum(sample_size) over k", "case when c > 0 and c < 1 then sqrt(c * (1 - c) / sample_size) end", True)
+
+
+@query(f"{_P_SQL.rpartition(' select supplier, idx')[0]} select supplier, 1 as segment, min(idx) as start_index, max(idx) as end_index, {', '.join(f'round(arg_max({c}, case when value is not null then idx else -idx end) + {NUDGE}, 6) + 0.0 as {c}' for c in LIMITS)} from ruled group by 1")
+def spc_one_segment(spark, sf_dir):
+    """A chart without phases is one segment, with the limits of its last real point."""
+    built = charts.build(month_points(spark, sf_dir, "returns"), "p", ["supplier"])
+    return charts.segments(built, ["supplier"]).select("supplier", "segment", "start_index", "end_index", *rounded(*LIMITS))
+
+
+@query("""with d as (select n_name, s_suppkey, s_name, s_acctbal, row_number() over (partition by n_name order by s_suppkey) - 1 as at_ from supplier join nation on s_nationkey = n_nationkey)
+select n_name, cast(at_ + 1 as int) as idx, at_ as category_index, s_name || ' / ' || cast(s_suppkey as varchar) as label, s_acctbal::double as value, s_acctbal::double as tooltip_balance, s_suppkey % 3 = 0 as chosen from d where at_ < 3""")
+def spc_levels(spark, sf_dir):
+    """Axes of two levels in the delivered order, tooltips, the first three points of each series, and a selection."""
+    suppliers, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    df = suppliers.join(F.broadcast(nations), suppliers["s_nationkey"] == nations["n_nationkey"]).withColumn("balance", F.col("s_acctbal").cast("double"))
+    roles = Roles(axis=("s_name", "s_suppkey"), measure="balance", tooltips=("balance",), keys=("n_name",), ordinal="s_suppkey")
+    points = sources.extract(df, roles, max_points=3).withColumn("key", F.element_at(F.split("label", " / "), 2).cast("int"))
+    chosen = charts.selected(points, points.where("key % 3 = 0").select("n_name", "category_index")).select("n_name", "category_index", F.lit(True).alias("yes"))
+    return points.join(chosen, ["n_name", "category_index"], "left").select("n_name", "idx", "category_index", "label", "value", "tooltip_balance", F.coalesce("yes", F.lit(False)).alias("chosen"))
+
+
+@query(f"{INDIVIDUALS_SQL} select user_id, 0.0::double as low, round(case when top > 0 then top * 1.05 else 1.0 end + {NUDGE}, 6) + 0.0 as high from (select user_id, greatest(0.0, max(3.267 * mr_bar), coalesce(max(moving_range), 0.0)) as top from ruled group by 1)")
+def spc_companion_extent(spark, sf_dir):
+    return charts.companion_extent(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"]).select("user_id", "low", *rounded("high"))
+
+
+def two_places(x: Column) -> Column:
+    """Two places of a number of six: halves print differently in other engines, so none is left."""
+    return F.format_string("%.2f", F.round(x + NUDGE, PLACES) + 1e-9)
+
+
+def _sql_places(x: str) -> str:
+    return f"printf('%.2f', round({x} + {NUDGE}, {PLACES}) + 1e-9)"
+
+
+def _explained_sql(items: list[str], key: str, source: str) -> str:
+    return f""", items as (select {key}, idx, [x for x in [{', '.join(items)}] if x is not null] as xs from {source}), each as (select {key}, idx, unnest(xs) as item, generate_subscripts(xs, 1) - 1 as position from items)
+select {key}, idx, cast(position as int) as position, item.name as name, item.text as text from each"""
+
+
+_item = lambda name, text: f"{{'name': '{name}', 'text': {text}}}"
+
+
+@query(INDIVIDUALS_SQL + _explained_sql([_item("Axis", "label"), _item("Value", _sql_places("value")), f"case when change_at <= n then {_item('Phase', 'cast(phase as varchar)')} end", _item("Center (x̄)", _sql_places("center")), _item("UCL", _sql_places("ucl")), _item("LCL", _sql_places("lcl")), *(f"case when rule{i} then {_item(name, repr(text))} end" for i, (name, text) in RULES.items())], "user_id", "ruled where value is not null"))
 def spc_explanations(spark, sf_dir):
-    """Numbers of two places are left out here: halves print differently in other engines."""
-    out = explain.explanations(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"])
-    return out.withColumn("text", F.when(F.col("name").isin("Value", "Center (x̄)", "UCL", "LCL"), "").otherwise(F.col("text")))
+    return explain.explanations(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"], number=two_places)
+
+
+@query(INDIVIDUALS_SQL + _explained_sql([_item("Axis", "label"), _item("Moving range", _sql_places("moving_range")), _item("MR center (MR̄)", _sql_places("mr_bar")), _item("MR UCL", _sql_places("3.267 * mr_bar"))], "user_id", "ruled where moving_range is not null"))
+def spc_companion_explanations(spark, sf_dir):
+    return explain.companion_explanations(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"], number=two_places)
+
+
+_ARMS_SQL = ORACLE_SQL["spc_cusum"].rpartition("select user_id, idx")[0] + ", arms as (select b.*, up, down from base b join fold using (user_id, idx) where raw is not null)"
+
+
+@query(_ARMS_SQL + _explained_sql([_item("Axis", "label"), _item("CUSUM C⁺", _sql_places("up")), _item("CUSUM C⁻", _sql_places("down")), _item("Decision interval (H)", _sql_places("5 * s"))], "user_id", "arms"))
+def spc_cusum_explanations(spark, sf_dir):
+    return explain.explanations(charts.build(event_points(spark, sf_dir), "cusum", ["user_id"]), ["user_id"], "cusum", number=two_places)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.chart(event_points(spark, sf_dir), "individuals", ["user_id"], Options())
+    return status.chart_table(events(spark, sf_dir), EVENTS)

@@ -35,7 +35,8 @@ def extract(df: DataFrame, roles: Roles, max_points: int | None = None) -> DataF
     """Points in order: keys, idx (from 1), category_index (row as delivered, from 0), label, value, target, sample_size,
     spread, tooltip columns. Rows without a measurement stay as gaps. Ties of the axis keep the delivered order, which is
     `ordinal`, or the order of the axis, the measurement and the other columns if there is none. max_points keeps the first
-    so many of each series, as delivered."""
+    so many of each series, as delivered. Where no value column has a role, the first one is the measurement."""
+    roles = roles.over(df)
     roles.check()
     key = _sort_key(df, roles)
     if key is None and roles.ordinal is None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame
 
 
 class BindingError(ValueError):
@@ -25,13 +27,14 @@ class Roles:
     tooltips: tuple[str, ...] = ()
     keys: tuple[str, ...] = ()
     ordinal: str | None = None
-    columns: tuple[str, ...] = field(default=())
 
-    def has_measure(self) -> bool:
-        """A measure is bound, or no column has any role and there is a column to fall back to."""
-        return self.measure is not None or bool(self.columns) and not any((self.axis, self.target, self.sample_size, self.spread, self.tooltips))
+    def over(self, df: DataFrame) -> Roles:
+        """These roles for a table: where no value column has any role, the first one is the measure."""
+        if self.measure or any((self.target, self.sample_size, self.spread, self.tooltips)):
+            return self
+        return replace(self, measure=next((c for c in df.columns if c not in {*self.axis, *self.keys, self.ordinal}), None))
 
     def check(self) -> None:
         missing = [what for what, there in (("an axis field", self.axis), ("a measurement", self.measure)) if not there]
-        if missing:
+        if missing:  # fixed value: what a user is told
             raise BindingError("SPC Chart\nPick a Chart type in the Format panel,\nthen add " + " and ".join(missing))

@@ -10,9 +10,9 @@ from statrill.functions.columns import constant
 from statrill.operators.series import with_changepoint, with_points
 from statrill.plans import charts, explain
 from statrill.plans.options import Options
-from statrill.plans.status import check_roles, option_message, series_status
+from statrill.plans.status import chart_table, check_roles, option_message, series_status
 from statrill.sources import extract as sources
-from statrill.sources import targets
+from statrill.sources import files, targets
 from statrill.sources.roles import BindingError, Roles
 
 SCHEMA = "k string, idx int, category_index long, label string, value double, target double, sample_size double, spread double"
@@ -97,8 +97,8 @@ def test_rules(spark):
     assert fired(built(spark, range(1, 9), **off), 5) == [7, 8] and fired(built(spark, [1, 2, 3, 4, 5, 6, 5.5, 7], **off), 5) == []
     assert fired(built(spark, [1, 2] * 8, **off), 8) and not fired(built(spark, [1, 2] * 4 + [2, 2] + [1, 2] * 4, **off), 8)
     assert built(spark, [*range(1, 8), None], **off)[7].fired_rules == []
-    zone = fired(built(spark, [11.04, 10.15, 7.63, 6.83, 10.55, 11.21, 10, 10.3, 9.8, 10.1, 9.9, 10.2, 9.7, 10.4, 10, 10.1, 9.9, 10.2, 9.8, 10, 10.1], **off), 2)
-    assert 4 in zone and 5 not in zone
+    zone = fired(built(spark, [20, 20, 20, 27, 21, 27, 20, 20] + [20, 21] * 12, **off), 2)
+    assert 6 in zone and 4 not in zone and 7 not in zone
     assert not any(r.fired_rules for r in built(spark, [1] * 5 + [2] * 7, rules=frozenset(), **off))
 
 
@@ -192,6 +192,37 @@ def test_status(spark):
     assert Options(sigmas=-1).sigmas == 3 and charts.chart_kind("pie") == "individuals"
 
 
+def test_the_first_value_column_is_the_fallback(spark):
+    df = spark.createDataFrame([(2.0, 6.0, 1.0), (1.0, 5.0, 1.0)], "x double, m double, other double")
+    assert [r.value for r in sources.extract(df, Roles(axis=("x",))).orderBy("idx").collect()] == [5, 6]
+    for roles in (Roles(axis=("x",), tooltips=("m",)), Roles(axis=("x",), target="m"), Roles()):
+        with pytest.raises(BindingError):
+            sources.extract(df, roles)
+    with pytest.raises(BindingError, match="p-chart needs a Sample size field"):
+        chart_table(df, Roles(axis=("x",), measure="m"), "p")
+    with pytest.raises(BindingError, match="Subgroup range or std dev"):
+        chart_table(df, Roles(axis=("x",), measure="m", sample_size="other"), "xbar-r")
+    assert chart_table(df, Roles(axis=("x",))).count() == 2
+
+
+def test_unnumbered_points_fail(spark):
+    for gone in ("idx > 1", "idx <> 2"):
+        with pytest.raises(Exception, match="numbered from 1 without a gap"):
+            charts.build(points(spark, [1, 2, 3]).where(gone), "individuals", ["k"]).collect()
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "rates.csv").write_text("Month,Rate\n2023-01-31,2.45\n2023-01-01,2.46\n2023-03-02,x\n")
+    df = files.csv(spark, str(tmp_path / "rates.csv"), "Month date, Rate double")
+    assert [(r.label, r.value) for r in sources.extract(df, Roles(axis=("Month",))).orderBy("idx").collect()] == [("2023-01-01", 2.46), ("2023-01-31", 2.45), ("2023-03-02", None)]
+    assert chart_table(files.sample(spark), Roles(axis=("month",))).first().change_at == 33
+
+
+def test_companion_extent(spark):
+    top = lambda values: charts.companion_extent(charts.build(points(spark, values), keys=["k"]), ["k"]).first()
+    assert near(top([1, 3, 2, 9]).high, 1.05 * 3.267 * 10 / 3, 1e-9) and tuple(top([5, 5])[1:]) == (0, 1) and tuple(top([None])[1:]) == (0, 1)
+
+
 def test_helpers(spark):
     df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-03", 3.0), ("2024-01-03", 4.0)], "d string, m double").withColumn("d", F.to_date("d"))
     roles = Roles(axis=("d",), measure="m")
