@@ -337,3 +337,16 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = {
+    "op4_ngram_join": rf"""
+    with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {N} then [array_to_string(w, ' ')] else [array_to_string(w[i : i + {N - 1}], ' ') for i in range(1, len(w) - {N} + 2)] end) as s from words),
+    sizes as (select doc_id, count(*) as n from shingles group by 1),
+    shared as (select a.doc_id as x, b.doc_id as y, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+    links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared.n >= {PERCENT} * (p.n + q.n - shared.n)),
+    reached as (select x, y from links union select r.x, l.y from reached r join links l on l.x = r.y)
+    select d.doc_id, coalesce(max(n), 0) as n_shingles, least(d.doc_id, coalesce(min(y), d.doc_id)) as component_id
+    from documents d left join sizes s on s.doc_id = d.doc_id left join reached r on r.x = d.doc_id group by d.doc_id"""
+}

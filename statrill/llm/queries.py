@@ -6,14 +6,16 @@ from .bpe import op8_byte_bpe
 from .licenses import ORACLE_SQL as LICENCES_SQL
 from .licenses import op3_licences
 from .line_dedup import op1_line_dedup
+from .ngram_join import ORACLE_SQL as NGRAM_SQL
 from .ngram_join import op4_ngram_join
 from .packing import op10_best_fit_packing
 from .pii import op9_pii
 from .quality import op7_quality
+from .secrets import ORACLE_SQL as SECRETS_SQL
 from .secrets import op5_secrets
 from .spotsigs import op2_spot_signatures
 from .topk import ORACLE_SQL as TOP_K_SQL
 from .topk import op6_bit_sliced_top_k
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_licences, op4_ngram_join, op5_secrets, op6_bit_sliced_top_k, op7_quality, op8_byte_bpe, op9_pii, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {**LICENCES_SQL, **TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {**LICENCES_SQL, **NGRAM_SQL, **SECRETS_SQL, **TOP_K_SQL}

@@ -116,3 +116,28 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     seen = lambda what: F.array_join(F.transform(spans, lambda x: x[what].cast("string")), ",").alias(what)
     return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), F.size(F.filter(spans, lambda x: ~x["live"])).cast("long").alias("n_examples"), seen("repositories"), seen("owners"))
+
+
+def _sql() -> str:
+    """The same in DuckDB, whose case folding is spelt out and whose patterns have no look-behind: runs are taken whole."""
+    either = lambda word: "".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in word)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key")
+    patterns = (rf"""({words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", ACCESS, HEX, "[A-Za-z0-9+/_-]{24,}")
+    each = " union all ".join(f"select row_, {i} as rank, '{KINDS[i]}' as kind, regexp_extract_all(text, '{p}') as hits, regexp_extract_all(text, '{p}', {2 if i == 0 else 0}) as held, string_split_regex(text, '{p}') as gaps from d" for i, p in enumerate(patterns))
+    return f"""
+    with d as (select row_number() over () as row_, doc_id, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+    found as ({each}),
+    apart as (select row_, rank, kind, generate_subscripts(hits, 1) as i, unnest(hits) as hit, unnest(held) as held, unnest(gaps[:len(hits)]) as gap from found where len(hits) > 0),
+    placed as (select *, sum(length(gap) + length(hit)) over (partition by row_, rank order by i) as stop from apart),
+    spans as (select row_, rank, kind, stop - length(hit) as start, stop, held from placed where (rank <> 0 or length(held) >= {LEAST_VALUE}) and (rank <> 3 or regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[a-z]') and regexp_matches(hit, '[A-Z]'))),
+    kept as (select * from spans s where rank < 3 or not exists (select 1 from spans b where b.row_ = s.row_ and b.rank < 3 and b.start < s.stop and s.start < b.stop)),
+    owners as (select held, text, min(source) as owner from kept join d using (row_) group by 1, 2),
+    counts as (select held, count(*) as repositories, count(distinct owner) as owners from owners group by 1),
+    judged as (select kept.*, repositories, owners, not (repositories >= {EXAMPLE_REPOSITORIES} and owners >= {EXAMPLE_OWNERS}) as live, kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint) as name from kept join counts using (held)),
+    rows_ as (select row_, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, coalesce(string_agg(name, ',' order by start, rank) filter (rank < 3), '') as base,
+      string_agg(name, ',' order by start, rank) as spans, count(*) filter (not live) as n_examples, string_agg(repositories, ',' order by start, rank) as repositories, string_agg(owners, ',' order by start, rank) as owners from judged where rank < 3 or live group by 1)
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_examples, 0) as n_examples, coalesce(repositories, '') as repositories, coalesce(owners, '') as owners
+    from d left join rows_ using (row_)"""
+
+
+ORACLE_SQL = {"op5_secrets": _sql()}
