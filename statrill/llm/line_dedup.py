@@ -125,6 +125,8 @@ def keyed(distinct: DataFrame, n: int, edits: int, per: int, hot: int) -> DataFr
 def near(first: list[str], second: list[str], edits: int) -> np.ndarray:
     """Which pairs are within so many edits. For each number of errors, bit k of a byte says that so many errors match
     the first j characters of the longer line with the first j + k - edits of the shorter one."""
+    if edits > 3:
+        raise ValueError("a byte holds the band of 3 edits at most")
     short, long = zip(*((a, b) if len(a) <= len(b) else (b, a) for a, b in zip(first, second, strict=True)), strict=True) if first else ((), ())
     out = np.zeros(len(short), bool)
     size = np.array([len(x) for x in long], int)
