@@ -7,7 +7,6 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +15,8 @@ from ..operators.rules import ALL, with_rules
 from ..operators.series import Frames, mean, with_changepoint, with_points
 from .options import Options
 
-#: Readings behind which an EWMA's memory is below rounding; beyond LONG_MEMORY of them it is one pass over each series.
-LONG_MEMORY = 2000
+#: Weight of a reading in an EWMA that is lost in rounding.
+FORGOTTEN = 1e-17
 
 
 @dataclass(frozen=True)
@@ -123,33 +122,24 @@ def _based(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns({"base_value": F.col("value"), "direction": _null("int")})
 
 
-def _ewma_pass(df: DataFrame, keys: Sequence[str], weight: float) -> DataFrame:
-    """One pass over each series, for weights so small that the memory is long."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        z, out = float(pdf["x_"].iloc[0]), []
-        for v in pdf["value"]:
-            if not pd.isna(v):
-                z = weight * v + (1 - weight) * z
-            out.append(None if pd.isna(v) else z)
-        return pdf.assign(z_=pd.array(out, dtype="Float64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", z_ double"
-    return (df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("one_"))).applyInPandas(fold, schema)
-
-
 def ewma(df: DataFrame, keys: Sequence[str], o: Options) -> DataFrame:
+    """The recursion z = w x + (1 - w) z as running sums, in blocks of readings: what lies more than a block back weighs
+    less than rounding, so a reading needs its own block's sum, with weights that grow from the block's begin, and the end of
+    the block before (at first, the mean)."""
     f, weight = Frames(keys), o.ewma_lambda
     df = _based(df, keys)
-    memory = 1 if not 0 < weight < 1 else math.ceil(math.log(1e-17) / math.log(1 - weight))
-    if memory > LONG_MEMORY:
-        df = _ewma_pass(df, keys, weight)
+    if 0 < weight < 1:
+        block = math.ceil(math.log(FORGOTTEN) / math.log(1 - weight))
+        kept = lambda n: F.pow(F.lit(1.0 - weight), n)
+        df = df.withColumn("k_", F.count("value").over(f.so_far) - 1)
+        df = df.withColumns({"block_": F.floor(F.col("k_") / block), "j_": F.pmod("k_", F.lit(block))})
+        within = Window.partitionBy(*(f.keys or [F.lit(0)]), "block_").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn("own_", weight * kept(F.col("j_")) * F.sum(F.col("value") * kept(-F.col("j_"))).over(within))
+        last = F.when((F.col("j_") == block - 1) & F.col("value").isNotNull(), F.col("own_"))
+        before = F.coalesce(F.max(last).over(f.all.orderBy("block_").rangeBetween(-1, -1)), F.col("x_"))
+        df = df.withColumn("z_", F.when(F.col("value").isNotNull(), F.col("own_") + kept(F.col("j_") + 1) * before)).drop("k_", "block_", "j_", "own_")
     else:
-        real = Window.partitionBy(*(f.keys or [F.lit(0)]), F.col("value").isNotNull()).orderBy("idx").rowsBetween(1 - memory, 0)
-        df = df.withColumn("window_", F.collect_list("value").over(real))
-        z = F.aggregate("window_", F.col("x_"), lambda acc, x: weight * x + (1 - weight) * acc)
-        df = df.withColumn("z_", F.when(F.col("value").isNotNull(), z)).drop("window_")
+        df = df.withColumn("z_", weight * F.col("value") + (1 - weight) * F.col("x_"))
     k = F.greatest(F.lit(1), F.count("value").over(f.so_far))
     widening = F.sqrt(weight / (2 - weight) * (1 - F.pow(F.lit(1.0 - weight), 2 * k))) if weight != 2 else F.lit(0.0)
     df = df.withColumn("sigma_", F.coalesce(F.col("s_") * widening, F.lit(0.0)))

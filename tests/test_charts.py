@@ -141,10 +141,10 @@ def test_ewma_and_moving_average(spark):
     assert near(ma[3].value, 10.3333) and near(ma[4].value, 9.3333) and near(ma[0].ucl, 10 + 3 * sigma) and near(ma[2].ucl, 10 + 3 * sigma / math.sqrt(3))
 
 
-@pytest.mark.parametrize("weight", [0.01, 0.2, 1.0])
+@pytest.mark.parametrize("weight", [0.01, 0.2, 0.9, 1.0])
 def test_ewma_is_the_recursion(spark, weight):
     rng = random.Random(3)
-    values = [None if rng.random() < 0.1 else rng.gauss(10, 2) for _ in range(60)]
+    values = [None, None] + [None if rng.random() < 0.1 else rng.gauss(10, 2) for _ in range(700)]
     real = [v for v in values if v is not None]
     z, want = sum(real) / len(real), []
     for v in values:
