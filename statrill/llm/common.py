@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of a batch that goes to a Python worker, so that long texts come a few at a time.
 BATCH = "8m"
+#: Tables written within each `passing()` that is open.
+_PASSING: list[list[str]] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -49,14 +53,30 @@ def kept_until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, after: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors. `after` keeps it
+    beyond the innermost passing()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/statrill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    scopes = _PASSING[:-1] if after else _PASSING
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(kept_until_exit(spark, path))
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within, other than those for after it, are deleted at its end: nothing may read them then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free(df: DataFrame, name: str) -> str:
     """A name like the one given that no column of the table has, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, stored, table
+from .common import free, passing, stored, table
 from .links import BROADCAST_ROWS, cells, components, small
 from .meeting import CHUNK, HOT, PACKED, buckets, met, packed, pairs_and_members
 from .ngram_join import forest, mixed, powers, shingles
@@ -219,6 +219,11 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, per: int = PER) -> DataF
 def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
     """row_, place, n (characters), at (order), class, first (its least at), links (distinct lines near this one) of every
     line whose class has more than one line, equal ones counted; a stored table."""
+    with passing(docs.sparkSession):
+        return stored(_placed_lines(docs, edits, least, per), after=True)
+
+
+def _placed_lines(docs: DataFrame, edits: int, least: int, per: int) -> DataFrame:
     distinct = lines(docs).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), F.xxhash64("line").alias("hash"), "times", "line"))
     found = near_lines(distinct.where(F.length("line") >= least).select("id", "line"), edits, per)
@@ -231,17 +236,19 @@ def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: i
     at = F.struct("doc_id", "row_", "place").alias("at")
     seen = lines(docs, "doc_id").select("row_", "place", F.length("line").alias("n"), F.xxhash64("line").alias("hash"), at)
     seen = stored(seen.join(classes, "hash").drop("hash"))
-    return stored(seen.join(small(stored(seen.groupBy("class").agg(F.min("at").alias("first")))), "class"))
+    return seen.join(small(stored(seen.groupBy("class").agg(F.min("at").alias("first")))), "class")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
     """row_, removed (places of the lines that go), source (row_ of the document of a smaller doc_id in which most
     characters of these lines began; null if there is none) for documents that lose a line; a stored table."""
-    gone = placed_lines(docs, edits, least, per).where("at <> first")
-    earlier = F.when(F.col("first.doc_id") < F.col("at.doc_id"), F.col("first.row_")).alias("source")
-    parts = gone.groupBy("row_", earlier).agg(F.collect_set("place").alias("places"), F.sum("n").alias("n"))
-    most = F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source")))["source"].alias("source")
-    return stored(parts.groupBy("row_").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"), most))
+    with passing(docs.sparkSession):
+        gone = placed_lines(docs, edits, least, per).where("at <> first")
+        earlier = F.when(F.col("first.doc_id") < F.col("at.doc_id"), F.col("first.row_")).alias("source")
+        parts = gone.groupBy("row_", earlier).agg(F.collect_set("place").alias("places"), F.sum("n").alias("n"))
+        most = F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source")))["source"].alias("source")
+        out = parts.groupBy("row_").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"), most)
+        return stored(out, after=True)
 
 
 def _without(text: str, removed: str) -> Column:
@@ -252,11 +259,14 @@ def copies(docs: DataFrame, repeated: DataFrame, whole: float, words: int) -> Da
     """row_ of the documents whose sets of so many words in a row are `whole` similar to their source's, both as the
     source is and without its own repeated lines, so whichever of the two stays; a stored table."""
     percent = round(100 * whole)
-    held = docs.select(row_key().alias("row_"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["row_"])
-    cut = repeated.select(F.col("row_").alias("source"), F.col("removed").alias("gone"))
-    first = held.select(F.col("row_").alias("source"), F.col("text").alias("first")).join(cut, "source", "left")
-    pairs = repeated.where("source is not null").select("row_", "source").join(held, "row_").join(first, "source")
-    pairs = pairs.select("row_", "text", "first", F.when(F.col("gone").isNotNull(), _without("first", "gone")).alias("rest"))
+    held = docs.select(row_key().alias("row_"), F.coalesce("text", F.lit("")).alias("text"))
+    members = small(stored(repeated.where("source is not null").select("row_", "source")))
+    own = held.join(members, "row_")
+    sources = small(stored(members.select("source").distinct()))
+    first = held.select(F.col("row_").alias("source"), F.col("text").alias("first")).join(sources, "source").dropDuplicates(["source"])
+    cut = small(stored(repeated.select(F.col("row_").alias("source"), F.col("removed").alias("gone")).join(sources, "source")), "gone")
+    first = first.join(cut, "source", "left").select("source", "first", F.when(F.col("gone").isNotNull(), _without("first", "gone")).alias("rest"))
+    pairs = own.join(first, "source").select("row_", "text", "first", "rest")
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         both = len(np.intersect1d(x, y, assume_unique=True))
@@ -271,18 +281,20 @@ def copies(docs: DataFrame, repeated: DataFrame, whole: float, words: int) -> Da
                     hit.append(row)
             yield pd.DataFrame({"row_": np.array(hit, np.int64)})
 
-    return stored(pairs.mapInPandas(verify, "row_ long"))
+    return stored(pairs.mapInPandas(verify, "row_ long").distinct())
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER, whole: float = 2.0, words: int = 5) -> DataFrame:
     """The documents without repeated lines; n_chars, if there, follows. Verified copies of one earlier document (the
     Jaccard similarity of their words in a row is `whole` or more, see `copies`) are left as they are, for a later stage
     that drops them; above 1 there are none."""
-    repeated = repeated_lines(docs, edits, least, per)
-    if whole <= 1:
-        repeated = repeated.join(small(copies(docs, repeated, whole, words)), "row_", "left_anti")
     row, gone = free(docs, "row_"), free(docs, "removed")
-    out = docs.withColumn(row, row_key()).join(repeated.select(F.col("row_").alias(row), F.col("removed").alias(gone)), row, "left")
+    with passing(docs.sparkSession):
+        repeated = repeated_lines(docs, edits, least, per)
+        if whole <= 1:
+            repeated = repeated.join(small(copies(docs, repeated, whole, words)), "row_", "left_anti")
+        repeated = stored(repeated.select(F.col("row_").alias(row), F.col("removed").alias(gone)), after=True)
+    out = docs.withColumn(row, row_key()).join(small(repeated, gone), row, "left")
     out = out.withColumn("text", F.when(F.col(gone).isNotNull(), _without("text", gone)).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import passing, stored
 
 #: Rows of the smaller side up to which a join of two numbers is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -15,31 +15,35 @@ BLOCK = 512
 WEIGHT = 2_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A stored table of narrow rows, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, array: str | None = None) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it is small enough; with it the elements of an array, if named."""
+    size = df.agg(F.coalesce(F.sum(F.size(array) + 1), F.lit(0))).first()[0] if array else df.count()
+    return F.broadcast(df) if size <= BROADCAST_ROWS * (4 if array else 1) else df
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (least id reachable) of every id in links (a, b long). Self-links and repeated links are allowed.
+    """id, component (least id reachable) of every id in links (a, b long); a stored table. Self-links and repeated links
+    are allowed.
 
     Alternates two steps until nothing changes: every larger neighbour of a node is linked to the least one around it,
     then every node and its smaller neighbours to the least of these. Each step aggregates minima and joins them back.
     """
-    now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct())
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
-        if state == before or state[0] == state[2] and not now.select("b").intersect(now.where("a <> b").select("a")).head(1):
-            break
-        before = state
-        both = now.union(now.select("b", "a"))
-        least = small(stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))))
-        large = both.join(least, F.col("a") == F.col("u")).where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large)
-        least = small(stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")))
-        now = stored(large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).distinct())
-    return now.union(now.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+    with passing(links.sparkSession):
+        now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct())
+        before = None
+        while True:
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
+            if state == before or state[0] == state[2] and not now.select("b").intersect(now.where("a <> b").select("a")).head(1):
+                break
+            before = state
+            both = now.union(now.select("b", "a"))
+            least = small(stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))))
+            large = both.join(least, F.col("a") == F.col("u")).where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            large = stored(large)
+            least = small(stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")))
+            now = stored(large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).distinct())
+        out = now.union(now.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+        return stored(out, after=True)
 
 
 def cells(members: DataFrame, group: str, block: int = BLOCK, own: bool = False, weight: str | None = None) -> DataFrame:

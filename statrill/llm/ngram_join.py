@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import passing, stored, table, texts
 from .links import BLOCK, cells, components, small
 
 #: Links: 100 * intersection >= PERCENT * union of sets of N-word shingles.
@@ -325,14 +325,20 @@ def link_forest(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> Da
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of every row."""
-    signed = stored(sets(docs, n))
+    with passing(docs.sparkSession):
+        signed = stored(sets(docs, n), after=True)
+        ends = stored(_components(docs, signed, n, percent).withColumnRenamed("id", "doc_id"), after=True)
+    return signed.select("doc_id", "n_shingles").join(small(ends), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, component of the documents that a link reaches."""
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = stored(full.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     found = link_forest(docs, candidate_groups(docs, first, n, percent), n, percent)
     many = small(stored(first.where("copies > 1").drop("copies")))
     copies = full.select("doc_id", "low", "high", "n_shingles").join(many, ["low", "high", "n_shingles"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    ends = stored(components(found.union(copies)).withColumnRenamed("id", "doc_id"))
-    return signed.select("doc_id", "n_shingles").join(small(ends), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return components(found.union(copies))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

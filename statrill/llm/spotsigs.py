@@ -28,7 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import passing, stored, table, texts
 from .links import cells, components, small
 from .meeting import CHUNK, PACKED, buckets, met, packed, pairs_and_members
 from .ngram_join import forest, linked, mixed
@@ -138,12 +138,17 @@ def near_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def classes(prints: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """print_ (hash of the fingerprint), class_id: the least doc_id that links of at least that similarity reach, of the
-    fingerprints of stored rows (doc_id, fingerprint) that more than one document reaches."""
+    fingerprints of stored rows (doc_id, fingerprint) that more than one document reaches; a stored table."""
+    with passing(prints.sparkSession):
+        return stored(_classes(prints, similar), after=True)
+
+
+def _classes(prints: DataFrame, similar: float) -> DataFrame:
     sets = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
     sets = stored(sets.withColumn("id", F.monotonically_increasing_id()))
-    ends = small(stored(components(near_sets(sets, similar))))
+    ends = small(components(near_sets(sets, similar)))
     many = stored(sets.join(ends, "id", "left").where("component is not null or times > 1").select(F.xxhash64("fingerprint").alias("print_"), F.coalesce("component", "id").alias("component"), "least"))
-    return stored(many.select("print_", "component").join(small(stored(many.groupBy("component").agg(F.min("least").alias("class_id")))), "component").select("print_", "class_id"))
+    return many.select("print_", "component").join(small(stored(many.groupBy("component").agg(F.min("least").alias("class_id")))), "component").select("print_", "class_id")
 
 
 def with_class(prints: DataFrame, similar: float = SIMILAR) -> DataFrame:
