@@ -11,8 +11,8 @@ the cheapest choice for each band, by the number of keys and of pairs that are e
 
 A set has the keys of its own band and of the next. Nodes of a key are tied to its least one, first within the chunk of
 documents at hand, so that a key is shuffled once for a chunk, then over all; components of these ties hold all links. What
-chance ties bring into large groups, other segments part again: sets of such a group are keyed anew within it, up to ROUNDS
-times. Within a group, in blocks bounded by sets and by tokens, intersections are counted exactly, as products of incidence
+chance ties bring into large groups, other segments part again: sets of such a group are keyed anew within it, in ROUNDS - 1
+rounds. Within a group, in blocks bounded by sets and by tokens, intersections are counted exactly, as products of incidence
 matrices, and each block pair keeps a spanning forest of its links.
 
 Only one document of each set is compared. Nulls and texts without words have an empty set, which links with nothing: such a
@@ -40,8 +40,8 @@ N, PERCENT = 3, 90
 #: Of the cost model: cost of a pair that meets in vain, in keys; the share of unrelated documents that hold a given token;
 #: related documents of each, and the share of tokens that they have in common.
 PAIR_COST, SHARED, RELATED, OVERLAP = 5, 1e-3, 30.0, 0.7
-#: Times that groups of more than BLOCK sets are dealt out anew by other segments.
-ROUNDS = 3
+#: Universe partitions; groups of more than BLOCK sets are dealt out anew by all but the first.
+ROUNDS = 2
 #: Keys that are tied at once within a task.
 CHUNK = 1 << 21
 U = np.uint64
