@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from statrill.llm import line_dedup, ngram_join, packing, quality, secrets
-from statrill.llm.common import kept_until_exit, ready, shared_folder, table
+from statrill.llm.common import kept_until_exit, passing, ready, shared_folder, table
 
 WORDS, PERCENT = 5, 80
 ORACLE_SQL = None
@@ -53,10 +53,12 @@ STAGES = [("quality", good_quality), ("lines", fresh_lines), ("near duplicates",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents of a folder of tables; every stage's rows are written to the shared folder."""
+    """All stages, from the documents of a folder of tables; every stage's rows are written to the shared folder, and what
+    it wrote on the way goes when they are."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(kept_until_exit(spark, f"{folder}/{i}"))
     return docs
