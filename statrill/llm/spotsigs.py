@@ -90,8 +90,8 @@ def set_keys(x: np.ndarray, often: np.ndarray, similar: float) -> tuple[int, np.
 
 
 def near_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links a, b of ids in a stored table (id, fingerprint), which join what is as similar: all of cold signatures, a
-    spanning forest of each two blocks for hot ones."""
+    """Links a, b of ids in a table (id, fingerprint), whose ids count up within a file, which join what is as similar: all
+    of cold signatures, a spanning forest of each two blocks for hot ones."""
     sign = F.conv(F.substring("fingerprint", 8 * F.col("at") + 5, 4), 16, 10).cast("int")  # the last 16 of 32 bits
     each = sets.select("fingerprint", F.explode(F.sequence(F.lit(0), (F.length("fingerprint") / 8).cast("int") - 1)).alias("at"))
     counted = each.groupBy(sign.alias("sign")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # SIGNS rows at most
@@ -136,31 +136,29 @@ def near_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return stored(sides.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long").union(dealt.groupBy("key", "cell_").applyInPandas(within, "a long, b long")))
 
 
-def classes(prints: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """print_ (hash of the fingerprint), class_id: the least doc_id that links of at least that similarity reach, of the
-    fingerprints of stored rows (doc_id, fingerprint) that more than one document reaches; a stored table."""
-    with passing(prints.sparkSession):
-        return stored(_classes(prints, similar), after=True)
+    fingerprints that more than one document reaches; a stored table."""
+    with passing(docs.sparkSession):
+        prints = fingerprints(docs).where("doc_id is not null").withColumns({"id": F.monotonically_increasing_id(), "print_": F.xxhash64("fingerprint")})
+        prints = stored(prints)
+        sets = stored(prints.groupBy("print_").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")))
+        first = prints.select("id", "fingerprint").join(small(sets.select("id")), "id", "left_semi")
+        ends = small(components(near_sets(first, similar)))
+        many = stored(sets.join(ends, "id", "left").where("component is not null or times > 1").select("print_", F.coalesce("component", "id").alias("component"), "least"))
+        names = small(stored(many.groupBy("component").agg(F.min("least").alias("class_id"))))
+        return stored(many.join(names, "component").select("print_", "class_id"), after=True)
 
 
-def _classes(prints: DataFrame, similar: float) -> DataFrame:
-    sets = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
-    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()))
-    ends = small(components(near_sets(sets, similar)))
-    many = stored(sets.join(ends, "id", "left").where("component is not null or times > 1").select(F.xxhash64("fingerprint").alias("print_"), F.coalesce("component", "id").alias("component"), "least"))
-    return many.select("print_", "component").join(small(stored(many.groupBy("component").agg(F.min("least").alias("class_id")))), "component").select("print_", "class_id")
-
-
-def with_class(prints: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Stored rows (doc_id, fingerprint, more) with their class_id; rows of a null doc_id have one only if another
-    document's fingerprint is the same."""
-    known = small(classes(prints, similar))
-    return prints.withColumn("print_", F.xxhash64("fingerprint")).join(known, "print_", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("print_")
+def with_class(prints: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (doc_id, fingerprint, more) with their class_id, by what classes() gives; rows of a null doc_id have one only if
+    another document's fingerprint is the same."""
+    return prints.withColumn("print_", F.xxhash64("fingerprint")).join(small(known), "print_", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("print_")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id: the least doc_id that links of at least that similarity reach."""
-    return with_class(stored(fingerprints(docs)), similar).select("doc_id", "class_id")
+    return with_class(fingerprints(docs), classes(docs, similar)).select("doc_id", "class_id")
 
 
 #: Documents of a range, about; and most ranges.
@@ -219,4 +217,5 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_class(stored(described(table(spark, sf_dir, "documents"))))
+    docs = table(spark, sf_dir, "documents")
+    return with_class(described(docs), classes(docs))
