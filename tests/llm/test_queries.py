@@ -146,3 +146,16 @@ def test_fingerprints_are_those_of_brute_force(spark, tmp_path, monkeypatch):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
     assert {i: r.class_id for i, r in got.items()} == {i: root(i) for i in prints} and len({root(i) for i in prints}) < len(prints) - 10
+
+
+def test_quality_of_held_out_documents(spark):
+    """Labels that no fit has seen: their ranks, and what the threshold keeps."""
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no generated tables")
+    scores = queries.QUERIES["op7_quality"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "quality", "predicted").collect()
+    good, bad = ([r for r in scores if r.quality == k] for k in (1, 0))
+    assert sum((a.score > b.score) + 0.5 * (a.score == b.score) for a in good for b in bad) >= 0.97 * len(good) * len(bad)
+    assert sum(r.predicted for r in good) >= 0.98 * len(good) and sum(r.predicted for r in bad) <= 0.5 * len(bad)
