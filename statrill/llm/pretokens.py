@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 #: Entries kept between batches in each worker, beyond which those of the last batch stay, and the longest piece that is
 #: kept, in characters. Both bound memory (to about 100 MB), not results.
-KEPT, LONGEST = 100_000, 64
+KEPT, LONGEST = 200_000, 64
 
 
 def pieces(text: str) -> list[str]:
@@ -50,7 +50,7 @@ class Memo(dict):
         return out
 
 
-def runs(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+def runs(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
     """Parts of a batch that hold about so many characters each."""
     start = size = 0
     for i, x in enumerate(texts):
