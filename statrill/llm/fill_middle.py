@@ -108,10 +108,12 @@ def transformed(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int =
         hot = stored(counts.where(F.col("copies_") > least).select("key_", F.ceil(F.col("copies_") / least).alias("parts_")), after=True)
     # at most MOST_HOT rows of a digest and a number, by the choice of `least`
     dealt = rows.join(F.broadcast(hot), "key_", "left").withColumn("part_", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts_")), F.lit(0)))
-    index = dealt.groupBy("key_", "part_").agg(F.min("text_").alias("text_")).withColumn("index_", index_of("text_"))
+    # the shuffle of texts serves both: lists are made in Python, after which Spark no longer knows how rows are dealt
+    distinct = dealt.groupBy("key_", "part_").agg(F.min("text_").alias("text_"))
+    index = distinct.select("key_", "part_", index_of("text_").alias("index_"))
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row_.doc_id").cast("string"), F.lit(""))), 256)
     h = lambda i: F.conv(F.substring(hashed, 8 * i - 7, 8), 16, 10).cast("long").alias(f"h{i}_")
-    met = dealt.select("key_", "part_", "row_", "null_", *map(h, (1, 2, 3, 4))).join(index, ["key_", "part_"])
+    met = dealt.select("key_", "part_", "row_", "null_", *map(h, (1, 2, 3, 4))).join(distinct, ["key_", "part_"]).join(index, ["key_", "part_"])
     marked = F.col("text_").contains(PREFIX) | F.col("text_").contains(SUFFIX) | F.col("text_").contains(MIDDLE)
     form = F.when((F.col("text_") == "") | marked | (F.col("h3_") % 100 >= rate), "plain").when(F.col("h4_") % 100 < spm, "spm").otherwise("psm")
     n = F.col("index_.n")
