@@ -10,6 +10,8 @@ from .fill_middle import op12_fill_middle
 from .licenses import ORACLE_SQL as LICENCES_SQL
 from .licenses import op3_licences
 from .line_dedup import op1_line_dedup
+from .line_rules import ORACLE_SQL as RULES_SQL
+from .line_rules import op11_quality_rules
 from .ngram_join import ORACLE_SQL as NGRAM_SQL
 from .ngram_join import op4_ngram_join
 from .packing import op10_best_fit_packing
@@ -21,5 +23,5 @@ from .spotsigs import op2_spot_signatures
 from .topk import ORACLE_SQL as TOP_K_SQL
 from .topk import op6_bit_sliced_top_k
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_licences, op4_ngram_join, op5_secrets, op6_bit_sliced_top_k, op7_quality, op8_byte_bpe, op9_pii, op10_best_fit_packing, op12_fill_middle, op13_conversation_repair)}
-ORACLE_SQL: dict[str, str] = {**CONVERSATIONS_SQL, **LICENCES_SQL, **MIDDLE_SQL, **NGRAM_SQL, **SECRETS_SQL, **TOP_K_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_licences, op4_ngram_join, op5_secrets, op6_bit_sliced_top_k, op7_quality, op8_byte_bpe, op9_pii, op10_best_fit_packing, op11_quality_rules, op12_fill_middle, op13_conversation_repair)}
+ORACLE_SQL: dict[str, str] = {**CONVERSATIONS_SQL, **LICENCES_SQL, **MIDDLE_SQL, **NGRAM_SQL, **RULES_SQL, **SECRETS_SQL, **TOP_K_SQL}
