@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +50,14 @@ def number(df: DataFrame, name: str | None) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """A join by columns of the same names in which a null equals a null; left, semi or anti, with the left side's columns."""
+    own = {c: f"of_right_{i}_" for i, c in enumerate(on)}
+    other = right.withColumnsRenamed(own)
+    same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in own.items()])
+    return left.join(other, same, how).drop(*own.values())
+
+
 def rounded(x: Column) -> Column:
     """Halves round up, also below zero."""
     return F.floor(x + 0.5)

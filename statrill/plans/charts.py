@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import D2, LEAST_PHASE, LIMITS, MR_UCL, constant, limits, rounded
+from ..functions.columns import D2, LEAST_PHASE, LIMITS, MR_UCL, constant, joined, limits, rounded
 from ..operators.rules import ALL, with_rules
 from ..operators.series import Frames, mean, with_changepoint, with_points
 from .options import Options
@@ -242,5 +242,5 @@ def labelled(built: DataFrame, mode: str = "off") -> DataFrame:
 
 
 def selected(built: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The points whose category_index (and keys, if there) are chosen."""
-    return built.join(chosen, chosen.columns, "left_semi")
+    """The points whose category_index (and keys, if there; a null is a key too) are chosen."""
+    return joined(built, chosen, chosen.columns, "left_semi")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded
+from ..functions.columns import joined, rounded
 from ..sources.extract import extract
 from ..sources.roles import BindingError, Roles
 from .charts import CHARTS, build, chart_kind
@@ -60,7 +60,7 @@ def chart(points: DataFrame, kind: str = "individuals", keys: Sequence[str] = ()
     """build() with the status of each series beside its rows, so that one bad series does not keep back the others."""
     status = series_status(points, kind, keys, options).select(*keys, "status")
     built = build(points, kind, keys, options)
-    return built.join(status, list(keys), "left") if keys else built.crossJoin(F.broadcast(status))  # one row
+    return joined(built, status, keys, "left") if keys else built.crossJoin(F.broadcast(status))  # one row
 
 
 def chart_table(df: DataFrame, roles: Roles, kind: str = "individuals", options: Options = Options(), max_points: int | None = None) -> DataFrame:  # noqa: B008

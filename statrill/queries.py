@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.columns import CONSTANTS, LIMITS
 from .operators.rules import RULES, rule_catalogue
 from .operators.series import with_changepoint, with_points
-from .plans import charts, explain, status
+from .plans import charts, explain, lines, ranged, status
 from .plans.options import Options
 from .sources import extract as sources
 from .sources import targets
@@ -311,13 +311,13 @@ def spc_manual(spark, sf_dir):
 
 #: A series on which every rule fires: by tens of points, alternating, near the middle, rising, apart from it, and far off.
 PLANTED = "cast(case floor(event_id / 20) % 8 when 0 then 4 * (event_id % 2) - 2 when 1 then 0.1 * (event_id % 3) when 2 then (event_id % 20) / 2.0 - 5.03 when 3 then case when event_id % 4 < 2 then 3 else -3 end when 4 then case when event_id % 20 = 7 then 40 else 0 end when 5 then case when event_id % 3 = 0 then 0 else 3.5 end when 6 then case when event_id % 5 = 0 then 0 else 2 end else 1 end as double)"
-_PLANTED_SQL = INDIVIDUALS_SQL.replace("case when event_type <> 'error' then value end as value from events", f"{PLANTED} as value from (select 0 as user_id, event_id, ts from events where event_id < 800)").replace("coalesce(epoch_us(ts), 0), category_index", "category_index")
+_PLANTED_SQL = INDIVIDUALS_SQL.replace("case when event_type <> 'error' then value end as value from events", f"{PLANTED} as value from (select 0 as user_id, event_id, ts from events)").replace("coalesce(epoch_us(ts), 0), category_index", "category_index")
 
 
 @query(f"{_PLANTED_SQL}, each as (select cast(unnest(string_split(fired, ' ')) as int) as rule_id, idx from ruled where fired <> '') select rule_id, count(*) as n, sum(idx)::bigint as places from each group by 1")
 def spc_planted_rules(spark, sf_dir):
     """How often each rule fires on the planted series, and where."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 800").select("event_id", F.expr(PLANTED).alias("value"))
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(PLANTED).alias("value"))
     built = charts.build(sources.extract(df, Roles(axis=("event_id",))), "individuals")
     return built.select(F.explode("fired_rules").alias("rule_id"), "idx").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").cast("long").alias("places"))
 
@@ -349,13 +349,20 @@ def spc_companion_extent(spark, sf_dir):
     return charts.companion_extent(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"]).select("user_id", "low", *rounded("high"))
 
 
-def two_places(x: Column) -> Column:
-    """Two places of a number of six: halves print differently in other engines, so none is left."""
-    return F.format_string("%.2f", F.round(x + NUDGE, PLACES) + 1e-9)
+def to_places(built: DataFrame, *names: str) -> DataFrame:
+    """A chart with doubles of six places, so that other orders of its sums print alike."""
+    return built.withColumns(dict(zip(names, rounded(*names), strict=True)))
+
+
+def _sql_fixed(x: str, places: int = 2) -> str:
+    """Rounding by the exact value: all digits, of which the first one left out decides."""
+    digits = f"printf('%.60f', abs({x}))"
+    whole = f"((split_part({digits}, '.', 1) || left(split_part({digits}, '.', 2), {places}))::hugeint + case when substr(split_part({digits}, '.', 2), {places + 1}, 1) >= '5' then 1 else 0 end)"
+    return f"case when {x} < 0 then '-' else '' end || ({whole} // {10**places})::varchar || '.' || lpad(({whole} % {10**places})::varchar, {places}, '0')"
 
 
 def _sql_places(x: str) -> str:
-    return f"printf('%.2f', round({x} + {NUDGE}, {PLACES}) + 1e-9)"
+    return _sql_fixed(f"(round({x} + {NUDGE}, {PLACES}) + 0.0)")
 
 
 def _explained_sql(items: list[str], key: str, source: str) -> str:
@@ -368,20 +375,157 @@ _item = lambda name, text: f"{{'name': '{name}', 'text': {text}}}"
 
 @query(INDIVIDUALS_SQL + _explained_sql([_item("Axis", "label"), _item("Value", _sql_places("value")), f"case when change_at <= n then {_item('Phase', 'cast(phase as varchar)')} end", _item("Center (x̄)", _sql_places("center")), _item("UCL", _sql_places("ucl")), _item("LCL", _sql_places("lcl")), *(f"case when rule{i} then {_item(name, repr(text))} end" for i, (name, text) in RULES.items())], "user_id", "ruled where value is not null"))
 def spc_explanations(spark, sf_dir):
-    return explain.explanations(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"], number=two_places)
+    built = to_places(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), "value", *LIMITS)
+    return explain.explanations(built, ["user_id"])
 
 
 @query(INDIVIDUALS_SQL + _explained_sql([_item("Axis", "label"), _item("Moving range", _sql_places("moving_range")), _item("MR center (MR̄)", _sql_places("mr_bar")), _item("MR UCL", _sql_places("3.267 * mr_bar"))], "user_id", "ruled where moving_range is not null"))
 def spc_companion_explanations(spark, sf_dir):
-    return explain.companion_explanations(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"], number=two_places)
+    built = to_places(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), "comp_value", "comp_center", "comp_ucl", "comp_lcl")
+    return explain.companion_explanations(built, ["user_id"])
 
 
 _ARMS_SQL = ORACLE_SQL["spc_cusum"].rpartition("select user_id, idx")[0] + ", arms as (select b.*, up, down from base b join fold using (user_id, idx) where raw is not null)"
 
 
-@query(_ARMS_SQL + _explained_sql([_item("Axis", "label"), _item("CUSUM C⁺", _sql_places("up")), _item("CUSUM C⁻", _sql_places("down")), _item("Decision interval (H)", _sql_places("5 * s"))], "user_id", "arms"))
+@query(_ARMS_SQL + _explained_sql([_item("Axis", "label"), _item("CUSUM C⁺", _sql_places("up")), _item("CUSUM C⁻", _sql_fixed(f"(-(round(0 - down + {NUDGE}, {PLACES}) + 0.0))")), _item("Decision interval (H)", _sql_places("5 * s"))], "user_id", "arms"))
 def spc_cusum_explanations(spark, sf_dir):
-    return explain.explanations(charts.build(event_points(spark, sf_dir), "cusum", ["user_id"]), ["user_id"], "cusum", number=two_places)
+    built = to_places(charts.build(event_points(spark, sf_dir), "cusum", ["user_id"]), "value", "c_minus_neg", "ucl")
+    return explain.explanations(built, ["user_id"], "cusum")
+
+
+#: Readings in every form that two places round: halves that doubles hold, halves that they only come near, signs, zeros.
+FORMS = {"eighth": "event_id / 8.0D", "five": "event_id * 0.005D", "five_off": "0.005D - event_id / 1000.0D", "down": "-value", "nothing": "0.0D * -value", "large": "value * 1e14D"}
+
+
+@query("with x as (" + " union all ".join(f"select event_id, '{k}' as form, {v.replace('0D', '0::double').replace('5D', '5::double').replace('14D', '14::double')} as x from events" for k, v in FORMS.items()) + f") select event_id, form, {_sql_fixed('x')} as two, {_sql_fixed('x', 1)} as one from x where x is not null")
+def spc_two_places(spark, sf_dir):
+    """Numbers as explanations write them."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    each = df.select("event_id", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.expr(v).alias("x")) for k, v in FORMS.items()])).alias("e")).select("event_id", "e.*").where("x is not null")
+    return each.select("event_id", "form", explain.two_places(F.col("x")).alias("two"), explain.fixed(F.col("x"), 1).alias("one"))
+
+
+@query(f"{_P_SQL.rpartition(' select supplier, idx')[0]} select supplier, idx, 'Proportion' as name, {_sql_fixed(f'(round(100 * (round(value + {NUDGE}, {PLACES}) + 0.0), 6) + 0.0)', 1)} || '%' as text from ruled where value is not null")
+def spc_value_texts(spark, sf_dir):
+    """Plotted values by the name and in the form of their kind of chart."""
+    built = to_places(charts.build(month_points(spark, sf_dir, "returns"), "p", ["supplier"]), "value")
+    return explain.value_texts(built, ["supplier"], "p")
+
+
+# What is drawn through the points.
+_RUN_SQL = """, there as (select {key}, idx, idx - row_number() over (partition by {key} order by idx) as island from {source} where {what} is not null),
+islands as (select {key}, min(idx) as start_index, max(idx) as end_index, count(*) as points from there group by {key}, island)
+select {key}, cast(row_number() over (partition by {key} order by start_index) as int) as run, start_index, end_index, points from islands"""
+
+
+@query(f"with {EVENT_SQL}" + _RUN_SQL.format(key="user_id", source="points", what="value"))
+def spc_runs(spark, sf_dir):
+    """Where the data line goes without a break."""
+    return lines.runs(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"])
+
+
+@query("with points as (select o_orderstatus, row_number() over (partition by o_orderstatus order by coalesce(epoch_us(o_orderdate), 0), o_orderkey) as idx, case when month(o_orderdate) < 4 then o_totalprice end as target from orders)" + _RUN_SQL.format(key="o_orderstatus", source="points", what="target"))
+def spc_target_runs(spark, sf_dir):
+    """Where the target line goes without a break: targets of the first months of each year."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("target", F.when(F.month("o_orderdate") < 4, F.col("o_totalprice")))
+    points = sources.extract(orders, Roles(axis=("o_orderdate",), measure="o_totalprice", target="target", keys=("o_orderstatus",), ordinal="o_orderkey"))
+    return lines.runs(points, ["o_orderstatus"], "target")
+
+
+_STEP_LIMITS = [f"round({c}, 6) as {c}" for c in ("center", "ucl", "lcl")]
+
+
+@query(f"""{_P_SQL.rpartition(' select supplier, idx')[0]}, marks as (select supplier, idx, {', '.join(_STEP_LIMITS)} from ruled where value is not null),
+news as (select *, case when coalesce(lag(idx) over w = idx - 1 and lag(center) over w = center and lag(ucl) over w = ucl and lag(lcl) over w = lcl, false) then 0 else 1 end as new from marks window w as (partition by supplier order by idx)),
+numbered as (select *, cast(sum(new) over (partition by supplier order by idx) as int) as run from news)
+select supplier, run, min(idx) as start_index, max(idx) as end_index, {', '.join(f'arg_min({c}, idx) + 0.0 as {c}' for c in ('center', 'ucl', 'lcl'))} from numbered group by 1, 2""")
+def spc_limit_runs(spark, sf_dir):
+    """Steps of the limit lines of a chart whose limits vary."""
+    built = charts.build(month_points(spark, sf_dir, "returns"), "p", ["supplier"])
+    return lines.limit_runs(built.withColumns({c: F.round(c, 6) for c in ("center", "ucl", "lcl")}), ["supplier"])
+
+
+@query(f"""{INDIVIDUALS_SQL}, parts as (select user_id, phase as segment, min(idx) as start_index, max(idx) as end_index, {', '.join(f'round(arg_max({c}, case when value is not null then idx else -idx end) + {NUDGE}, 6) + 0.0 as {c}' for c in LIMITS)}, round(arg_min(3.267 * mr_bar, idx) + {NUDGE}, 6) + 0.0 as comp_ucl from ruled group by 1, 2)
+select *, coalesce((lag(end_index) over w + start_index) / 2.0, start_index - 0.5)::double as left, coalesce((lead(start_index) over w + end_index) / 2.0, end_index + 0.5)::double as right, (case when row_number() over w = 2 then start_index - 0.5 end)::double as phase_line from parts window w as (partition by user_id order by segment)""")
+def spc_segment_ranges(spark, sf_dir):
+    """From where to where the lines of each segment go, over charts of one phase and of two."""
+    ranges = lines.segment_ranges(charts.build(event_points(spark, sf_dir), "individuals", ["user_id"]), ["user_id"])
+    return ranges.select("user_id", "segment", "start_index", "end_index", "left", "right", "phase_line", *rounded(*LIMITS, "comp_ucl"))
+
+
+@query("""with points as (select user_id, event_id, case when event_id % 7 = 0 then null else ts end as ts, value from events),
+slots as (select *, row_number() over (partition by user_id order by event_id) - 1 as category_index from points)
+select user_id, cast(row_number() over (partition by user_id order by coalesce(epoch_us(ts), 0), category_index) as int) as idx, category_index, coalesce(strftime(ts, '%Y-%m-%d'), '') as label from slots""")
+def spc_null_axis(spark, sf_dir):
+    """Points without a date sort as the epoch's."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    return sources.extract(df, EVENTS).select("user_id", "idx", "category_index", "label")
+
+
+@query(f"{INDIVIDUALS_SQL} select user_id, idx, phase, {sql_rounded('value', *LIMITS)}, fired from ruled")
+def spc_guarded_options(spark, sf_dir):
+    """An unknown kind of chart is an individuals chart, and limits of no width have the width of three sigmas."""
+    return charts.build(event_points(spark, sf_dir), "pie", ["user_id"], Options(sigmas=-1.0)).select("phase", *_chart_columns("user_id"))
+
+
+# One series: all events, without keys, in blocks far smaller than the series.
+ONE, BLOCK_SIZE = Roles(axis=("ts",), measure="value", ordinal="event_id"), 1024
+ONE_SQL = EVENT_SQL.replace("select user_id, event_id, ts,", "select 0 as user_id, event_id, ts,")
+
+
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranged.extract(events(spark, sf_dir), ONE, size=BLOCK_SIZE)
+
+
+def one_chart(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return ranged.build(one_series(spark, sf_dir), kind, size=BLOCK_SIZE)
+
+
+@query(f"with {ONE_SQL} select idx, category_index, label, round(value, 6) + 0.0 as value from points")
+def spc_range_points(spark, sf_dir):
+    """A long series, numbered without a task for it."""
+    return one_series(spark, sf_dir).select("idx", "category_index", "label", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+_ONE_INDIVIDUALS = INDIVIDUALS_SQL.replace(EVENT_SQL, ONE_SQL)
+
+
+@query(f"{_ONE_INDIVIDUALS} select idx, phase, {sql_rounded('value', *LIMITS)}, fired, coalesce(moving_range > 3.267 * mr_bar or moving_range < 0, false) as comp_violation from ruled")
+def spc_range_individuals(spark, sf_dir):
+    return one_chart(spark, sf_dir, "individuals").select("phase", *_chart_columns(), "comp_violation")
+
+
+@query(f"with {ONE_SQL}, {CHANGE_SQL} select distinct n, cast(change_at as bigint) as change_at, cast(best_split as bigint) as best_split, significant, {sql_rounded('best_statistic')} from changed")
+def spc_range_changepoint(spark, sf_dir):
+    df = one_chart(spark, sf_dir, "individuals")
+    return df.agg(*[F.max(c).alias(c) for c in ("n", "change_at", "best_split", "significant", "best_statistic")]).select("n", "change_at", "best_split", "significant", *rounded("best_statistic"))
+
+
+@query(f"{_PLANTED_SQL}, each as (select cast(unnest(string_split(fired, ' ')) as int) as rule_id, idx from ruled where fired <> '') select rule_id, count(*) as n, sum(idx)::bigint as places from each group by 1")
+def spc_range_rules(spark, sf_dir):
+    """Every rule on the planted series, in blocks."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(PLANTED).alias("value"))
+    built = ranged.build(ranged.extract(df, Roles(axis=("event_id",)), size=BLOCK_SIZE), "individuals", size=50)
+    return built.select(F.explode("fired_rules").alias("rule_id"), "idx").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").cast("long").alias("places"))
+
+
+_ONE_BASE = _BASE_SQL.replace(EVENT_SQL, ONE_SQL)
+
+
+@query(f"""with {_ONE_BASE}, reals as (select idx, raw, x, s, count(raw) over (order by idx) as k from base),
+weighed as (select a.idx, sum(0.2 * pow(0.8, a.k - b.k) * b.raw) + any_value(a.x) * pow(0.8, any_value(a.k)) * case when any_value(a.k) <= 300 then 1 else 0 end as z from reals a join reals b on b.raw is not null and b.k between a.k - 300 and a.k where a.raw is not null group by 1),
+averaged as (select b.*, z as value, s * sqrt(0.2 / 1.8 * (1 - pow(0.8, 2 * greatest(1, count(raw) over (order by b.idx))))) as sz from base b left join weighed w on w.idx = b.idx),
+limited as (select *, {limits_sql('x', '0.0', 'sz', True)} from averaged), {rules_sql('limited', 'user_id', (1,))} select idx, {sql_rounded('value', *LIMITS)}, fired from ruled""")
+def spc_range_ewma(spark, sf_dir):
+    return one_chart(spark, sf_dir, "ewma").select(*_chart_columns())
+
+
+@query(f"""with {_ONE_BASE}, sums as (select *, sum(raw - (x + 0.5 * s)) over w as up, sum(x - 0.5 * s - raw) over w as down from base window w as (order by idx)),
+arms as (select *, up - least(0, min(up) over w) as plus, down - least(0, min(down) over w) as minus from sums window w as (order by idx))
+select idx, round(case when raw is not null then plus end + {NUDGE}, 6) + 0.0 as value, round(case when raw is not null then 0 - minus end + {NUDGE}, 6) + 0.0 as c_minus_neg, round(5 * s + {NUDGE}, 6) + 0.0 as ucl, coalesce(raw is not null and plus > 5 * s, false) as signal_upper, coalesce(raw is not null and minus > 5 * s, false) as signal_lower from arms""")
+def spc_range_cusum(spark, sf_dir):
+    return one_chart(spark, sf_dir, "cusum").select("idx", *rounded("value", "c_minus_neg", "ucl"), "signal_upper", "signal_lower")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import number
+from ..functions.columns import joined, number
 from .roles import Roles
 
 
@@ -66,5 +66,5 @@ def completed(df: DataFrame, roles: Roles, step: str = "1 day") -> DataFrame:
     axis = roles.axis[0]
     span = df.groupBy(*roles.keys).agg(F.min(axis).alias("first_"), F.max(axis).alias("last_"))
     every = span.where("first_ is not null").select(*roles.keys, F.explode(F.expr(f"sequence(first_, last_, interval {step})")).alias(axis))
-    missing = every.join(df, [*roles.keys, axis], "left_anti")
+    missing = joined(every, df.select(*roles.keys, axis), [*roles.keys, axis], "left_anti")
     return df.unionByName(missing, allowMissingColumns=True)

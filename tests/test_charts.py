@@ -1,16 +1,17 @@
 """Known answers on short series, and properties that tie the window forms to the recursions they stand for."""
 
+import decimal
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from statrill.functions.columns import constant
+from statrill.functions.columns import CONSTANT_NAMES, constant
 from statrill.operators.series import with_changepoint, with_points
-from statrill.plans import charts, explain
+from statrill.plans import charts, explain, lines
 from statrill.plans.options import Options
-from statrill.plans.status import chart_table, check_roles, option_message, series_status
+from statrill.plans.status import chart, chart_table, check_roles, option_message, series_status
 from statrill.sources import extract as sources
 from statrill.sources import files, targets
 from statrill.sources.roles import BindingError, Roles
@@ -238,3 +239,70 @@ def test_helpers(spark):
     low, high = charts.extent(charts.build(points(spark, [5] * 3), "c", ["k"]), ["k"]).select("low", "high").first()
     assert low < 5 < high and charts.labelled(full, "off").count() == 0 and charts.labelled(full, "all").count() == 5
     assert charts.selected(full, spark.createDataFrame([(2,)], "category_index long")).first().value == 50
+
+
+def test_null_keys_are_keys(spark):
+    """Status, completion and selection of a series whose key is null are as those of any other."""
+    for key in (None, "a"):
+        gaps = points(spark, [None, None], key=key).union(points(spark, [1, 2], key="z"))
+        out = chart(gaps, keys=["k"]).collect()
+        assert len(out) == 4 and [r.status for r in out if r.k == key] == ["No valid data points"] * 2 and [r.status for r in out if r.k == "z"] == [None] * 2
+        df = spark.createDataFrame([(key, "2024-01-01", 1.0), (key, "2024-01-04", 3.0), ("z", "2024-01-02", 4.0)], "k string, d string, m double").withColumn("d", F.to_date("d"))
+        full = sources.completed(df, Roles(axis=("d",), measure="m", keys=("k",)))
+        assert sorted(((r.k, str(r.d), r.m) for r in full.collect()), key=str) == sorted([(key, "2024-01-01", 1.0), (key, "2024-01-02", None), (key, "2024-01-03", None), (key, "2024-01-04", 3.0), ("z", "2024-01-02", 4.0)], key=str)
+        chosen = spark.createDataFrame([(key, 1), ("z", 0)], "k string, category_index long")
+        assert sorted(((r.k, r.idx) for r in charts.selected(gaps, chosen).collect()), key=str) == sorted([(key, 2), ("z", 1)], key=str)
+
+
+def test_numbers_are_written_by_their_exact_value(spark):
+    rng = random.Random(1)
+    some = [1.005, 0.005, 10.125, -10.125, 2.675, 99.995, -0.001, 5e-324, 2.0**52 + 0.5, 123456789012345680000.0]
+    some += [rng.choice([rng.gauss(0, 100), rng.randint(-(10**6), 10**6) / 8, rng.randint(-(10**6), 10**6) / 1000, rng.random() * 10 ** rng.randint(-8, 20)]) for _ in range(2000)]
+    got = spark.createDataFrame([(x,) for x in some], "x double").select("x", *[explain.fixed(F.col("x"), p).alias(f"p{p}") for p in (0, 1, 2)]).collect()
+    with decimal.localcontext(prec=80):
+        for r in got:
+            for p in (0, 1, 2):
+                exact = decimal.Decimal(abs(r.x)).quantize(decimal.Decimal(1).scaleb(-p), rounding=decimal.ROUND_HALF_UP)
+                assert r[f"p{p}"] == ("-" if r.x < 0 else "") + format(exact, "f")
+    odd = [(-0.0, "0.00"), (0.0, "0.00"), (float("nan"), ""), (float("-inf"), ""), (1e21, "1e+21"), (1.5e25, "1.5e+25"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame(odd, "x double, y string").select(explain.two_places(F.col("x"))).collect()] == [y for _, y in odd]
+    arms = explain.explanations(charts.build(points(spark, [1, 2, 50]), "cusum", ["k"]), ["k"], "cusum").where("name = 'CUSUM C⁻'").orderBy("idx").collect()
+    assert arms[-1].text == "0.00"
+
+
+def test_values_are_named_and_written_as_their_chart_does(spark):
+    text = lambda kind, *more: [(r.name, r.text) for r in explain.value_texts(charts.build(points(spark, *more), kind, ["k"]), ["k"], kind).orderBy("idx").collect()]
+    assert text("p", [5, 10, None], [100.0, 80.0, 1.0]) == [("Proportion", "5.0%"), ("Proportion", "12.5%")]
+    assert text("u", [5], 2.0) == [("Defects per unit", "2.50")] and text("c", [5]) == [("Value", "5.00")] and text("ewma", [5])[0][0] == "EWMA"
+    assert {k: (x.value_label, x.value_format) for k, x in charts.CHARTS.items() if x.value_label} == {"p": ("Proportion", "0.0%"), "u": ("Defects per unit", None), "ewma": ("EWMA", None), "ma": ("Moving average", None), "cusum": ("CUSUM", None)}
+
+
+def test_lines(spark):
+    full = charts.build(points(spark, [None, 1, 2, None, 3, None, 4, 5]), keys=["k"])
+    assert [tuple(r)[1:] for r in lines.runs(full, ["k"]).orderBy("run").collect()] == [(1, 2, 3, 2), (2, 5, 5, 1), (3, 7, 8, 2)]
+    assert lines.runs(full, ["k"], "target").count() == 0
+    steps = lines.limit_runs(charts.build(points(spark, [1, 2, 3, None, 4], [10.0, 10.0, 20.0, 20.0, 20.0]), "p", ["k"]), ["k"]).orderBy("run").collect()
+    assert [(r.run, r.start_index, r.end_index) for r in steps] == [(1, 1, 2), (2, 3, 3), (3, 5, 5)] and near(steps[1].ucl, steps[2].ucl)
+    both = lines.segment_ranges(charts.build(points(spark, [10] * 15 + [20] * 15), keys=["k"]), ["k"]).orderBy("segment").collect()
+    assert [(r.left, r.right, r.phase_line) for r in both] == [(0.5, 15.5, None), (15.5, 30.5, 15.5)] and both[1].center == 20
+    one = lines.segment_ranges(charts.build(points(spark, [1, 2, 3]), "c", ["k"]), ["k"]).collect()
+    assert [(r.left, r.right, r.phase_line) for r in one] == [(0.5, 3.5, None)]
+
+
+def test_every_constant_is_that_of_its_formula(spark):
+    """All sizes from 2 to 25: mean and deviation of the range of normal readings by integrals, c4 by the gamma function."""
+    import numpy as np
+
+    x = np.linspace(-9, 9, 4001)
+    step, cdf = x[1] - x[0], np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    names = [F.struct(*[constant(n, F.col("m")).alias(n) for n in CONSTANT_NAMES]).alias("c")]
+    for m, got in spark.range(2, 26).select(F.col("id").alias("m"), *names).collect():
+        d2 = float((1 - cdf**m - (1 - cdf) ** m).sum() * step)
+        upper = cdf[None, :] - cdf[:, None]
+        both = 1 - cdf[None, :] ** m - (1 - cdf[:, None]) ** m + np.maximum(0, upper) ** m
+        d3 = math.sqrt(2 * float((np.triu(both).sum() - np.trace(both) / 2) * step * step) - d2 * d2)
+        c4 = math.sqrt(2 / (m - 1)) * math.exp(math.lgamma(m / 2) - math.lgamma((m - 1) / 2))
+        spread, wide = 3 * d3 / d2, 3 * math.sqrt(1 - c4 * c4) / c4
+        want = [3 / (d2 * math.sqrt(m)), 3 / (c4 * math.sqrt(m)), max(0, 1 - spread), 1 + spread, max(0, 1 - wide), 1 + wide]
+        assert all(abs(a - b) < 0.003 for a, b in zip(got, want, strict=True)), (m, got, want)
+    assert all(constant(n, F.lit(m)) is not None for n in CONSTANT_NAMES for m in (1, 26))
