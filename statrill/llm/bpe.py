@@ -28,6 +28,8 @@ from .pretokens import Memo, pieces, runs
 #: Words at a time in one recursive query, and rows of its recursion, about. Rows grow with the square of a word's length,
 #: so a word of more than LONG bytes is merged on a list instead.
 WORDS, ROWS, LONG = 20_000, 2_000_000, 1000
+#: Words, and pieces of text, that a worker keeps.
+KEPT = 400_000
 
 ENCODE = """
 with recursive state(k, token, step) as (
@@ -44,10 +46,8 @@ with recursive state(k, token, step) as (
 select word, list(token order by state.k) as ids
 from state join last on last.word = state.k >> 10 and last.step = state.step group by word order by word"""
 
-DECODE = """
-select word, string_agg(piece, '' order by place) as hex
-from (select word, unnest(ids) as id, generate_subscripts(ids, 1) as place from given) join vocabulary using (id)
-group by word order by word"""
+#: The bytes of all ids in order, as digits, and how many each id has.
+DECODE = "select string_agg(piece, '' order by place), list(length(piece) // 2 order by place) from given join vocabulary using (id)"
 
 
 class Merges:
@@ -117,14 +117,21 @@ class Merges:
 
     def decode(self, lists: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
+        import numpy as np
         import pyarrow as pa
 
         out = [b""] * len(lists)
-        for at in range(0, len(lists), WORDS):
-            some = [(i, x) for i, x in enumerate(lists[at : at + WORDS], at) if x]
-            self.db.register("given", pa.table({"word": [i for i, _ in some], "ids": pa.array([x for _, x in some], pa.list_(pa.int32()))}))
-            for i, digits in self.db.execute(DECODE).fetchall():
-                out[i] = bytes.fromhex(digits)
+        sizes = np.array([len(x) for x in lists])
+        begins = np.flatnonzero(np.diff(np.cumsum(sizes) // (8 * WORDS), prepend=-1)) if lists else ()
+        for at, to in zip(begins, [*begins[1:], len(lists)][: len(begins)], strict=True):
+            some = [i for i in range(at, to) if sizes[i]]
+            if some:
+                ids = np.concatenate([np.array(lists[i], np.int32) for i in some])
+                self.db.register("given", pa.table({"id": ids, "place": np.arange(len(ids), dtype=np.int32)}))
+                digits, each = self.db.execute(DECODE).fetchall()[0]
+                held, ends, begin = bytes.fromhex(digits), np.cumsum(each)[np.cumsum(sizes[some]) - 1].tolist(), 0
+                for i, end in zip(some, ends, strict=True):
+                    out[i], begin = held[begin:end], end
         return out
 
 
@@ -139,12 +146,12 @@ def coder(path: str, pattern: str) -> tuple[Merges, Memo]:
         ids = merges.encode(words)
         return list(zip([" ".join(map(str, x)) for x in ids], merges.decode(ids), strict=True))
 
-    known = Memo(of_words)
+    known = Memo(of_words, KEPT)
 
     def of_pieces(new: list[str]) -> list[tuple[str, bytes]]:
         return [(" ".join([a for a, _ in x]), b"".join([b for _, b in x])) for x in known.of([matches(p) for p in new])]
 
-    return merges, Memo(of_pieces)
+    return merges, Memo(of_pieces, KEPT)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -16,7 +16,7 @@ if they are equal; blank ones are not compared and stay. Null texts count as emp
 text are one document. An empty table gives an empty one. Very long texts and lines are read whole; the work grows with
 their length. Other columns are kept as they are, whatever their names.
 
-Lines are known by a 64-bit hash; two lines with one hash would be one line.
+Lines and rows are known by 128 bits of a hash.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free, passing, stored, table
-from .links import BROADCAST_ROWS, cells, components, small
-from .meeting import CHUNK, HOT, PACKED, buckets, met, packed, pairs_and_members
-from .ngram_join import forest, mixed, powers, shingles
+from .links import cells, components, small
+from .meeting import CHUNK, HOT, PACKED, buckets, met, packed, pairs_and_members, within_chunk
+from .ngram_join import forest, jaccard_components, mixed, powers, shingles
 
 EDITS, PER, LEAST = 3, 25, 20
 _KEY = np.uint64(0x9E3779B97F4A7C15)
@@ -44,11 +44,16 @@ def budget(length: np.ndarray, edits: int = EDITS, per: int = PER) -> np.ndarray
     return np.minimum(edits, 1 + length // per)
 
 
+def digest(*parts: Column) -> Column:
+    """128 bits that stand for a line or a row."""
+    return F.unhex(F.md5(F.concat_ws("\n", *parts)))
+
+
 def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    return digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
 
 
-def lines(docs: DataFrame, *more: str) -> DataFrame:
+def lines(docs: DataFrame, *more: str | Column) -> DataFrame:
     """row_, more, place (from 0), line of every line that is not blank."""
     each = docs.select(row_key().alias("row_"), *more, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
     return each.where(F.col("line").rlike(r"\S"))
@@ -172,10 +177,11 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, per: int = PER) -> DataF
     """Links a, b of ids in a stored table (id, line) of distinct lines: all of cold keys, with n = 1, and a forest for hot
     ones, with n = 0; rows with a = b have the n links that a line has in hot cells. A stored table."""
     most = sum((e**2 - d**2) // 2 + e + 1 for e in (edits,) for d in range(e + 1))
-    pairs, members = pairs_and_members(met(keyed(distinct, buckets(most * distinct.count()), edits, per, HOT), HOT))
+    count = distinct.count()
+    pairs, members = pairs_and_members(met(keyed(distinct, buckets(most * count), edits, per, within_chunk(count, HOT)), HOT))
     of_line = members.groupBy("id").agg(F.collect_set("key").alias("hot"))
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
-    held = distinct.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+    held = distinct.join(small(ids), "id", "left_semi")
     held = stored(held.join(of_line, "id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>"))))
 
     def close(first: list[str], second: list[str]) -> np.ndarray:
@@ -201,7 +207,7 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, per: int = PER) -> DataF
             hit = np.flatnonzero(np.abs(bags[i + 1 :] - bags[i]).sum(1) <= 2 * edits) + i + 1
             rows += [i] * len(hit)
             cols += hit.tolist()
-        yes = near([text[i] for i in rows], [text[j] for j in cols], edits)
+        yes = close([text[i] for i in rows], [text[j] for j in cols])
         found = [x for x, y in zip(zip(rows, cols, strict=True), yes, strict=True) if y]
         key, cell, own, hot = pdf["key"].iloc[0], pdf["cell_"].iloc[0], pdf["own_"].tolist(), [set(x) for x in pdf["hot"]]
         here = [x for x in found if (own[x[0]] != own[x[1]] or cell["i"] == cell["j"]) and min(hot[x[0]] & hot[x[1]]) == key]
@@ -216,16 +222,17 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, per: int = PER) -> DataF
     return stored(cold.union(dealt.groupBy("key", "cell_").applyInPandas(within, "a long, b long, n long")))
 
 
-def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
+def placed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER, passed: DataFrame | None = None) -> DataFrame:
     """row_, place, n (characters), at (order), class, first (its least at), links (distinct lines near this one) of every
-    line whose class has more than one line, equal ones counted; a stored table."""
+    line whose class has more than one line, equal ones counted; a stored table. The documents of the ids `passed` (doc_id)
+    have the first line of a class only if no other document has a line of it."""
     with passing(docs.sparkSession):
-        return stored(_placed_lines(docs, edits, least, per), after=True)
+        return stored(_placed_lines(docs, edits, least, per, passed), after=True)
 
 
-def _placed_lines(docs: DataFrame, edits: int, least: int, per: int) -> DataFrame:
+def _placed_lines(docs: DataFrame, edits: int, least: int, per: int, passed: DataFrame | None) -> DataFrame:
     distinct = lines(docs).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
-    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), F.xxhash64("line").alias("hash"), "times", "line"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), digest(F.col("line")).alias("hash"), "times", "line"))
     found = near_lines(distinct.where(F.length("line") >= least).select("id", "line"), edits, per)
     ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("id")
     links = found.where("n > 0").select(ends, "n").groupBy("id").agg(F.sum("n").alias("links"))
@@ -234,16 +241,20 @@ def _placed_lines(docs: DataFrame, edits: int, least: int, per: int) -> DataFram
     names = near.where("component is not null").groupBy("component").agg(F.min("hash").alias("class"))
     classes = small(stored(near.join(small(stored(names)), "component", "left").select("hash", "links", F.coalesce("class", "hash").alias("class"))))
     at = F.struct("doc_id", "row_", "place").alias("at")
-    seen = lines(docs, "doc_id").select("row_", "place", F.length("line").alias("n"), F.xxhash64("line").alias("hash"), at)
+    late = F.lit(False)
+    if passed is not None:
+        docs, late = docs.select("doc_id", "text").join(small(passed.select("doc_id", F.lit(True).alias("late_"))), "doc_id", "left"), F.coalesce("late_", F.lit(False))
+    seen = lines(docs, "doc_id", late.alias("late")).select("row_", "late", "place", F.length("line").alias("n"), digest(F.col("line")).alias("hash"), at)
     seen = stored(seen.join(classes, "hash").drop("hash"))
-    return seen.join(small(stored(seen.groupBy("class").agg(F.min("at").alias("first")))), "class")
+    first = stored(seen.groupBy("class").agg(F.min(F.struct("late", "at")).alias("first")).select("class", "first.at").toDF("class", "first"))
+    return seen.drop("late").join(small(first), "class")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER, passed: DataFrame | None = None) -> DataFrame:
     """row_, removed (places of the lines that go), source (row_ of the document of a smaller doc_id in which most
     characters of these lines began; null if there is none) for documents that lose a line; a stored table."""
     with passing(docs.sparkSession):
-        gone = placed_lines(docs, edits, least, per).where("at <> first")
+        gone = placed_lines(docs, edits, least, per, passed).where("at <> first")
         earlier = F.when(F.col("first.doc_id") < F.col("at.doc_id"), F.col("first.row_")).alias("source")
         parts = gone.groupBy("row_", earlier).agg(F.collect_set("place").alias("places"), F.sum("n").alias("n"))
         most = F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source")))["source"].alias("source")
@@ -255,6 +266,11 @@ def _without(text: str, removed: str) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n")
 
 
+def near_copies(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """doc_id of the documents that are not the least of those that links of similarity join; a stored table."""
+    return stored(jaccard_components(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct())
+
+
 def copies(docs: DataFrame, repeated: DataFrame, whole: float, words: int) -> DataFrame:
     """row_ of the documents whose sets of so many words in a row are `whole` similar to their source's, both as the
     source is and without its own repeated lines, so whichever of the two stays; a stored table."""
@@ -264,7 +280,7 @@ def copies(docs: DataFrame, repeated: DataFrame, whole: float, words: int) -> Da
     own = held.join(members, "row_")
     sources = small(stored(members.select("source").distinct()))
     first = held.select(F.col("row_").alias("source"), F.col("text").alias("first")).join(sources, "source").dropDuplicates(["source"])
-    cut = small(stored(repeated.select(F.col("row_").alias("source"), F.col("removed").alias("gone")).join(sources, "source")), "gone")
+    cut = small(stored(repeated.select(F.col("row_").alias("source"), F.col("removed").alias("gone")).join(sources, "source")))
     first = first.join(cut, "source", "left").select("source", "first", F.when(F.col("gone").isNotNull(), _without("first", "gone")).alias("rest"))
     pairs = own.join(first, "source").select("row_", "text", "first", "rest")
 
@@ -279,22 +295,24 @@ def copies(docs: DataFrame, repeated: DataFrame, whole: float, words: int) -> Da
                 x = shingles(text, words)
                 if alike(x, shingles(first, words)) and (rest is None or alike(x, shingles(rest, words))):
                     hit.append(row)
-            yield pd.DataFrame({"row_": np.array(hit, np.int64)})
+            yield pd.DataFrame({"row_": pd.Series(hit, dtype=object)})
 
-    return stored(pairs.mapInPandas(verify, "row_ long").distinct())
+    return stored(pairs.mapInPandas(verify, "row_ binary").distinct())
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = PER, whole: float = 2.0, words: int = 5) -> DataFrame:
     """The documents without repeated lines; n_chars, if there, follows. Verified copies of one earlier document (the
     Jaccard similarity of their words in a row is `whole` or more, see `copies`) are left as they are, for a later stage
-    that drops them; above 1 there are none."""
+    that drops them; above 1 there are none. What that stage would drop now has no first lines that others share, so no line
+    goes here whose first goes there."""
     row, gone = free(docs, "row_"), free(docs, "removed")
     with passing(docs.sparkSession):
-        repeated = repeated_lines(docs, edits, least, per)
+        passed = near_copies(docs, round(100 * whole), words) if whole <= 1 else None
+        repeated = repeated_lines(docs, edits, least, per, passed)
         if whole <= 1:
             repeated = repeated.join(small(copies(docs, repeated, whole, words)), "row_", "left_anti")
         repeated = stored(repeated.select(F.col("row_").alias(row), F.col("removed").alias(gone)), after=True)
-    out = docs.withColumn(row, row_key()).join(small(repeated, gone), row, "left")
+    out = docs.withColumn(row, row_key()).join(small(repeated), row, "left")
     out = out.withColumn("text", F.when(F.col(gone).isNotNull(), _without("text", gone)).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
@@ -307,7 +325,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: i
     each = placed_lines(docs, edits, least, per).groupBy("row_").agg(each)
     removed = F.filter("each", lambda x: x["goes"])
     joined = lambda rows, *names: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", *[x[k].cast("string") for k in names])), ",")
-    shown = [joined(removed, "place").alias("removed"), joined("each", "place", "class").alias("classes"), joined("each", "place", "links").alias("links")]
+    shown = [joined(removed, "place").alias("removed"), F.array_join(F.transform("each", lambda x: F.concat_ws(":", x["place"].cast("string"), F.lower(F.hex(x["class"])))), ",").alias("classes"), joined("each", "place", "links").alias("links")]
     found = each.select("row_", F.size(removed).cast("long").alias("n_removed"), *shown)
     return counts.join(found, "row_", "left").drop("row_").fillna({"n_removed": 0, "removed": "", "classes": "", "links": ""})
 

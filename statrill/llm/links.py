@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import passing, stored
 
-#: Rows of the smaller side up to which a join of two numbers is broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes of the smaller side of a join up to which it is broadcast; beyond them both sides are shuffled.
+BROADCAST_BYTES = 24 << 20
 #: Members of a block; two blocks at most meet in a task.
 BLOCK = 512
 #: What the rows of a block weigh together, about, where they have a weight: tokens.
 WEIGHT = 2_000_000
 
 
-def small(df: DataFrame, array: str | None = None) -> DataFrame:
-    """A stored table of narrow rows, to be broadcast if it is small enough; with it the elements of an array, if named."""
-    size = df.agg(F.coalesce(F.sum(F.size(array) + 1), F.lit(0))).first()[0] if array else df.count()
-    return F.broadcast(df) if size <= BROADCAST_ROWS * (4 if array else 1) else df
+def _width(name: str, kind: T.DataType) -> Column | int:
+    """Bytes of a column in a row, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        each = 8 * len(kind.elementType.fields) + 16 if isinstance(kind.elementType, T.StructType) else 8
+        return F.coalesce(F.size(name), F.lit(0)) * each + 16
+    return 40 if isinstance(kind, T.StructType) else 8
+
+
+def weight(df: DataFrame) -> int:
+    """Bytes of a table's rows, about: strings, binaries and arrays by their lengths. Reads no other columns."""
+    widths = [_width(f.name, f.dataType) for f in df.schema]
+    fixed = 24 + sum(x for x in widths if isinstance(x, int))
+    varying = [x for x in widths if not isinstance(x, int)]
+    n, more = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(varying, F.lit(0)).cast("long")), F.lit(0))).first()
+    return n * fixed + more
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if its bytes are few enough."""
+    return F.broadcast(df) if weight(df) <= BROADCAST_BYTES else df
 
 
 def components(links: DataFrame) -> DataFrame:

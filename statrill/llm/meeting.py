@@ -3,7 +3,8 @@
 Keys leave their task packed: one row of two byte strings for each bucket of keys and chunk of rows. A bucket sorts its
 keys and pairs the rows of each. A key of more than HOT rows is hot: it gives no pairs but one row for each of its rows, which
 the caller deals out in cells. A key that is hot within a chunk already is told to its bucket as a mark, and its rows go
-to buckets of their own, so that no bucket grows with a hot key.
+to buckets of their own. The more chunks there are, the fewer rows make a key hot within one (`within_chunk`), so that a key
+that stays below that in each of them brings MOST rows to its bucket at most, or one for each chunk.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .common import stored
 
 #: Rows of a key that are paired at most; keys of a bucket, about; numbers of a chunk.
 HOT, ENTRIES, CHUNK = 64, 1 << 20, 1 << 16
+#: Rows of a key that is hot in no chunk, in all chunks together.
+MOST = 1 << 18
 PACKED = "bucket long, base long, keys binary, rows binary, marks binary"
 
 
@@ -24,6 +27,11 @@ def buckets(entries: int) -> int:
     return max(64, -(-entries // ENTRIES))
 
 
+def within_chunk(rows: int, hot: int = HOT) -> int:
+    """Rows of a key beyond which it is hot within a chunk, for so many rows in all."""
+    return max(1, min(hot, MOST // (rows // CHUNK + 1)))
+
+
 def _groups(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and size of the runs of equal values."""
     begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)

@@ -2,17 +2,18 @@
 
 Texts become a few dozen measures of their shape (case, symbols, repetition, word and line lengths) and the set of their
 words, hashed into BUCKETS. Each measure is cut at quantiles, and a linear model over the resulting indicators and the
-words' buckets (from SURE texts of each kind on) minimises the non-negative unbiased risk: positives weigh with the class prior, unlabelled texts stand for
-the mixture, and the negative part of the risk is not let below zero. The prior is estimated from positives and unlabelled
-texts alone (if there are 2 * SURE of each; else it is the share of positives among trusted labels), as in "best bin estimation": a first model ranks texts it was not fitted on, and the prior is the least ratio
-of the unlabelled and the positive texts above a score, each share with a bound on its error.
+words' buckets minimises the non-negative unbiased risk: positives weigh with the class prior, unlabelled texts stand for the
+mixture, and the negative part of the risk is not let below zero. Words' weights shrink the more, the fewer texts there are.
+The prior is estimated from positives and unlabelled texts alone, as in "best bin estimation": a first model ranks texts it
+was not fitted on, and the prior is the least ratio of the unlabelled and the positive texts above a score, each share with a
+bound on its error, so that few texts give a high prior and reject little.
 
 The fit uses at most FIT_ROWS trusted positives and as many unlabelled texts, those of the least hashes of their ids;
 scores are given to every text. Where every text is labelled, the trusted texts of either label stand for the mixture.
 Labels, language, source and ids are no inputs of a score. Null texts count as empty and are scored like any; very long
 texts are measured whole. Rows of a null doc_id are never held out. Repeated rows give repeated results; labels that are
 null do not count, and those repeated with both values count each. With no positive label or no text to fit, every score is
-PRIOR. An empty table gives an empty one. A column named like the score is replaced by it.
+PRIOR; with one text of either kind, PRIOR is the prior. Of a doc_id repeated with several texts one is fitted. An empty table gives an empty one. A column named like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -33,12 +34,10 @@ from .ngram_join import word_hashes
 
 FIT_ROWS, FOLDS, THRESHOLD, PRIOR = 6000, 5, 0.3, 0.8
 CUTS, STEPS, RATE, DECAY = 12, 250, 0.1, 1e-4
-#: Texts of each kind from which words' weights and a prior are learnt, at least; with fewer there are none, and it is the share of positive labels.
-SURE = 200
 #: Measures of a text.
 SHAPES = 18
-#: Buckets of hashed words, and their decay: content is to weigh less than shape.
-BUCKETS, WORD_DECAY = 1024, 5e-2
+#: Buckets of hashed words, and the decay of their weights, in texts: divided by the texts of the rarer kind.
+BUCKETS, WORD_DECAY = 1024, 30.0
 _PUNCTUATION = str.maketrans("", "", string.punctuation)
 _SYMBOLS = re.compile(r"[#$%&*+<=>@\\^_`{|}~]+")
 _ENDS = re.compile(r"[!?]+")
@@ -113,9 +112,7 @@ def fit(positive: Texts, unlabelled: Texts, prior: float) -> Model:
     model = Model([np.unique(np.quantile(both[:, i], np.arange(1, CUTS) / CUTS)) for i in range(both.shape[1])])
     p, u = model.features(positive), model.features(unlabelled)
     theta = np.concatenate([model.weights, [np.log(prior / (1 - prior))]]).astype(float)
-    decay = np.concatenate([np.full(model.shapes, DECAY), np.full(BUCKETS, WORD_DECAY), [0]])
-    learnt = np.ones(len(theta))
-    learnt[model.shapes : -1] = min(len(p), len(u)) >= SURE
+    decay = np.concatenate([np.full(model.shapes, DECAY), np.full(BUCKETS, WORD_DECAY / min(len(p), len(u))), [0]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     sigmoid = lambda z: 1 / (1 + np.exp(-z))
     for step in range(1, STEPS + 1):
@@ -124,7 +121,7 @@ def fit(positive: Texts, unlabelled: Texts, prior: float) -> Model:
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         up, down = -prior * sigmoid(-zp) / len(p), (sigmoid(zu) / len(u), -prior * sigmoid(zp) / len(p))
         gp, gu = (up + down[1], down[0]) if negative >= 0 else (-down[1], -down[0])
-        grad = learnt * (np.concatenate([gp.astype(np.float32) @ p + gu.astype(np.float32) @ u, [gp.sum() + gu.sum()]]) + decay * theta)
+        grad = np.concatenate([gp.astype(np.float32) @ p + gu.astype(np.float32) @ u, [gp.sum() + gu.sum()]]) + decay * theta
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     model.weights, model.bias = theta[:-1].astype(np.float32), float(theta[-1])
@@ -144,8 +141,8 @@ def share_above(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0.1,
 
 def estimated(positive: Texts, unlabelled: Texts, prior: float = PRIOR) -> Model:
     """A model with the prior that halves of the texts give, ranked by a first model of the other halves; with the prior
-    given, if the texts are too few for that."""
-    if min(len(positive), len(unlabelled)) >= 2 * SURE:
+    given, if there are no halves."""
+    if min(len(positive), len(unlabelled)) > 1:
         ranked = fit(positive.half(0), unlabelled.half(0), 0.5)
         prior = share_above(ranked.logits(positive.half(1)), ranked.logits(unlabelled.half(1)))
     return fit(positive, unlabelled, min(0.99, max(0.01, prior)))
@@ -170,9 +167,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | N
         unlabelled = trusted
     chosen = ids(trusted.where("label = 1"), 1).union(ids(unlabelled, 0))
     measured = F.pandas_udf(_measured, "x array<double>, words binary")
-    got = texts(docs).join(F.broadcast(chosen), "doc_id").select("kind", measured("text").alias("of")).select("kind", "of.*").toPandas()  # 2 * rows short lists
+    met = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
+    got = met.select("kind", measured("text").alias("of")).select("kind", "of.*").toPandas()  # 2 * rows short lists
     parts = [Texts(some["x"].tolist(), some["words"].tolist()) for some in (got[got["kind"] == k] for k in (1, 0))]
-    return estimated(*parts, trusted.agg(F.avg("label")).first()[0]) if all(map(len, parts)) else None
+    return estimated(*parts) if all(map(len, parts)) else None
 
 
 def score_of(model: Model | None):

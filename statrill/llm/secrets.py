@@ -52,7 +52,7 @@ def candidates(docs: DataFrame, *more: Column) -> DataFrame:
     mixed = lambda h: h.rlike("[0-9]") & h.rlike("[a-z]") & h.rlike("[A-Z]")
     base = [F.coalesce(x, F.array().cast(SPAN)) for x in (assign, _hits(text, 1, ACCESS, 0, lambda h: F.lit(True)), _hits(text, 2, HEX, 0, lambda h: F.lit(True)))]
     opaque = F.coalesce(_hits(text, 3, OPAQUE, 0, mixed), F.array().cast(SPAN))
-    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), *more).withColumns({"row_": F.monotonically_increasing_id(), "copy_": F.xxhash64("text")})
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), *more).withColumns({"row_": F.monotonically_increasing_id(), "copy_": F.unhex(F.md5("text"))})
     kept = [c for c in rows.columns if c != "text"]
     rows = rows.select(*kept, F.concat(*base).alias("base"), opaque.alias("opaque"))
     apart = F.filter("opaque", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
@@ -91,7 +91,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every live-looking span of their text replaced; examples stay. n_chars, if there, follows."""
     own, live = free(docs, "key_"), free(docs, "live_")
-    key = F.xxhash64("doc_id", "text", "source")
+    key = F.unhex(F.md5(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")])))
     found = stored(candidates(docs, key.alias("key_")).where(F.size("spans") > 0))
     spans = judged(found).select("row_", F.filter("spans", lambda x: x["live"]).alias("live_")).where(F.size("live_") > 0)
     spans = found.select("row_", "key_").join(spans, "row_").groupBy(F.col("key_").alias(own)).agg(F.any_value("live_").alias(live))

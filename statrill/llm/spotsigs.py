@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import passing, stored, table, texts
 from .links import cells, components, small
-from .meeting import CHUNK, PACKED, buckets, met, packed, pairs_and_members
+from .meeting import CHUNK, PACKED, buckets, met, packed, pairs_and_members, within_chunk
 from .ngram_join import forest, linked, mixed
 
 #: Common words of English, French, German and Spanish at which signatures begin, and those passed over.
@@ -97,8 +97,8 @@ def near_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     counted = each.groupBy(sign.alias("sign")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # SIGNS rows at most
     often = np.zeros(SIGNS, np.int64)
     often[counted["sign"].to_numpy(int)] = counted["n"]
-    entries = 2 * sets.count() + int(2 * (1 - similar) * often.sum())
-    n = buckets(entries)
+    count = sets.count()
+    n, hot = buckets(2 * count + int(2 * (1 - similar) * often.sum())), within_chunk(count)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,7 +115,7 @@ def near_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
                     row.append(np.full(2 * len(few), ids[i] - ids[at]))
                     own.append(np.repeat([True, False], len(few)))
                 with np.errstate(over="ignore"):
-                    yield packed(int(ids[at]), *map(np.concatenate, (row, key, own)), n)
+                    yield packed(int(ids[at]), *map(np.concatenate, (row, key, own)), n, hot)
                 at = to
 
     pairs, members = pairs_and_members(met(sets.select("id", "fingerprint").mapInPandas(keys, PACKED)))

@@ -408,6 +408,97 @@ def test_pipeline_cuts_all_but_verified_copies(spark):
     assert {r.doc_id for r in left.collect()} == {0, 1, 2, 3, 4, 6}
 
 
+def test_no_line_goes_with_a_copy_that_is_dropped(spark):
+    """What begins in a near copy stays in the documents that have it too, whatever the copy's fate."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    line = lambda: " ".join("".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(10))
+
+    def left(values):
+        cut = {r.doc_id: r.text for r in corpus_pipeline.fresh_lines(spark, docs(spark, values), "").collect()}
+        kept = corpus_pipeline.no_near_duplicates(spark, docs(spark, [cut[i] for i in range(len(values))]), "").collect()
+        return {r.doc_id: r.text for r in kept}
+
+    own, x = [line() for _ in range(30)], line()
+    values = [line(), line(), line(), "\n".join(own), line(), "\n".join([*own[:15], x, *own[15:]]), line(), "\n".join([line(), x, line()])]
+    out = left(values)
+    assert 5 not in out and x in out[7].split("\n") and out[3] == values[3]
+    dropped = 0
+    for _ in range(2):
+        shared, values = [line() for _ in range(6)], []
+        for i in range(24):
+            if i > 4 and rng.random() < 0.4:
+                base = rng.choice(values).split("\n")
+                base.insert(rng.randrange(len(base) + 1), rng.choice([line(), *shared]))
+                values.append("\n".join(base))
+            else:
+                values.append("\n".join([line() for _ in range(rng.randint(1, 20))] + rng.sample(shared, rng.randint(0, 3))))
+        out = left(values)
+        there = {y for text in out.values() for y in text.split("\n")}
+        assert all(y in there for i in out for y in values[i].split("\n"))
+        dropped += 24 - len(out)
+    assert dropped > 3
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_budgets_hold_in_hot_keys(spark, monkeypatch, hot):
+    """Lines of 20 to 60 characters whose budget is their own, many of which share a key: links and removals of brute force."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = random.Random(15)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    values = ["Chapter headings, " + some(rng.randint(4, 7)) for _ in range(40)] + ["A longer heading of chapters, namely " + some(rng.randint(6, 20)) for _ in range(40)]
+    values += [x[:-2] + some(rng.randint(1, 3)) for x in rng.sample(values, 30)]
+    allowed = lambda x, y: int(line_dedup.budget(np.array([min(len(x), len(y))]))[0])
+    distinct = sorted(set(values))
+    near = {x: [y for y in distinct if y != x and distance(x, y) <= allowed(x, y)] for x in distinct}
+    rows = {r.doc_id: r for r in line_dedup.line_classes(docs(spark, values)).collect()}
+    seen, classes = set(), set()
+    for i, x in enumerate(values):
+        grown, todo = {x}, [x]
+        while todo:
+            for y in near[todo.pop()]:
+                if y not in grown:
+                    grown.add(y)
+                    todo.append(y)
+        alone = len(grown) == 1 and values.count(x) == 1
+        assert rows[i].links == ("" if alone else f"0:{len(near[x])}") and rows[i].removed == ("0" if seen & grown else "")
+        seen.add(x)
+        classes.add(frozenset(grown))
+    assert 1 < len(classes) < len(distinct) and any(len(x) > 3 for x in near.values())
+
+
+def test_keys_hot_over_many_chunks_meet(monkeypatch):
+    """A key below what is hot in each of many chunks does not swell its bucket, and loses no row."""
+    from statrill.llm import meeting
+
+    monkeypatch.setattr(meeting, "CHUNK", 64)
+    monkeypatch.setattr(meeting, "MOST", 128)
+    rows, common, rare = 64 * 50, np.uint64(0x1234567800000010), np.uint64(0x9234567800000020)
+    hot = meeting.within_chunk(rows)
+    assert hot == 2 and meeting.within_chunk(10) == 64 and meeting.within_chunk(10**12) == 1
+    own, apart = 0, 0
+    for base in range(0, rows, 64):
+        place = np.array([1, 2, 3, 4], np.int64)
+        packed = meeting.packed(base, place, np.array([common, common, common, rare]), np.ones(4, bool), 64, hot)
+        own += sum(len(x) // 2 for b, x in zip(packed["bucket"], packed["rows"], strict=True) if b >= 0)
+        apart += sum(len(x) // 2 for b, x in zip(packed["bucket"], packed["rows"], strict=True) if b < 0)
+        assert sum(len(x) // 4 for x in packed["marks"]) == 1
+    assert (own, apart) == (50, 150)
+
+
+def test_what_is_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    from statrill.llm import links
+
+    narrow, wide = spark.range(1000), spark.range(1000).select("id", F.repeat(F.lit("x"), 5000).alias("fingerprint"))
+    arrays = spark.range(1000).select("id", F.sequence(F.lit(1), F.lit(600)).alias("places"))
+    assert links.weight(narrow) < 50_000 < 4_000_000 < min(links.weight(wide), links.weight(arrays))
+    monkeypatch.setattr(links, "BROADCAST_BYTES", 1 << 20)
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(links.small(narrow)) and not hinted(links.small(wide)) and not hinted(links.small(arrays))
+    assert links.weight(spark.range(0)) == 0
+
+
 @pytest.mark.parametrize("hot", [64, 3])
 def test_line_classes_and_exact_links(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
@@ -429,9 +520,9 @@ def test_line_classes_and_exact_links(spark, monkeypatch, hot):
                 degree.update([x, y])
     often = Counter(near.root(x) for *_, x in seen)
     rows = {r.doc_id: r for r in line_dedup.line_classes(docs(spark, values), 1, 4, 1).collect()}
-    parts = lambda text: {int(x.split(":")[0]): int(x.split(":")[1]) for x in text.split(",") if x}
+    parts = lambda text: {int(x.split(":")[0]): x.split(":")[1] for x in text.split(",") if x}
     want = {(i, k): x for i, k, x in seen if often[near.root(x)] > 1}
-    assert {(i, k): n for i, r in rows.items() for k, n in parts(r.links).items()} == {at: degree[x] for at, x in want.items()}
+    assert {(i, k): n for i, r in rows.items() for k, n in parts(r.links).items()} == {at: str(degree[x]) for at, x in want.items()}
     got = {(i, k): c for i, r in rows.items() for k, c in parts(r.classes).items()}
     assert got.keys() == want.keys() and len({(got[at], near.root(x)) for at, x in want.items()}) == len(set(got.values())) == len({near.root(x) for x in want.values()})
     assert all(r.n_removed == len(r.removed.split(",")) - (r.removed == "") for r in rows.values())
