@@ -2,9 +2,11 @@
 
 A text is cut into sentences: indents, list numbers and comment marks go, wrapped lines are joined whatever their case, and
 a sentence ends at a full stop, at a blank line, or where a line begins with the opening words of a known sentence. Each is
-normalised to lower-case words; known sentences become identifiers, others a `?` (one for several in a row, none at either
-end); NEUTRAL ones are passed over. The sequence of a text's identifiers is matched against ordered rules. A rule takes
-effect where an earlier one has not already used the same identifiers, and not across a `?`.
+normalised to lower-case words, and where a template has a slot for a name (SLOTS), the name gives way to the published one;
+known sentences become identifiers, others a `?` (one for several in a row, none at either end); NEUTRAL ones are passed over.
+An SPDX expression is a sentence for each of its licences; exceptions are passed over. The sequence of a text's identifiers is
+matched against ordered rules. A rule takes effect where an earlier one has not already used the same identifiers, and not
+across a `?`.
 
 Null texts count as empty; a text without known sentences has no identifiers and no licence; identifiers that no rule
 takes give `unknown`. An empty table gives an empty one; a very long text is scanned whole if it holds one of ANCHORS.
@@ -14,6 +16,7 @@ Repeated rows give repeated results; other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,9 +77,38 @@ SENTENCES = {
     "CcBy4": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CcBySa4": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CcByNc4": "Licensed under CC BY-NC 4.0.",
+    "Epl2Terms": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0/""",
+    "Epl2V": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v.",
+    "ZlibWarranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "ZlibLiability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "ZlibGrant": """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+        redistribute it freely, subject to the following restrictions:""",
     "Cc0Waiver": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the
         public domain worldwide.""",
 }
+#: The heads of whole licence texts.
+HEADS = {
+    "Apache2Text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "Gpl2Text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "Gpl3Text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "Lgpl21Text": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "Lgpl3Text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "Agpl3Text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Mpl2Text": "Mozilla Public License Version 2.0",
+    "Epl2Text": "Eclipse Public License - v 2.0",
+    "Bsl1Text": "Boost Software License - Version 1.0 - August 17th, 2003",
+}
+#: Where published sentences name someone, as patterns of normalised sentences, and what stands there by default.
+SLOTS = (
+    (r"^neither the names? of .{1,100}? nor the names of (?:its|their) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    (r"^this software is provided by .{1,100}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"^in no event shall .{1,100}? be liable for any direct indirect", "in no event shall the copyright holder or contributors be liable for any direct indirect"),
+    (r"^in no event shall .{1,100}? be liable for any claim damages", "in no event shall the authors or copyright holders be liable for any claim damages"),
+    (r"^in no event shall .{1,100}? be liable for any special", "in no event shall the author be liable for any special"),
+    (r"^the software is provided as is and .{1,100}? disclaims? all warranties", "the software is provided as is and the author disclaims all warranties"),
+    (r"^(this program and the accompanying materials are made available under the terms of the eclipse public license)(?: v)? 2 0 which is available at .*$", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+)
 #: Sentences that go with several licences and tell none apart.
 NEUTRAL = (
     "All rights reserved.",
@@ -92,11 +124,15 @@ NEUTRAL = (
     "See the GNU Lesser General Public License for more details.",
     "See the GNU Affero General Public License for more details.",
     "2.0.",
+    "2.0 which is available at http://www.eclipse.org/legal/epl-2.0.",
+    "2.0 which is available at https://www.eclipse.org/legal/epl-2.0.",
     "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 )
 #: Licence names of the short form `SPDX-License-Identifier: name`.
 SPDX = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+#: Former names of the short form.
+FORMER = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
 #: Sequences of identifiers, in this order, and the licence that they mean.
 RULES = (
     ("MitGrant,MitNotice,MitWarranty,MitLiability", "MIT"),
@@ -125,6 +161,18 @@ RULES = (
     ("CcBySa4", "CC-BY-SA-4.0"),
     ("CcByNc4", "CC-BY-NC-4.0"),
     ("Cc0Waiver", "CC0-1.0"),
+    ("Epl2Terms", "EPL-2.0"),
+    ("Epl2V", "EPL-2.0"),
+    ("ZlibWarranty,ZlibLiability,ZlibGrant", "Zlib"),
+    ("Apache2Text", "Apache-2.0"),
+    ("Gpl2Text", "GPL-2.0-only"),
+    ("Gpl3Text", "GPL-3.0-only"),
+    ("Lgpl21Text", "LGPL-2.1-only"),
+    ("Lgpl3Text", "LGPL-3.0-only"),
+    ("Agpl3Text", "AGPL-3.0-only"),
+    ("Mpl2Text", "MPL-2.0"),
+    ("Epl2Text", "EPL-2.0"),
+    ("Bsl1Text", "BSL-1.0"),
     *((f"spdx:{x}", x) for x in SPDX),
 )
 #: Every known sentence that begins an identifier holds one of these, so a text with none of them need not be cut.
@@ -139,17 +187,23 @@ def normalised(sentence: str) -> str:
 
 
 #: Normalised sentence -> identifier; neutral ones have none.
-KNOWN = {normalised(x): "" for x in NEUTRAL} | {normalised(x): k for k, x in SENTENCES.items()} | {normalised(f"SPDX-License-Identifier: {x}"): f"spdx:{x}" for x in SPDX}
+KNOWN = {normalised(x): "" for x in NEUTRAL} | {normalised(x): k for k, x in (SENTENCES | HEADS).items()} | {normalised(f"SPDX-License-Identifier: {x}"): f"spdx:{y}" for x, y in (FORMER | {x: x for x in SPDX}).items()}
 _OPENINGS = "|".join(dict.fromkeys("[ \t]+".join(x.split()[:3]) for x in sorted(map(normalised, SENTENCES.values()))))
+_SPDX = r"(?i)(spdx-license-identifier:[ \t]*)"
+#: Licences of an SPDX expression, at most: one step takes one off.
+OPERANDS = 6
 #: Patterns and what takes their place, one after the other; the same in Java and in RE2.
 STEPS = (
     (r"\r\n?", "\n"),
     (r"\n[ \t]*(?:///?!?|/\*+|\*+/|\*+|#+|;+|--+|%+|<!--|>+)?[ \t]*", "\n"),
     (r"\n(?:\(?[0-9a-z][.)]|-)[ \t]+", "\n"),
     (r"\n\n+", CUT),
-    (r"(?i)(spdx-license-identifier:[ \t]*[a-z0-9.+-]+(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+-]+)*)", rf"{CUT}\1{CUT}"),
+    *[(_SPDX + r"\(*([a-z0-9.+-]+)(?:[ \t]+with[ \t]+[a-z0-9.-]+)?\)*[ \t]+(?:and|or)[ \t]+", rf"{CUT}\1\2{CUT}SPDX-License-Identifier: ")] * (OPERANDS - 1),
+    (_SPDX + r"\(*([a-z0-9.-]+)\+", r"\1\2-or-later"),
+    (_SPDX + r"\(*([a-z0-9.-]+)(?:[ \t]+with[ \t]+[a-z0-9.-]+)?\)*", rf"{CUT}\1\2{CUT}"),
     (rf"(?i)\n({_OPENINGS})", rf"{CUT}\1"),
     (r"\n", " "),
+    (r"\b([Ii]nc|[Ll]td|[Cc]orp|[Cc]o)\.[ \t]+([a-z])", r"\1 \2"),
     (r"([.!?])[ \t]+", rf"\1{CUT}"),
 )
 
@@ -159,7 +213,8 @@ def sentences(text: Column) -> Column:
     out = F.concat(F.lit("\n"), text)
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
-    return F.filter(F.transform(F.split(out, CUT), lambda x: F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), "[^a-z0-9]+", " "))), lambda x: x != "")
+    out = F.filter(F.transform(F.split(out, CUT), lambda x: F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), "[^a-z0-9]+", " "))), lambda x: x != "")
+    return F.transform(out, lambda x: reduce(lambda y, slot: F.regexp_replace(y, *slot), SLOTS, x))
 
 
 def licences(ids: Column) -> Column:
@@ -198,10 +253,11 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in KNOWN.items())
+    slotted = reduce(lambda y, slot: f"regexp_replace({y}, {quoted(slot[0])}, {quoted(slot[1])})", SLOTS, "y")
     cut = "chr(10) || text"
     for pattern, to in STEPS:
         pattern = pattern.replace("\n", "\\n").replace("\t", "\\t")
-        to = " || ".join({"\\1": "'\\1'", CUT: "chr(30)", "\n": "chr(10)"}.get(x, quoted(x)) for x in re.findall(r"\\1|.", to, re.S))
+        to = " || ".join({CUT: "chr(30)", "\n": "chr(10)"}.get(x, quoted(x)) for x in re.findall(rf"{CUT}|\n|[^{CUT}\n]+", to))
         cut = f"regexp_replace({cut}, {quoted(pattern)}, {to}, 'g')"
     steps, names = "select doc_id, sentence_ids, ',' || replace(sentence_ids, ',', ',,') || ',' as left0 from ids", []
     for i, (some, name) in enumerate(RULES):
@@ -211,7 +267,7 @@ def _sql() -> str:
     names.append(f"case when length(replace(left{len(RULES)}, ',?,', '')) > 2 then 'unknown' end")
     return f"""
     with cuts as (select doc_id, string_split({cut}, chr(30)) as parts from (select doc_id, coalesce(text, '') as text from documents)),
-    each as (select doc_id, [coalesce(map {{{known}}}[y], '?') for y in [trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) for x in parts] if y <> ''] as marks from cuts),
+    each as (select doc_id, [coalesce(map {{{known}}}[{slotted}], '?') for y in [trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) for x in parts] if y <> ''] as marks from cuts),
     ids as (select doc_id, regexp_replace(regexp_replace(array_to_string([x for x in marks if x <> ''], ','), '\\?(?:,\\?)+', '?', 'g'), '^\\?(?:,|$)|,\\?$', '', 'g') as sentence_ids from each),
     named as (select doc_id, sentence_ids, [x for x in [{', '.join(names)}] if x is not null] as names from ({steps})),
     listed as (select doc_id, sentence_ids, case when sentence_ids = '' then [] else list_filter(names, lambda x, i: list_position(names, x) = i) end as names from named)

@@ -235,7 +235,14 @@ LICENCE_CASES = [
     (wrapped("", *BSD[:3]) + "Something that nobody knows must hold as well.\n\n" + wrapped("", *BSD[4:]), ["unknown"]),
     (wrapped("-- ", "IscGrant", "IscWarranty", "IscLiability"), ["ISC"]), (wrapped("", "UnlicenseFree"), ["Unlicense"]), (wrapped("; ", "Cc0Waiver"), ["CC0-1.0"]),
     *((wrapped("# ", k), [v]) for k, v in licenses.RULES if k in ("Gpl2Only", "Gpl2Later", "Lgpl21Later", "Lgpl3Later", "Agpl3Later", "CcBy4", "CcBySa4")),
-    *((f"// SPDX-License-Identifier: {x}\nimport this", [x]) for x in licenses.SPDX), ("SPDX-License-Identifier: Nobody-1.0", []), ("SPDX-License-Identifier: MIT OR Apache-2.0", []),
+    *((f"// SPDX-License-Identifier: {x}\nimport this", [x]) for x in licenses.SPDX), ("SPDX-License-Identifier: Nobody-1.0", []), ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("// SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0\nx", ["BSD-3-Clause", "GPL-2.0-only", "MIT"]),
+    ("# SPDX-License-Identifier: GPL-2.0+\n", ["GPL-2.0-or-later"]), ("# SPDX-License-Identifier: LGPL-2.1\n", ["LGPL-2.1-only"]), ("SPDX-License-Identifier: MIT OR Nobody-1.0", ["MIT"]),
+    (wrapped("", *BSD, numbered=BSD[1:4]).replace("the copyright holder nor", "the University nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "THE REGENTS OR CONTRIBUTORS"), ["BSD-3-Clause"]),
+    (wrapped(" * ", *BSD, numbered=BSD[1:4]).replace("the copyright holder nor", "Example Organisation, Inc. nor"), ["BSD-3-Clause"]),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n", ["Apache-2.0"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n                            Preamble\n", ["GPL-3.0-only"]),
+    ("/*\n * This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License v. 2.0 which is available at\n * http://www.eclipse.org/legal/epl-2.0.\n */", ["EPL-2.0"]),
+    (wrapped("  ", "ZlibWarranty", "ZlibLiability") + wrapped("  ", "ZlibGrant"), ["Zlib"]),
     ("a licensed thing", []), (None, []), ("", []), ("\n\n", []),
 ]
 
@@ -291,7 +298,11 @@ def test_ngram_join_is_exact(spark, monkeypatch):
 
 def test_deletions_are_bought_where_they_pay_and_keep_links():
     """Allocations forgive as many differences as two linked sets can have. In production, bands of some dozen tokens have
-    one-deletion neighbourhoods at 90 percent; with many related documents, all bands have, at either percentage."""
+    one-deletion neighbourhoods at 90 percent; with many related documents, all bands have, at either percentage. The more
+    documents there are, the fewer bands: what a deletion key brings together by chance grows with them."""
+    of = lambda percent, documents: [top for top in range(5, 400) if ngram_join.allocation(top, percent, documents)[0]]
+    assert (of(90, 10**4)[0], of(90, 10**4)[-1], len(of(90, 10**4))) == (10, 115, 96) and (of(90, 10**6)[0], of(90, 10**6)[-1], len(of(90, 10**6))) == (15, 37, 10)
+    assert not of(90, 10**9) and not any(of(80, n) for n in (10**4, 10**6, 10**9))
     assert [ngram_join.allocation(top, 90, 50_000) for top in (12, 30, 45, 60, 200)] == [(1, 0), (2, 0), (2, 1), (3, 1), (0, 23)]
     rng, linked = np.random.default_rng(0), 0
     for percent, related in ((90, 30.0), (90, 1000.0), (80, 1000.0)):
