@@ -22,6 +22,8 @@ def tables(spark, folder, rows):
     df.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i, _ in rows] + [(7, None, None)] * bool(rows), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(i, [1.0, float(k)]) for k, (i, _) in enumerate(rows)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    turns = [(i, k, r, t) for i, _ in rows for k, (r, t) in enumerate([("user", "Hello?"), ("assistant", "Hi."), (None, None), ("user", "Hi."), ("assistant", "x" * 50_000)])] + [(7, None, "user", "Late.")] * (2 * bool(rows))
+    spark.createDataFrame([(*t, 1, 1) for t in turns], "conv_id long, turn long, role string, text string, `at` int, `Fault` int").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -42,6 +44,8 @@ def test_every_row_keeps_its_id(spark, odd, name):
     order = lambda ids: sorted(ids, key=lambda x: (x is None, x or 0))
     if name.startswith("op6_"):
         assert {r.query_id for r in rows} == {i for i, _ in ROWS if i is not None and i % 50 == 0} and not any(r.vec_id is None for r in rows)
+    elif name.startswith("op13_"):
+        assert order(r.conv_id for r in rows) == order({i for i, _ in ROWS})
     elif name.startswith("op10_"):
         assert set(r.doc_id for r in rows) == {i for i, _ in ROWS} and sum(r.piece == 0 for r in rows) == len(ROWS)
     else:
