@@ -89,18 +89,19 @@ def told(df: DataFrame, facts: DataFrame) -> DataFrame:
     return df.join(facts, list(IN_BLOCK))
 
 
-def _mean(total: str, n: str) -> Column:
-    return F.coalesce(F.sum(total).over(every()) / F.sum(n).over(every()), F.lit(0.0))
+def _mean(name: str) -> Column:
+    mean = F.sum(f"{name}_sum_").over(every()) / F.sum(f"{name}_n_").over(every())
+    return F.coalesce(F.greatest(F.min(f"{name}_low_").over(every()), F.least(F.max(f"{name}_high_").over(every()), mean)), F.lit(0.0))
 
 
 def means(df: DataFrame, **of: Column) -> dict[str, Column]:
     """Aggregates of a summary from which series_means() takes the mean of each expression over the series' own rows."""
-    return {k: v for name, x in of.items() for k, v in ((f"{name}_sum_", F.sum(own(x))), (f"{name}_n_", F.count(own(x))))}
+    return {k: v for name, x in of.items() for k, v in ((f"{name}_sum_", F.sum(own(x))), (f"{name}_n_", F.count(own(x))), (f"{name}_low_", F.min(own(x))), (f"{name}_high_", F.max(own(x))))}
 
 
 def series_means(*names: str) -> dict[str, Column]:
-    """Means of what is not null; of nothing, 0."""
-    return {name: _mean(f"{name}_sum_", f"{name}_n_") for name in names}
+    """Means of what is not null, exact where all of it is equal; of nothing, 0."""
+    return {name: _mean(name) for name in names}
 
 
 # Moments: count, mean, sum of squares about it, least and greatest. Where these two are equal the others are exact.

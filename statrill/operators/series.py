@@ -18,17 +18,25 @@ class Frames:
         self.all: WindowSpec = Window.partitionBy(*(self.keys or [F.lit(0)]))
         self.rows = self.all.orderBy("idx")
         self.so_far = self.rows.rowsBetween(Window.unboundedPreceding, 0)
+        self.in_order = self.rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def last(self, n: int) -> WindowSpec:
         return self.rows.rowsBetween(1 - n, 0)
 
     def phase(self) -> WindowSpec:
-        return Window.partitionBy(*(self.keys or [F.lit(0)]), "phase")
+        every = Window.partitionBy(*(self.keys or [F.lit(0)]), "phase").orderBy("idx")
+        return every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def exact_mean(x: Column, over: WindowSpec) -> Column:
+    """Mean of what is not null, summed in the order of the window and held between the least and the greatest, so that it
+    does not hang on how rows were dealt out and equal values have exactly that mean; null of nothing."""
+    return F.greatest(F.min(x).over(over), F.least(F.max(x).over(over), F.avg(x).over(over)))
 
 
 def mean(x: Column, over: WindowSpec) -> Column:
-    """Mean of what is not null; of nothing, 0."""
-    return F.coalesce(F.avg(x).over(over), F.lit(0.0))
+    """exact_mean(); of nothing, 0."""
+    return F.coalesce(exact_mean(x, over), F.lit(0.0))
 
 
 def with_points(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import D2, LEAST_PHASE, LIMITS, MR_UCL, constant, joined, limits, rounded
 from ..operators.rules import ALL, with_rules
-from ..operators.series import Frames, mean, with_changepoint, with_points
+from ..operators.series import Frames, exact_mean, mean, with_changepoint, with_points
 from .options import Options
 
 #: Weight of a reading in an EWMA that is lost in rounding.
@@ -49,10 +49,10 @@ def individuals(df: DataFrame, keys: Sequence[str], o: Options) -> DataFrame:
     f = Frames(keys)
     df = with_changepoint(with_points(df, keys), keys, o.threshold, o.least, o.detect, o.manual)
     df = df.withColumn("phase", F.when(F.col("idx") < F.col("change_at"), 1).otherwise(2))
-    df = df.withColumns({"all_mean_": mean(F.col("value"), f.all), "all_mr_": mean(F.col("moving_range"), f.all), "mr_": F.when(F.col("idx") != F.col("change_at"), F.col("moving_range"))})
+    df = df.withColumns({"all_mean_": mean(F.col("value"), f.in_order), "all_mr_": mean(F.col("moving_range"), f.in_order), "mr_": F.when(F.col("idx") != F.col("change_at"), F.col("moving_range"))})
     own = f.phase()
-    center = F.when(F.count("value").over(own) >= LEAST_PHASE, F.avg("value").over(own)).otherwise(F.col("all_mean_"))
-    mr_bar = F.when(F.count("mr_").over(own) >= LEAST_PHASE, F.avg("mr_").over(own)).otherwise(F.col("all_mr_"))
+    center = F.when(F.count("value").over(own) >= LEAST_PHASE, exact_mean(F.col("value"), own)).otherwise(F.col("all_mean_"))
+    mr_bar = F.when(F.count("mr_").over(own) >= LEAST_PHASE, exact_mean(F.col("mr_"), own)).otherwise(F.col("all_mr_"))
     df = df.withColumns({"center_": center, "mr_bar_": mr_bar})
     df = df.withColumns(limits(F.col("center_"), F.col("mr_bar_"), F.col("mr_bar_") / D2, o.sigmas, o.floor)).drop("all_mean_", "all_mr_", "mr_", "center_", "mr_bar_")
     return _filled(df, comp_value=F.col("moving_range"), comp_center=F.col("mr_bar"), comp_ucl=MR_UCL * F.col("mr_bar"), comp_lcl=F.lit(0.0))
@@ -107,7 +107,7 @@ def _first_size(f: Frames) -> Column:
 def _subgroups(a: str, low: str, high: str) -> Callable[[DataFrame, Sequence[str], Options], DataFrame]:
     def build(df: DataFrame, keys: Sequence[str], o: Options) -> DataFrame:
         f = Frames(keys)
-        df = with_points(df, keys).withColumns({"m_": rounded(_first_size(f)), "mean_": mean(F.col("value"), f.all), "spread_": mean(F.when(F.col("value").isNotNull(), F.col("spread")), f.all)})
+        df = with_points(df, keys).withColumns({"m_": rounded(_first_size(f)), "mean_": mean(F.col("value"), f.in_order), "spread_": mean(F.when(F.col("value").isNotNull(), F.col("spread")), f.in_order)})
         k = lambda name: F.coalesce(constant(name, F.col("m_")), F.lit(0.0))
         df = df.withColumns(limits(F.col("mean_"), F.lit(0.0), k(a) * F.col("spread_") / 3, o.sigmas, o.floor))
         return _filled(df, comp_value=F.col("spread"), comp_center=F.col("spread_"), comp_ucl=k(high) * F.col("spread_"), comp_lcl=k(low) * F.col("spread_")).drop("m_", "mean_", "spread_")
@@ -118,7 +118,7 @@ def _subgroups(a: str, low: str, high: str) -> Callable[[DataFrame, Sequence[str
 def _based(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Raw readings move to base_value; the series' mean and sigma are taken from them."""
     f = Frames(keys)
-    df = with_points(df, keys).withColumns({"x_": mean(F.col("value"), f.all), "s_": mean(F.col("moving_range"), f.all) / D2})
+    df = with_points(df, keys).withColumns({"x_": mean(F.col("value"), f.in_order), "s_": mean(F.col("moving_range"), f.in_order) / D2})
     return df.withColumns({"base_value": F.col("value"), "direction": _null("int")})
 
 
