@@ -18,6 +18,8 @@ from ..sources.shared import written
 SERIES, BLOCK, HALO = "series_", "block_", "halo_"
 #: Numbers of a block, and the rows that rules and moving ranges look back.
 SIZE, LOOK_BACK = 1 << 20, 15
+#: Ranges up to which short ones are made: a range costs the driver a sample and a task, however few rows it has.
+SHORT_RANGES = 64
 IN_BLOCK = (SERIES, BLOCK)
 
 
@@ -30,14 +32,20 @@ def unkeyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(SERIES).getField(k).alias(k) for k in keys], *[c for c in df.columns if c != SERIES])
 
 
+def ranges_of(rows: int, size: int) -> int:
+    """How many ranges so many rows are dealt to: of `size` rows while these are few, then fewer and longer ones."""
+    return max(1, min(-(-rows // size), SHORT_RANGES), -(-rows // max(size, SIZE)))
+
+
 def numbered_rows(df: DataFrame, order: Sequence[Column], name: str, size: int = SIZE, parts: int | None = None) -> DataFrame:
     """Adds the number (from 1) of each row within its series in an order of columns, as row_number() over the series would.
 
-    Rows are dealt to ranges of series and order, of about `size` rows, and written; each range is then counted, and the rows
-    of a series before a range are added to the places within it. Rows that are equal in the order are told apart by where
+    Rows are dealt to ranges of series and order, of about `size` rows (up to SIZE, where that would make more than
+    SHORT_RANGES ranges), and written; each range is then counted, and the rows of a series before a range are added to the
+    places within it. So what the driver is sent to draw the ranges' borders grows by a range for each SIZE rows. Rows that are equal in the order are told apart by where
     they were read, so a range never grows with them.
     """
-    parts = parts or max(1, -(-df.count() // size))
+    parts = parts or ranges_of(df.count(), size)
     by = [F.col(SERIES), *order, F.monotonically_increasing_id()]
     names = [f"by{i}_" for i in range(len(by))]
     ranged = df.select("*", *[c.alias(n) for c, n in zip(by, names, strict=True)]).repartitionByRange(parts, *names).sortWithinPartitions(*names).drop(*names)

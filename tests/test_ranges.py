@@ -65,6 +65,12 @@ def test_no_range_grows_with_a_tie_or_a_series(spark, monkeypatch):
     assert [r.n for r in out.select("n").orderBy("n").collect()] == list(range(1, 40_001))
 
 
+def test_ranges_do_not_grow_with_short_blocks():
+    """The driver draws the borders of ranges from a sample of each, so short ranges stay few."""
+    assert [ranges.ranges_of(n, 1024) for n in (0, 1, 10_000, 6_000_000, 36_000_000)] == [1, 1, 10, 64, 64]
+    assert ranges.ranges_of(10**10, 1024) == ranges.ranges_of(10**10, ranges.SIZE) == 9_537 and ranges.ranges_of(40_000, 4_000) == 10
+
+
 @pytest.mark.parametrize("kind", charts.CHARTS)
 @pytest.mark.parametrize("size", [1, 23])
 def test_charts_are_those_of_whole_series(spark, kind, size):
