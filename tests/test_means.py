@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from statrill import queries
 from statrill.plans import charts, ranged
 from statrill.sources import extract as sources
 from statrill.sources.roles import Roles
@@ -41,3 +42,15 @@ def test_flat_phases_and_ties_with_the_center_are_those_of_the_sql(spark, tmp_pa
     rel = con.sql(__spark_entry__.oracle_sql()[name])
     want = sorted(map(repr, rel.fetchall()))
     assert len(want) > 1000 and sorted(repr(tuple(r)) for r in got.select(*rel.columns).collect()) == want
+
+
+def test_the_planted_series_is_charted_in_blocks(spark, tmp_path, monkeypatch):
+    """It grows with the table, so no task may hold all of it."""
+    sizes, build = [], ranged.build
+    monkeypatch.setattr(ranged, "build", lambda *a, **k: sizes.append(k["size"]) or build(*a, **k))
+    monkeypatch.setattr(queries, "PLANTED_SIZE", 300)
+    spark.range(2_000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in queries.spc_planted_rules(spark, str(tmp_path)).select("rule_id", "n", "places").collect()}
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == set(con.sql(queries.ORACLE_SQL["spc_planted_rules"]).fetchall()) and sizes == [300]
