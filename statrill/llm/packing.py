@@ -8,7 +8,7 @@ longest first, go where the least room that holds them is left. The plan says, f
 number among those of that length go to which sequences; the pieces are numbered and placed by Spark.
 
 Null texts count as empty; an empty text is a document of the end id alone. A special token's string in a text is that
-token, as the library has it. Repeated rows are packed each. An empty table gives an empty one. Very long texts are many
+token, as the library has it; such a text goes to the library whole. Repeated rows are packed each. An empty table gives an empty one. Very long texts are many
 pieces, tokenised whole. Ties between pieces of one length fall as they were stored. Other columns are not read, and ids of
 documents never leave the JVM.
 """
@@ -22,59 +22,91 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, texts
-from .pretokens import Memo, pieces, runs
+from .pretokens import Memo, fragments, parts
 
 CAPACITY, END = 2048, 0
 #: Numbering: rows in one window at most, about; and most windows for each length.
 NUMBERED, SHARES = 500_000, 4096
-#: Pieces of text that go to the tokenizer as one input.
-TOGETHER = 200
+#: Fragments of text that go to the tokenizer as one input, that a worker keeps, and whose ids are laid out at a time.
+TOGETHER, KEPT, GATHERED = 200, 300_000, 1 << 20
 
 
 @cache
-def coder(path: str) -> Memo:
+def coder(path: str) -> tuple[Memo, list[str]]:
+    """The ids of fragments, as bytes, and the strings that are tokens of their own wherever they stand."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     size = np.array([len(tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())])  # a character a byte
-
-    def fill(new: list[str]) -> Iterator[bytes]:
-        """A few hundred pieces are one input, split beforehand: that costs less than as many inputs. How many ids a
-        piece has follows from the bytes that each id stands for."""
-        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
-        for group, got in zip(groups, tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in group])
-            ends = (4 * np.searchsorted(np.cumsum(size[ids]), ends, side="left") + 4).tolist()
-            yield from map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))
-
-    return Memo(fill)
+    special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+
+    def fill(new: list[str]) -> list[bytes]:
+        """A few hundred fragments are one input: that costs less than as many inputs. Those that begin with a space and end
+        visibly are one text, as matches end before that space; others are split beforehand. How many ids a fragment has
+        follows from the bytes that each id stands for."""
+        joins = [x[0] == " " and not x[-1].isspace() and not any(y in x for y in special) for x in new]
+        out = {}
+        for joined in (True, False):
+            some = [x for x, y in zip(new, joins, strict=True) if y == joined]
+            for i in range(0, len(some), TOGETHER):
+                group = some[i : i + TOGETHER]
+                (got,) = tokenizer.encode_batch_fast(["".join(group) if joined else group], is_pretokenized=not joined, add_special_tokens=False)
+                ids = np.array(got.ids, "<u4")
+                ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in group])
+                ends = (4 * np.searchsorted(np.cumsum(size[ids]), ends, side="left") + 4).tolist()
+                out.update(zip(group, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        return [out[x] for x in new]
+
+    return Memo(fill, KEPT), special
+
+
+def tokenised(docs: pa.Array, memo: Memo, special: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, the end id after each, and where each text's ids end."""
+    found, at, upto = fragments(docs, special)
+    held = [*memo.distinct(found), np.array([end], "<u4").tobytes()]
+    size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+    begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(held), "<u4")
+    at = np.insert(at, upto, len(found))
+    ends = np.cumsum(size[at])
+    ids = np.empty(ends[-1], "<u4")
+    for i in range(0, len(at), GATHERED):
+        some, to = at[i : i + GATHERED], ends[i : i + GATHERED]
+        first = to[0] - size[some[0]]
+        ids[first : to[-1]] = flat[np.arange(first, to[-1]) + np.repeat(begin[some] - to + size[some], size[some])]
+    return ids, ends[upto + np.arange(len(upto))]
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32, and ids (binary, little-endian unsigned 32-bit) if asked for."""
-    last = np.array([end], "<u4").tobytes()
 
-    @F.pandas_udf(f"array<struct<start: long, length: long, ids_crc32: long{', ids: binary' * keep_ids}>>")
-    def cuts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = coder(path)
+    @F.arrow_udf(f"array<struct<start: long, length: long, ids_crc32: long{', ids: binary' * keep_ids}>>")
+    def cuts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo, special = coder(path)
         for batch in batches:
-            rows = []
-            for part in runs(batch.tolist()):
-                for x in memo.of([pieces(t) for t in part]):
-                    ids, row = b"".join(x) + last, []
-                    n = len(ids) // 4
-                    for stop in range((n - 1) % capacity + 1, n + 1, capacity):
-                        start = max(0, stop - capacity)
-                        piece = ids[4 * start : 4 * stop]
-                        row.append({"start": start, "length": stop - start, "ids_crc32": zlib.crc32(piece)} | ({"ids": piece} if keep_ids else {}))
-                    rows.append(row)
-            yield pd.Series(rows, dtype=object)
+            starts, lengths, sums, kept, upto = [], [], [], [], [0]
+            for part in parts(batch):
+                ids, ends = tokenised(part, memo, special, end)
+                begin = 0
+                for stop in ends.tolist():
+                    n = stop - begin
+                    for to in range((n - 1) % capacity + 1, n + 1, capacity):
+                        starts.append(max(0, to - capacity))
+                        lengths.append(to - starts[-1])
+                        piece = ids[begin + starts[-1] : begin + to].tobytes()
+                        sums.append(zlib.crc32(piece))
+                        if keep_ids:
+                            kept.append(piece)
+                    begin = stop
+                    upto.append(len(starts))
+            columns = {"start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
+            columns |= {"ids": pa.array(kept, pa.binary())} if keep_ids else {}
+            yield pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
     return texts(docs).select("doc_id", F.posexplode(cuts("text")).alias("piece", "cut")).select("doc_id", "piece", "cut.*")
 
