@@ -8,9 +8,9 @@ longest first, go where the least room that holds them is left. The plan says, f
 number among those of that length go to which sequences; the pieces are numbered and placed by Spark.
 
 Null texts count as empty; an empty text is a document of the end id alone. A special token's string in a text is that
-token, as the library has it; such a text goes to the library whole. Repeated rows are packed each. An empty table gives an empty one. Very long texts are many
-pieces, tokenised whole. Ties between pieces of one length fall as they were stored. Other columns are not read, and ids of
-documents never leave the JVM.
+token, as the library has it; such a text goes to the library whole. Repeated rows are packed each. An empty table gives an
+empty one. Very long texts are many pieces, tokenised whole. Ties between pieces of one length fall as they were stored. Other
+columns are not read, and ids of documents never leave the JVM.
 """
 
 from __future__ import annotations
