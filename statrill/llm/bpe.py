@@ -18,17 +18,19 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, texts
-from .pretokens import Memo, pieces, runs
+from .pretokens import LONGEST, Memo, fragments, parts
 
 #: Words at a time in one recursive query, and rows of its recursion, about. Rows grow with the square of a word's length,
 #: so a word of more than LONG bytes is merged on a list instead.
 WORDS, ROWS, LONG = 20_000, 2_000_000, 1000
-#: Words, and pieces of text, that a worker keeps.
+#: Fragments of text, and words of long ones, that a worker keeps.
 KEPT = 400_000
 
 ENCODE = """
@@ -97,8 +99,6 @@ class Merges:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, which is one match of the tokenizer's pattern."""
-        import numpy as np
-
         raw = [x.encode("utf-8", "surrogatepass") for x in words]
         out: list = [[self.ranks[x]] if x in self.ranks else self.looped(x) if len(x) > LONG else None for x in raw]
         rest = [i for i, x in enumerate(out) if x is None]
@@ -117,9 +117,6 @@ class Merges:
 
     def decode(self, lists: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
-        import numpy as np
-        import pyarrow as pa
-
         out = [b""] * len(lists)
         sizes = np.array([len(x) for x in lists])
         begins = np.flatnonzero(np.diff(np.cumsum(sizes) // (8 * WORDS), prepend=-1)) if lists else ()
@@ -137,7 +134,7 @@ class Merges:
 
 @cache
 def coder(path: str, pattern: str) -> tuple[Merges, Memo]:
-    """One for each worker; pieces give their ids as text and the bytes that these ids decode to."""
+    """One for each worker; fragments give their ids as text and the bytes that these ids decode to."""
     import regex
 
     merges, matches = Merges(path), regex.compile(pattern).findall
@@ -148,20 +145,40 @@ def coder(path: str, pattern: str) -> tuple[Merges, Memo]:
 
     known = Memo(of_words, KEPT)
 
-    def of_pieces(new: list[str]) -> list[tuple[str, bytes]]:
-        return [(" ".join([a for a, _ in x]), b"".join([b for _, b in x])) for x in known.of([matches(p) for p in new])]
+    def of_fragments(new: list[str]) -> list[tuple[str, bytes]]:
+        """Most are a word each and are kept as such; the words of long ones, which are not kept, are kept apart."""
+        lists = [matches(x) for x in new]
+        held = [len(x) <= LONGEST for x in new]
+        words = list({x for xs, short in zip(lists, held, strict=True) if short for x in xs})
+        of = dict(zip(words, of_words(words), strict=True))
+        long = iter(known.of([xs for xs, short in zip(lists, held, strict=True) if not short]))
+        found = [[of[x] for x in xs] if short else next(long) for xs, short in zip(lists, held, strict=True)]
+        return [x[0] if len(x) == 1 else (" ".join([a for a, _ in x]), b"".join([b for _, b in x])) for x in found]
+
+    return merges, Memo(of_fragments, KEPT)
+
 
-    return merges, Memo(of_pieces, KEPT)
+def encoded(docs: pa.Array, memo: Memo) -> Iterator[tuple[str, bytes]]:
+    """The ids of each text, as text, and the bytes that they decode to."""
+    for part in parts(docs):
+        found, at, upto = fragments(part, [])
+        values = memo.distinct(found)
+        ids, held = np.array([a for a, _ in values], object), np.array([b for _, b in values], object)
+        begin = 0
+        for end in upto.tolist():
+            some = at[begin:end]
+            yield " ".join(ids[some].tolist()), b"".join(held[some].tolist())
+            begin = end
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int>: the ids of each whole text."""
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = coder(path, pattern)[1]
         for batch in batches:
-            yield pd.Series([[int(i) for a, _ in x for i in a.split()] for part in runs(batch.tolist()) for x in memo.of([pieces(t) for t in part])], dtype=object)
+            yield pa.array([[int(i) for i in a.split()] for a, _ in encoded(batch, memo)], pa.list_(pa.int32()))
 
     return texts(docs).select("doc_id", ids("text").alias("ids"))
 
@@ -181,16 +198,16 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, sha256 of the ids and of the bytes they decode to, without keeping a text's ids as a list."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = coder(path, pattern)[1]
         for batch in batches:
-            rows = []
-            for part in runs(batch.tolist()):
-                for x in memo.of([pieces(t) for t in part]):
-                    ids = " ".join([a for a, _ in x])
-                    rows.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([b for _, b in x])).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            counts, of_ids, of_bytes = [], [], []
+            for ids, held in encoded(batch, memo):
+                counts.append(ids.count(" ") + bool(ids))
+                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(held).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).select("doc_id", digest("text").alias("digest")).select("doc_id", "digest.*")
 
