@@ -17,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from .pretokens import LONGEST, Memo, fragments, parts
 #: Words at a time in one recursive query, and rows of its recursion, about. Rows grow with the square of a word's length,
 #: so a word of more than LONG bytes is merged on a list instead.
 WORDS, ROWS, LONG = 20_000, 2_000_000, 1000
-#: Fragments of text, and words of long ones, that a worker keeps.
-KEPT = 400_000
+#: Fragments of text, and words of long ones, that a worker keeps, at some 350 bytes each.
+KEPT, APART = 800_000, 200_000
 
 ENCODE = """
 with recursive state(k, token, step) as (
@@ -123,7 +124,7 @@ class Merges:
         for at, to in zip(begins, [*begins[1:], len(lists)][: len(begins)], strict=True):
             some = [i for i in range(at, to) if sizes[i]]
             if some:
-                ids = np.concatenate([np.array(lists[i], np.int32) for i in some])
+                ids = np.fromiter(chain.from_iterable(lists[at:to]), np.int32)
                 self.db.register("given", pa.table({"id": ids, "place": np.arange(len(ids), dtype=np.int32)}))
                 digits, each = self.db.execute(DECODE).fetchall()[0]
                 held, ends, begin = bytes.fromhex(digits), np.cumsum(each)[np.cumsum(sizes[some]) - 1].tolist(), 0
@@ -143,7 +144,7 @@ def coder(path: str, pattern: str) -> tuple[Merges, Memo]:
         ids = merges.encode(words)
         return list(zip([" ".join(map(str, x)) for x in ids], merges.decode(ids), strict=True))
 
-    known = Memo(of_words, KEPT)
+    known = Memo(of_words, APART)
 
     def of_fragments(new: list[str]) -> list[tuple[str, bytes]]:
         """Most are a word each and are kept as such; the words of long ones, which are not kept, are kept apart."""
