@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, texts
-from .pretokens import LONGEST, Memo, fragments, parts
+from .pretokens import LONGEST, Memo, fragments, parts, pieces, runs
 
 #: Words at a time in one recursive query, and rows of its recursion, about. Rows grow with the square of a word's length,
 #: so a word of more than LONG bytes is merged on a list instead.
 WORDS, ROWS, LONG = 20_000, 2_000_000, 1000
-#: Fragments of text, and words of long ones, that a worker keeps, at some 350 bytes each.
-KEPT, APART = 800_000, 200_000
+#: Fragments of a word that a worker keeps; pieces of other fragments, and as many of their words.
+KEPT, APART = 800_000, 300_000
 
 ENCODE = """
 with recursive state(k, token, step) as (
@@ -134,8 +134,9 @@ class Merges:
 
 
 @cache
-def coder(path: str, pattern: str) -> tuple[Merges, Memo]:
-    """One for each worker; fragments give their ids as text and the bytes that these ids decode to."""
+def coder(path: str, pattern: str) -> tuple[Merges, Memo, Memo]:
+    """One for each worker; fragments of a word, and pieces of others, give their ids as text and the bytes that these ids
+    decode to."""
     import regex
 
     merges, matches = Merges(path), regex.compile(pattern).findall
@@ -147,23 +148,35 @@ def coder(path: str, pattern: str) -> tuple[Merges, Memo]:
     known = Memo(of_words, APART)
 
     def of_fragments(new: list[str]) -> list[tuple[str, bytes]]:
-        """Most are a word each and are kept as such; the words of long ones, which are not kept, are kept apart."""
+        """Most are a word each and are kept as such."""
         lists = [matches(x) for x in new]
-        held = [len(x) <= LONGEST for x in new]
-        words = list({x for xs, short in zip(lists, held, strict=True) if short for x in xs})
+        words = list({x for xs in lists for x in xs})
         of = dict(zip(words, of_words(words), strict=True))
-        long = iter(known.of([xs for xs, short in zip(lists, held, strict=True) if not short]))
-        found = [[of[x] for x in xs] if short else next(long) for xs, short in zip(lists, held, strict=True)]
-        return [x[0] if len(x) == 1 else (" ".join([a for a, _ in x]), b"".join([b for _, b in x])) for x in found]
+        return [together([of[x] for x in xs]) for xs in lists]
 
-    return merges, Memo(of_fragments, KEPT)
+    def of_pieces(new: list[str]) -> list[tuple[str, bytes]]:
+        return [together(x) for x in known.of([matches(p) for p in new])]
 
+    return merges, Memo(of_fragments, KEPT), Memo(of_pieces, APART)
 
-def encoded(docs: pa.Array, memo: Memo) -> Iterator[tuple[str, bytes]]:
+
+def together(values: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return values[0] if len(values) == 1 else (" ".join([a for a, _ in values]), b"".join([b for _, b in values]))
+
+
+def looked_up(found: list[str], memo: Memo, apart: Memo) -> list[tuple[str, bytes]]:
+    """What each of these distinct fragments gives; those that are long or of several words by their pieces."""
+    split = [len(x) > LONGEST or x.rfind(" ") > 0 for x in found]
+    short = iter(memo.distinct([x for x, y in zip(found, split, strict=True) if not y]))
+    long = (together(x) for some in runs([x for x, y in zip(found, split, strict=True) if y]) for x in apart.of([pieces(x) for x in some]))
+    return [next(long) if y else next(short) for y in split]
+
+
+def encoded(docs: pa.Array, memo: Memo, apart: Memo) -> Iterator[tuple[str, bytes]]:
     """The ids of each text, as text, and the bytes that they decode to."""
     for part in parts(docs):
         found, at, upto = fragments(part, [])
-        values = memo.distinct(found)
+        values = looked_up(found, memo, apart)
         ids, held = np.array([a for a, _ in values], object), np.array([b for _, b in values], object)
         begin = 0
         for end in upto.tolist():
@@ -177,9 +190,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = coder(path, pattern)[1]
+        memos = coder(path, pattern)[1:]
         for batch in batches:
-            yield pa.array([[int(i) for i in a.split()] for a, _ in encoded(batch, memo)], pa.list_(pa.int32()))
+            yield pa.array([[int(i) for i in a.split()] for a, _ in encoded(batch, *memos)], pa.list_(pa.int32()))
 
     return texts(docs).select("doc_id", ids("text").alias("ids"))
 
@@ -201,10 +214,10 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = coder(path, pattern)[1]
+        memos = coder(path, pattern)[1:]
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
-            for ids, held in encoded(batch, memo):
+            for ids, held in encoded(batch, *memos):
                 counts.append(ids.count(" ") + bool(ids))
                 of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(held).hexdigest())

@@ -6,6 +6,9 @@ tokenised apart: before white space after a visible character; between letter, d
 unless an apostrophe comes before a letter (it may begin a contraction) or after a sign; after a single tab or line break
 between visible characters. Kinds are told for ASCII and for the letters of Latin-1 and Latin Extended-A, which are 2 bytes
 from C3 on, and are open for all other characters.
+
+So texts in other letters are long fragments. Matches never cross a single space that stands between two other visible
+characters: that space begins the match after it. Such texts can be split at these spaces into pieces, which are kept alike.
 """
 
 from __future__ import annotations
@@ -32,6 +35,21 @@ for before_, after_ in ((LETTER, (DIGIT, SIGN, APOSTROPHE)), (DIGIT, (LETTER, SI
     ENDS[[8 * before_ + x for x in (*after_, SPACE, BREAK)]] = True
 
 
+def pieces(text: str) -> list[str]:
+    """Strings whose matches, one after the other, are the text's."""
+    first, *rest = text.split(" ")
+    if first and not first[-1].isspace() and all(rest) and not any(x[0].isspace() or x[-1].isspace() for x in rest):
+        return [first, *[" " + x for x in rest]]
+    out, held = [], [first]
+    for before, x in zip([first, *rest], rest, strict=False):
+        if before and x and not before[-1].isspace() and not x[0].isspace():
+            out.append(held)
+            held = ["", x]
+        else:
+            held.append(x)
+    return [x for x in map(" ".join, [*out, held]) if x]
+
+
 def fragments(texts: pa.Array, whole: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct fragments of an array of strings, which of them all texts consist of, one after the other, and where in
     that each text ends. A text that holds one of the strings named is one fragment."""
@@ -56,7 +74,7 @@ def fragments(texts: pa.Array, whole: list[str]) -> tuple[list[str], np.ndarray,
 
 
 class Memo(dict):
-    """fragment, or word -> value, filled for a batch of them at once by fill()."""
+    """fragment, piece or word -> value, filled for a batch of them at once by fill()."""
 
     def __init__(self, fill: Callable[[list[str]], Iterable], kept: int = KEPT):
         super().__init__()
@@ -96,3 +114,15 @@ def parts(texts: pa.Array, most: int = 8_000_000) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(upto, most + (upto[start - 1] if start else 0), side="right")))
         yield texts.slice(start, stop - start)
         start = stop
+
+
+def runs(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
+    """Parts of a batch that hold about so many characters each."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x) > most:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(x)
+    if texts:
+        yield texts[start:]
